@@ -34,5 +34,64 @@ def p2_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("first_piece", F.col("first_piece").cast("int")).withColumnRenamed("first_piece", "first_delivery_id")
 
 
+def _document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokens import token_count
+
+    return read_table(spark, sf_dir, "documents").select("doc_id", "source", token_count("text").alias("n_tokens"))
+
+
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in a container of every capacity; a text is cut only if it alone exceeds the capacity."""
+    from .packing import pack
+
+    return pack(_document_tokens(spark, sf_dir), "doc_id", "n_tokens", read_table(spark, sf_dir, "pack_limits"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per capacity: containers, pieces, tokens and the share of space that is used."""
+    limits = read_table(spark, sf_dir, "pack_limits")
+    used = p7_packing(spark, sf_dir).groupBy("limit_id").agg((F.max("container_id") + 1).alias("containers"), F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("tokens"))
+    return used.join(limits, "limit_id").select("limit_id", "capacity_tokens", "containers", "pieces", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"))
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from .mixing import mix, sized
+
+    docs = _document_tokens(spark, sf_dir)
+    return mix(sized(docs, "doc_id", "source", F.col("n_tokens")), read_table(spark, sf_dir, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selection of documents, with repeats, of every mix."""
+    return _mix(spark, sf_dir)[0].select("mix_name", "source", F.col("key").alias("doc_id"), "copy_no", F.col("size").alias("n_tokens"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that the selection reaches."""
+    return _mix(spark, sf_dir)[1].withColumnRenamed("used_size", "tokens")
+
+
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import languages, train
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(read_table(spark, sf_dir, "lang_samples"), "lang", "sample_text", docs, "doc_id")
+    return languages(docs, "doc_id", "text", model, label="lang")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a missing or wrong label (cue_no 0), and the runs of documents in several languages."""
+    from .langid import declared_language
+
+    x = _languages(spark, sf_dir)
+    wrong = (F.col("cue_no") > 0) | ~declared_language("label").eqNullSafe(F.col("lang"))
+    return x.where(wrong).select("doc_id", "cue_no", "lang")
+
+
+def p9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every text (cue_no 0) and of every run of texts in several languages."""
+    return _languages(spark, sf_dir).select("doc_id", "cue_no", "n_cues", "lang", "confidence")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_counts, p2_sample)}
+    return {f.__name__: f for f in (p1_found, p1_counts, p2_sample, p7_packing, p7_fill, p8_mix, p8_shares, p9_found, p9_languages)}
