@@ -93,5 +93,38 @@ def p9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _languages(spark, sf_dir).select("doc_id", "cue_no", "n_cues", "lang", "confidence")
 
 
+MIN_COSINE = 0.78
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs with cosine at least 0.78 of which one is among the five most similar of the other; exact search."""
+    from .neighbours import nearest_rows
+
+    near = nearest_rows(read_table(spark, sf_dir, "factor_rows"), "row_id", "mode_no", "vals", 5, min_cos=MIN_COSINE)
+    return near.select(F.least("row", "near_row").alias("row_id_a"), F.greatest("row", "near_row").alias("row_id_b")).distinct()
+
+
+def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar rows of the same factor matrix for every usable row, pruning relaxed by a factor of 2."""
+    from .neighbours import nearest_rows
+
+    near = nearest_rows(read_table(spark, sf_dir, "factor_rows"), "row_id", "mode_no", "vals", 5, factor=2.0)
+    return near.select(F.col("grp").cast("int").alias("mode_no"), F.col("row").alias("row_id"), F.col("near_row").alias("near_row_id"), "cosine")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of groups of three or more rows linked by cosines of at least 0.78, with the group's smallest row."""
+    from .clusters import linked_groups
+
+    return linked_groups(read_table(spark, sf_dir, "factor_rows"), "row_id", "mode_no", "vals", MIN_COSINE, least=3).select(F.col("row").alias("row_id"), F.col("first").alias("first_row_id"))
+
+
+def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters by average linkage on the graph of nearest rows: size and most typical rows."""
+    from .clusters import average_clusters
+
+    return average_clusters(read_table(spark, sf_dir, "factor_rows"), "row_id", "mode_no", "vals", MIN_COSINE).select(F.col("grp").cast("int").alias("mode_no"), "first_row_id", "size", "typical_row_ids")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_counts, p2_sample, p7_packing, p7_fill, p8_mix, p8_shares, p9_found, p9_languages)}
+    return {f.__name__: f for f in (p1_found, p1_counts, p2_sample, p5_found, p5_nearest, p6_found, p6_clusters, p7_packing, p7_fill, p8_mix, p8_shares, p9_found, p9_languages)}
