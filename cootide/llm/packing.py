@@ -90,8 +90,10 @@ def pack(items: DataFrame, key: str, size: str, limits: DataFrame) -> DataFrame:
     if sum(caps.values()) > MOST_CLASSES:
         raise ValueError(f"capacities add to more than {MOST_CLASSES} size classes: give sizes in larger units")
     spark = items.sparkSession
-    cap_rows = spark.createDataFrame([(int(i), int(c)) for i, c in caps.items()], "limit_id int, _cap bigint")
-    x = items.select(F.col(key).alias("_key"), F.col(size).cast("long").alias("_size")).where("_key IS NOT NULL AND _size > 0").join(F.broadcast(cap_rows))
+    each = F.expr("array(" + ", ".join(f"struct({int(i)} AS limit_id, {int(c)}L AS _cap)" for i, c in sorted(caps.items())) + ")") if caps else F.expr("cast(array() AS array<struct<limit_id: int, _cap: bigint>>)")
+    # Sizes are written once: counting them may be dear, and the range sort reads its input twice.
+    sized = materialize(items.select(F.col(key).alias("_key"), F.col(size).cast("long").alias("_size")))
+    x = sized.where("_key IS NOT NULL AND _size > 0").select("_key", "_size", F.inline(each))
     piece = F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(_size - 1) div _cap"))).alias("_piece")
     x = x.select("limit_id", "_cap", "_key", "_size", piece).select("limit_id", F.least(F.col("_cap"), F.col("_size") - F.col("_piece") * F.col("_cap")).alias("_n"), "_key", "_piece")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
