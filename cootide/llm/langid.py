@@ -8,7 +8,8 @@ Classification, distributed: the dot product of a text with the centroids is add
 one row per distinct word (its TF-IDF products with all centroids, and a signed hash sketch of its n-grams from which the
 text's norm follows), and a batch of cues is one gather and one segmented sum. A cue takes the language of the nearest
 centroid by cosine; a cue whose best cosine is below ``reject`` has no language. Within a text, switching the language
-between cues costs ``switch_cost``, so that a single odd cue does not open a run.
+between cues costs ``switch_cost``, so that a doubtful cue goes with its
+neighbours while one plainly in another language breaks their run.
 """
 
 from __future__ import annotations
@@ -39,9 +40,10 @@ LANGUAGE_NAMES = {
 }
 # What marks a line as an advert rather than speech.
 ADVERT = re.compile(r"www\W|@|https?:|[^\W\d_]{3,}\.(?:example|com|org|net|info|tv)\b|\bsync\b.*\bcorrect|\bsubtitles by\b|\bdownloaded from\b|\badvertise your\b|\bbest subs\b|\bsupport us\b|\brid of all ads\b", re.I)
+# What a line must hold, in lower case, for the pattern to be tried.
+ADVERT_HINTS = ("www", "@", "http", ".example", ".com", ".org", ".net", ".info", ".tv", "sync", "subtitles by", "downloaded from", "advertise your", "best subs", "support us", "rid of all ads")
 
 WORD = re.compile(r"[^\W\d_]+")
-ARROW_LINE = re.compile(r"[^\n]*-->[^\n]*")
 MARKUP = re.compile(r"<[^<>\n]*>|\{[^{}\n]*\}")
 SOUND = re.compile(r"\[[^\[\]]*\]|\([^()]*\)|\*[^*\n]*\*|♪[^♪\n]*♪")
 SPEAKER = re.compile(r"^[-\s]*[^\W\d_]+:\s", re.M)
@@ -208,15 +210,29 @@ def fit(samples: list[tuple[str, str]], centroids: int = 6, least_texts: int = 2
     return Model(codes, np.array(languages), grams, idf.astype(np.float32), np.ascontiguousarray(w), float(np.median(idf)))
 
 
+def cue_segments(text: str) -> list[str]:
+    """What stands before the first line with an arrow, and after each such line up to the next."""
+    parts = text.replace("\r\n", "\n").replace("\r", "\n").split("-->")
+    if len(parts) == 1:
+        return parts
+    out = [parts[0][: parts[0].rfind("\n") + 1]]
+    for part in parts[1:-1]:
+        end_of_line = part.find("\n")
+        if end_of_line >= 0:  # else a second arrow in the same line
+            out.append(part[end_of_line + 1 : part.rfind("\n") + 1])
+    end_of_line = parts[-1].find("\n")
+    return [*out, parts[-1][end_of_line + 1 :] if end_of_line >= 0 else ""]
+
+
 def spoken_words(segment: str) -> list[str]:
     """Words of a cue's lines without markup, sound descriptions, adverts and speakers' names, in lower case."""
     if not segment.isascii():
         segment = repair(segment)
     if "<" in segment or "{" in segment:
         segment = MARKUP.sub(" ", segment)
-    if "." in segment or "@" in segment or "&" in segment:
-        if ADVERT.search(segment):
-            segment = "\n".join(line for line in segment.split("\n") if not ADVERT.search(line))
+    lower = segment.lower()
+    if any(hint in lower for hint in ADVERT_HINTS):
+        segment = "\n".join(line for line in segment.split("\n") if not ADVERT.search(line))
     if "[" in segment or "(" in segment or "*" in segment or "♪" in segment:
         segment = SOUND.sub(" ", segment)
     if ":" in segment:
@@ -230,9 +246,12 @@ def smooth(scores: np.ndarray, sizes: np.ndarray, switch_cost: float, sharpness:
     """Language of each cue: the path of best total score, each change of language costing ``switch_cost``."""
     best = scores.argmax(axis=1)
     votes = np.bincount(best, minlength=scores.shape[1])
-    states = np.flatnonzero(votes >= 3)
-    if len(states) < 2 or np.sort(votes)[-2] < 3:
-        return np.full(len(scores), votes.argmax())
+    top = votes.argmax()
+    # Languages worth a path: several cues, or one that is plainly not in the main language.
+    plain = np.bincount(best[scores.max(axis=1) - scores[:, top] > 0.1], minlength=scores.shape[1])
+    states = np.flatnonzero((votes >= 3) | (plain > 0) | (np.arange(len(votes)) == top))
+    if len(states) < 2:
+        return np.full(len(scores), top)
     gain = (scores[:, states] * (sharpness * np.minimum(1.0, (sizes + 1) / 5.0))[:, None]).tolist()
     total, back = gain[0], []
     for row in gain[1:]:
@@ -255,7 +274,7 @@ def runs_of(labels: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(labels)]))
 
 
-def classify_texts(model: Model, texts: list[str | None], *, reject: float = 0.1, switch_cost: float = 1.5, sharpness: float = 8.0, run_cues: int = 4) -> list[tuple[int, int, int, str, float]]:
+def classify_texts(model: Model, texts: list[str | None], *, reject: float = 0.1, switch_cost: float = 0.4, sharpness: float = 8.0, run_cues: int = 4) -> list[tuple[int, int, int, str, float]]:
     """(text number, cue_no, cues, language, confidence): cue_no 0 is the whole text, others its runs.
 
     Runs are given for texts with runs of at least ``run_cues`` cues in two or more languages, and only those runs.
@@ -266,7 +285,7 @@ def classify_texts(model: Model, texts: list[str | None], *, reject: float = 0.1
     for t, text in enumerate(texts):
         if not text:
             continue
-        segments = ARROW_LINE.split(text.replace("\r\n", "\n").replace("\r", "\n"))
+        segments = cue_segments(text)
         for cue, segment in enumerate(segments):
             found = spoken_words(segment)
             if not cue:
@@ -291,21 +310,20 @@ def classify_texts(model: Model, texts: list[str | None], *, reject: float = 0.1
         labels = smooth(cos[use], size[use], switch_cost, sharpness)
         votes = np.bincount(labels, minlength=cos.shape[1])
         top = int(votes.argmax())
-        out.append((int(owner[a]), 0, len(use), model.codes[top], _confidence(model, sums[use[labels == top]], top)))
+        out.append((int(owner[a]), 0, len(use), top, sums[use[labels == top]].sum(axis=0)))
         numbered = use[number[use] > 0]
         labels = labels[number[use] > 0]
         runs = [(s, e) for s, e in runs_of(labels) if e - s >= run_cues] if len(labels) else []
         if len({labels[s] for s, _ in runs}) > 1:
             for s, e in runs:
-                out.append((int(owner[a]), int(number[numbered[s]]), e - s, model.codes[labels[s]], _confidence(model, sums[numbered[s:e]], int(labels[s]))))
-    return out
-
-
-def _confidence(model: Model, sums: np.ndarray, language: int) -> float:
-    """Share of the language among all by their cosines with the stretch as a whole, sharpened."""
-    cos = model.of_sums(sums.sum(axis=0, keepdims=True))[0]
-    p = np.exp(12 * (cos - cos.max()))
-    return round(float(p[language] / p.sum()), 6)
+                out.append((int(owner[a]), int(number[numbered[s]]), e - s, int(labels[s]), sums[numbered[s:e]].sum(axis=0)))
+    if not out:
+        return []
+    # Confidence: the language's share among all by their cosines with the stretch as a whole, sharpened.
+    cos = model.of_sums(np.stack([x[4] for x in out])).astype(float)
+    p = np.exp(12 * (cos - cos.max(axis=1, keepdims=True)))
+    sure = np.round(p[np.arange(len(out)), [x[3] for x in out]] / p.sum(axis=1), 6)
+    return [(t, cue, cues, model.codes[lang], float(c)) for (t, cue, cues, lang, _), c in zip(out, sure)]
 
 
 def train(samples: DataFrame, lang: str, text: str, docs: DataFrame | None = None, key: str = "", *, most_samples: int = 20_000, most_documents: int = 3000, longest_document: int = 8000, texts_per_language: int = 300, centroids: int = 6) -> Model:
@@ -321,7 +339,10 @@ def train(samples: DataFrame, lang: str, text: str, docs: DataFrame | None = Non
     first = fit(pairs, centroids)
     if docs is None or not pairs:
         return first
-    labelled = docs.select(F.col(key).alias("k"), declared_language("lang").alias("l"), F.col("text").alias("t")).where(F.length("t").between(1, longest_document) & F.col("l").isin(first.codes))
+    named = docs.select(F.col(key).alias("k"), declared_language("lang").alias("l"), F.col("text").alias("t")).where(F.col("l").isin(first.codes))
+    # A threshold on the hash leaves each task only its share of the sample to send.
+    share = min(1.0, 1.5 * most_documents / max(1, named.select("l").count()))
+    labelled = named.where(F.xxhash64("k") <= int(share * ((1 << 64) - 1)) - (1 << 63)).where(F.length("t").between(1, longest_document))
     rows = labelled.orderBy(F.xxhash64("k"), "k", "t").limit(most_documents).collect()
     return fit(pairs + confirmed_stretches(first, [(r["l"], r["t"]) for r in rows], texts_per_language), centroids, 3)
 
@@ -337,7 +358,7 @@ def confirmed_stretches(model: Model, labelled: list[tuple[str, str]], most: int
         code = labelled[n][0]
         if len(lines) > 1 or lines[0][1] != code or lines[0][2] < 0.5:
             continue
-        words = [spoken_words(s) for s in ARROW_LINE.split(labelled[n][1].replace("\r", "\n"))[1:]]
+        words = [spoken_words(s) for s in cue_segments(labelled[n][1])[1:]]
         words = [w for w in words if w]
         for at in range(0, min(len(words), 2 * cues), cues):
             if taken[code] < most:
