@@ -72,7 +72,9 @@ def _blocks(classes: DataFrame, symmetric: bool) -> DataFrame:
     as_point = x.select("grp", "row", "unit", F.explode(F.sequence(F.lit(0), "mine") if symmetric else every).alias("block"), F.col("mine").alias("shard"), F.lit(False).alias("query"))
     if symmetric:  # a block against itself needs its rows once
         as_point = as_point.where("block <> shard")
-    return as_query.unionByName(as_point)
+    # Pairs of blocks are few and heavy: ask for enough partitions that they seldom share one.
+    pairs = sizes.agg(F.sum(F.col("shards").cast("long") * (F.col("shards") + 1 if symmetric else F.col("shards")))).first()[0] or 1
+    return as_query.unionByName(as_point).repartition(int(min(50_000, 3 * pairs)), "grp", "block", "shard")
 
 
 def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
