@@ -342,7 +342,7 @@ def train(samples: DataFrame, lang: str, text: str, docs: DataFrame | None = Non
     named = docs.select(F.col(key).alias("k"), declared_language("lang").alias("l"), F.col("text").alias("t")).where(F.col("l").isin(first.codes))
     # A threshold on the hash leaves each task only its share of the sample to send.
     share = min(1.0, 1.5 * most_documents / max(1, named.select("l").count()))
-    labelled = named.where(F.xxhash64("k") <= int(share * ((1 << 64) - 1)) - (1 << 63)).where(F.length("t").between(1, longest_document))
+    labelled = named.where(F.xxhash64("k") <= min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))).where(F.length("t").between(1, longest_document))
     rows = labelled.orderBy(F.xxhash64("k"), "k", "t").limit(most_documents).collect()
     return fit(pairs + confirmed_stretches(first, [(r["l"], r["t"]) for r in rows], texts_per_language), centroids, 3)
 
