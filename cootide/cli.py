@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+import os
 import sys
 
 from cootide.core import TensorError
@@ -32,7 +33,7 @@ def _stats(spark, a) -> None:
         print(stats.tree_text(x, a.tree))
     if a.parts:
         n = structure.fibers(x, a.mode).count()
-        per = partition.fiber_part_stats(x, matrices.read_parts(spark, a.parts, n), a.mode)
+        per = partition.fiber_part_stats(x, matrices.read_parts(spark, os.path.abspath(a.parts), n), a.mode)
         for r in per.orderBy("part").collect():
             print(" ".join(f"{k}={v}" for k, v in r.asDict().items()))
 
@@ -57,7 +58,7 @@ def _convert(spark, a) -> None:
 
 def _reorder(spark, a) -> None:
     x = text.read(spark, a.file).materialize()
-    parts = matrices.read_parts(spark, a.parts) if a.parts else None
+    parts = matrices.read_parts(spark, os.path.abspath(a.parts)) if a.parts else None
     if parts is not None and a.type == "graph":
         parts = parts.withColumnRenamed("vtx", "v")
     y, perms = reorder.reorder(x, a.type, seed=a.seed, parts=parts, mode=a.mode)
@@ -117,6 +118,8 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
+    if "://" not in a.file:
+        a.file = os.path.abspath(a.file)
     logging.basicConfig(level=logging.WARNING)
     try:
         a.run(local_session(a.cpus), a)

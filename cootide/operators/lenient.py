@@ -5,8 +5,8 @@ each at cost 1, until the line is a sequence of whole fields, bare or quoted. A
 valid types loads. Any other line is set apart; the kind of its edits, or else the first field with a wrong type, is the
 reason. Quote edits are minimised first with delimiters as they stand, then delimiter edits.
 
-Lines of cost zero are recognised by one regular expression inside the JVM, which is the automaton of the parse without
-edits. Only the others reach the dynamic program, which works on the line's shape (runs of quote, blank and other
+Lines of cost zero are recognised inside the JVM: a line is well quoted if no quote is left once the whole quoted fields
+are taken out, leftmost first. Only the others reach the dynamic program, which works on the line's shape (runs of quote, blank and other
 characters), of which there are few, so results are kept per shape.
 """
 
@@ -21,8 +21,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 # The reasons in the order in which they apply.
 REASONS = ("quoting", "columns", "indices", "values")
 
-_FIELD = r'(?:"[^"]*"|[^" \t]+)'
-WELL_QUOTED = rf"^[ \t]*(?:{_FIELD}(?:[ \t]+{_FIELD})*[ \t]*)?\z"
+# A field in quotes, whole; neither this nor any other pattern here repeats a group, which Java's matcher would do by
+# recursion and so fail on very long lines.
+QUOTED_FIELD = r'(?<![^ \t])"[^"]*"(?![^ \t])'
 NUMBER = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
 
 # States of the parse: between fields, in a bare field, in a quoted field, after a closing quote.
@@ -44,36 +45,42 @@ def _step(state: int, c: str) -> int | None:
     return None if state == _CLOSED else _BARE
 
 
-@lru_cache(maxsize=65536)
-def quote_edits(shape: str) -> tuple[int, tuple[tuple[str, int], ...], str]:
-    """Fewest quotes to insert or delete, delimiters as they stand: (cost, edits, the shape after them)."""
-    best: dict[int, tuple[int, tuple, str]] = {_GAP: (0, (), "")}
+def quote_edits(shape: str) -> tuple[int, list[tuple[str, int]], str]:
+    """Fewest quotes to insert or delete, delimiters as they stand: (cost, edits, the shape after them).
 
-    def inserted(now: dict) -> dict:
+    Per state the cheapest way so far is kept as a chain of steps, so time and memory grow with the shape's length.
+    """
+    best: dict[int, tuple[int, tuple | None]] = {_GAP: (0, None)}
+
+    def inserted(now: dict, pos: int) -> dict:
         out = dict(now)
-        for state, (cost, edits, text) in now.items():
+        for state, (cost, chain) in now.items():
             after = _step(state, '"')
             if after is not None and (after not in out or out[after][0] > cost + 1):
-                out[after] = (cost + 1, (*edits, ("insert quote", pos)), text + '"')
+                out[after] = (cost + 1, (chain, '"', ("insert quote", pos)))
         return out
 
     for pos, c in enumerate(shape):
-        now, after = inserted(best), {}
-        for state, (cost, edits, text) in now.items():
-            options = [(_step(state, c), cost, edits, text + c)]
+        now, after = inserted(best, pos), {}
+        for state, (cost, chain) in now.items():
+            options = [(_step(state, c), cost, (chain, c, None))]
             if c == '"':
-                options.append((state, cost + 1, (*edits, ("delete quote", pos)), text))
-            for to, cost2, edits2, text2 in options:
+                options.append((state, cost + 1, (chain, "", ("delete quote", pos))))
+            for to, cost2, chain2 in options:
                 if to is not None and (to not in after or after[to][0] > cost2):
-                    after[to] = (cost2, edits2, text2)
+                    after[to] = (cost2, chain2)
         best = after
-    pos = len(shape)
-    ends = [v for s, v in inserted(best).items() if s != _QUOTED]
-    return min(ends, key=lambda v: v[0])
+    cost, chain = min((v for s, v in inserted(best, len(shape)).items() if s != _QUOTED), key=lambda v: v[0])
+    text, edits = [], []
+    while chain is not None:
+        chain, c, edit = chain
+        text.append(c)
+        if edit:
+            edits.append(edit)
+    return cost, edits[::-1], "".join(reversed(text))
 
 
-@lru_cache(maxsize=65536)
-def delimiter_edits(shape: str, fields: int) -> tuple[int, tuple[tuple[str, int], ...]]:
+def delimiter_edits(shape: str, fields: int) -> tuple[int, list[tuple[str, int]]]:
     """Fewest delimiters to insert or delete so that a well-quoted shape has ``fields`` fields: (cost, edits).
 
     Deleting a delimiter joins its neighbours; only blanks outside quotes are delimiters. Which ones are deleted does
@@ -91,22 +98,29 @@ def delimiter_edits(shape: str, fields: int) -> tuple[int, tuple[tuple[str, int]
         elif not inside:
             inside, count = True, count + 1
     if count <= fields:
-        return fields - count, tuple(("insert delimiter", len(shape)) for _ in range(fields - count))
+        return fields - count, [("insert delimiter", len(shape))] * (fields - count)
     if not inside:
         gaps = gaps[:-1]
-    return count - fields, tuple(("delete delimiter", p) for p in gaps[fields - 1 :])
+    return count - fields, [("delete delimiter", p) for p in gaps[max(fields - 1, 0) :]]
 
 
-def error_parse(line: str, fields: int) -> tuple[int, str, str]:
-    """(cost, reason or '', edits as text) of one line without its final carriage return."""
-    shape = shape_of(line)
+def _parse_shape(shape: str, fields: int) -> tuple[int, str, str]:
     cost, edits, mended = quote_edits(shape)
     more, cuts = delimiter_edits(re.sub(" +", " ", mended), fields)
     reason = "quoting" if cost else "columns" if more else ""
-    text = "; ".join(f"{name} at run {pos + 1}" for name, pos in (*edits, *cuts)[:8])
+    text = "; ".join(f"{name} at run {pos + 1}" for name, pos in [*edits, *cuts][:8])
     return cost + more, reason, text + ("; ..." if cost + more > 8 else "")
 
 
+_short_shapes = lru_cache(maxsize=65536)(_parse_shape)
+
+
+def error_parse(line: str, fields: int) -> tuple[int, str, str]:
+    """(cost, reason or '', edits as text) of one line without its final carriage return."""
+    shape = shape_of(line)
+    return (_short_shapes if len(shape) <= 200 else _parse_shape)(shape, fields)
+
+
 def _errors(lines: pd.Series, fields: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([error_parse(a, int(b)) for a, b in zip(lines, fields)], columns=["cost", "reason", "edits"])
 
@@ -133,7 +147,7 @@ def parse_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
     cases = lines.select("line_id", "file_id", "line_no", line).where(F.col("line").isNotNull() & ~F.col("line").startswith("#") & F.col("line").rlike(r"[^ \t]"))
     known = F.col("nmodes").isNotNull() & F.col("index_base").isNotNull() & (F.size("dims") >= F.col("nmodes")) & (F.col("nmodes") > 0)
     x = cases.join(f, "file_id", "left").withColumn("known", F.coalesce(known, F.lit(False)))
-    x = x.withColumn("parts", F.when(F.col("line").rlike(WELL_QUOTED), _fields(F.col("line"))))
+    x = x.withColumn("parts", F.when(~F.col("line").contains('"') | ~F.regexp_replace("line", QUOTED_FIELD, "x").contains('"'), _fields(F.col("line"))))
     clean = F.col("known") & F.col("parts").isNotNull() & (F.size("parts") == F.col("nmodes") + 1)
     # Digit strings keep leading zeros; with more than 18 digits after those they are out of every range.
     raw = F.slice("parts", 1, F.col("nmodes"))

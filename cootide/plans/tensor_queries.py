@@ -346,13 +346,14 @@ def _mod_parts(spark, n, column, parts=4):
 _query("edge_cut", f"{_with('te', 3, True)}, {_EDGES} SELECT CAST(coalesce(sum(w), 0) // 2 AS BIGINT) AS cut FROM edges WHERE u % 4 <> v % 4")(lambda s, d: graphs.edge_cut(graphs.partite_edges(x := tensor(s, d, "te")), _mod_parts(s, sum(x.dims), "v")))
 _NUMBERED = "n AS (SELECT *, row_number() OVER (ORDER BY i0, i1, i2) - 1 AS vtx FROM te)"
 _query("hypergraph_nnz_pins", f"{_with('te', 3, True)}, {_NUMBERED} SELECT i0 AS hedge, vtx FROM n UNION ALL SELECT d0 + i1, vtx FROM n, dims UNION ALL SELECT d0 + d1 + i2, vtx FROM n, dims")(lambda s, d: graphs.nonzero_pins(tensor(s, d, "te")))
-_query("hypergraph_uncut", f"{_with('te', 3, True)}, {_NUMBERED}, p AS (SELECT i0 AS hedge, vtx FROM n UNION ALL SELECT d0 + i1, vtx FROM n, dims UNION ALL SELECT d0 + d1 + i2, vtx FROM n, dims) SELECT g.hedge FROM (SELECT unnest(range(d0 + d1 + d2)) AS hedge FROM dims) g LEFT JOIN p USING (hedge) GROUP BY 1 HAVING count(DISTINCT p.vtx % 4) <= 1")(
-    lambda s, d: graphs.uncut_hyperedges(graphs.nonzero_pins(x := tensor(s, d, "te")), _mod_parts(s, x.nnz(), "vtx"), sum(x.dims))
+_PINS = "p AS (SELECT i0 AS hedge, vtx FROM n UNION ALL SELECT d0 + i1, vtx FROM n, dims UNION ALL SELECT d0 + d1 + i2, vtx FROM n, dims)"
+_query("hypergraph_uncut", f"{_with('t3', 3, True)}, {_NUMBERED.replace('te)', 't3)')}, {_PINS} SELECT g.hedge FROM (SELECT unnest(range(d0 + d1 + d2)) AS hedge FROM dims) g LEFT JOIN p USING (hedge) GROUP BY 1 HAVING count(DISTINCT p.vtx // 50) <= 1")(
+    lambda s, d: graphs.uncut_hyperedges(graphs.nonzero_pins(x := tensor(s, d, "t3")), s.range(x.nnz()).select(F.col("id").alias("vtx"), F.floor(F.col("id") / 50).alias("part")), sum(x.dims))
 )
-# Seen from mode 1 the order of TE's modes is 1, 2, 0: the users are the longest other mode.
-_FIBERS = "f AS (SELECT i1 AS s, i2 AS f0, count(*) AS nnz, row_number() OVER (ORDER BY i1, i2) - 1 AS fiber FROM te GROUP BY 1, 2)"
-_query("hypergraph_fiber_weights", f"{_with('te')}, {_FIBERS} SELECT s, f0, nnz, fiber FROM f")(lambda s, d: structure.fibers(tensor(s, d, "te"), 1))
-_query("hypergraph_fiber_pins", f"{_with('te', 3, True)}, {_FIBERS} SELECT s AS hedge, fiber AS vtx FROM f UNION ALL SELECT d1 + f0, fiber FROM f, dims UNION ALL SELECT d1 + d2 + te.i0, fiber FROM te JOIN f ON te.i1 = f.s AND te.i2 = f.f0, dims")(lambda s, d: graphs.fiber_pins(tensor(s, d, "te"), 1))
+# Seen from mode 1 the order of T3's modes is 1, 2, 0: parts are the longest other mode at every scale.
+_FIBERS = "f AS (SELECT i1 AS s, i2 AS f0, count(*) AS nnz, row_number() OVER (ORDER BY i1, i2) - 1 AS fiber FROM t3 GROUP BY 1, 2)"
+_query("hypergraph_fiber_weights", f"{_with('t3')}, {_FIBERS} SELECT s, f0, nnz, fiber FROM f")(lambda s, d: structure.fibers(tensor(s, d, "t3"), 1))
+_query("hypergraph_fiber_pins", f"{_with('t3', 3, True)}, {_FIBERS} SELECT s AS hedge, fiber AS vtx FROM f UNION ALL SELECT d1 + f0, fiber FROM f, dims UNION ALL SELECT d1 + d2 + t3.i0, fiber FROM t3 JOIN f ON t3.i1 = f.s AND t3.i2 = f.f0, dims")(lambda s, d: graphs.fiber_pins(tensor(s, d, "t3"), 1))
 
 # -- permutations ------------------------------------------------------------------------------------------------------
 
@@ -371,12 +372,12 @@ def _perms(perms):
     return out
 
 
-_MET = f"{_FIBERS}, met AS (SELECT 1 AS mode, s AS old, min(fiber % 4 * 1000000000 + fiber) AS k, 0 AS at FROM f GROUP BY 2 UNION ALL SELECT 2, f0, min(fiber % 4 * 1000000000 + fiber), 0 FROM f GROUP BY 2 UNION ALL SELECT 0, te.i0, min(fiber % 4 * 1000000000 + fiber), te.i0 FROM te JOIN f ON te.i1 = f.s AND te.i2 = f.f0 GROUP BY te.i0)"
+_MET = f"{_FIBERS}, met AS (SELECT 1 AS mode, s AS old, min(fiber % 4 * 1000000000 + fiber) AS k, 0 AS pos FROM f GROUP BY 2 UNION ALL SELECT 2, f0, min(fiber % 4 * 1000000000 + fiber), 0 FROM f GROUP BY 2 UNION ALL SELECT 0, t3.i0, min(fiber % 4 * 1000000000 + fiber), t3.i0 FROM t3 JOIN f ON t3.i1 = f.s AND t3.i2 = f.f0 GROUP BY t3.i0)"
 
 
-@_query("reorder_hgraph_perm", f"{_with('te', 3, True)}, {_VERTICES}, {_MET} SELECT vertices.mode, i AS old, row_number() OVER (PARTITION BY vertices.mode ORDER BY k IS NULL, k, at, i) - 1 AS new FROM vertices LEFT JOIN met ON met.mode = vertices.mode AND met.old = vertices.i")
+@_query("reorder_hgraph_perm", f"{_with('t3', 3, True)}, {_VERTICES}, {_MET} SELECT vertices.mode, i AS old, row_number() OVER (PARTITION BY vertices.mode ORDER BY (k IS NULL), k, pos, i) - 1 AS new FROM vertices LEFT JOIN met ON met.mode = vertices.mode AND met.old = vertices.i")
 def reorder_hgraph_perm(spark, sf_dir):
-    x = tensor(spark, sf_dir, "te")
+    x = tensor(spark, sf_dir, "t3")
     return _perms(reorder.by_fiber_parts(x, _mod_parts(spark, structure.fibers(x, 1).count(), "vtx"), 1))
 
 
@@ -441,8 +442,8 @@ def grid_layers(spark, sf_dir):
 
 
 _query("coarse_owners")(lambda s, d: partition.coarse_owners(tensor(s, d, "te"), 4).groupBy("part").agg(F.count(F.lit(1)).alias("nnz")))
-_query("fiber_part_stats", f"{_with('te')}, {_FIBERS} SELECT fiber % 4 AS part, count(DISTINCT fiber) AS fibers, count(*) AS nnz, count(DISTINCT s) AS n_s, count(DISTINCT f0) AS n_f0, count(DISTINCT te.i0) AS n_leaf FROM te JOIN f ON te.i1 = f.s AND te.i2 = f.f0 GROUP BY 1")(
-    lambda s, d: partition.fiber_part_stats(x := tensor(s, d, "te"), _mod_parts(s, structure.fibers(x, 1).count(), "vtx"), 1)
+_query("fiber_part_stats", f"{_with('t3')}, {_FIBERS} SELECT fiber % 4 AS part, count(DISTINCT fiber) AS fibers, count(*) AS nnz, count(DISTINCT s) AS n_s, count(DISTINCT f0) AS n_f0, count(DISTINCT t3.i0) AS n_leaf FROM t3 JOIN f ON t3.i1 = f.s AND t3.i2 = f.f0 GROUP BY 1")(
+    lambda s, d: partition.fiber_part_stats(x := tensor(s, d, "t3"), _mod_parts(s, structure.fibers(x, 1).count(), "vtx"), 1)
 )
 
 # -- sources, sinks, streams -------------------------------------------------------------------------------------------
