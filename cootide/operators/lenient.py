@@ -126,9 +126,17 @@ def _errors(lines: pd.Series, fields: pd.Series) -> pd.DataFrame:
 
 
 def _fields(line: Column) -> Column:
-    """The fields of a well-quoted line, quotes taken off."""
+    """The fields of a line, quotes taken off; null if it is not well quoted. Most lines hold no quote at all."""
+    bare = F.split(F.regexp_replace(line, r"^[ \t]+|[ \t]+\z", ""), r"[ \t]+")
     found = F.regexp_extract_all(line, F.lit(r'("[^"]*"|[^" \t]+)'), F.lit(1))
-    return F.transform(found, lambda f: F.regexp_replace(f, r'^"|"\z', ""))
+    unquoted = F.transform(found, lambda f: F.when(f.startswith('"'), f.substr(F.lit(2), F.length(f) - 2)).otherwise(f))
+    well = ~F.regexp_replace(line, QUOTED_FIELD, "x").contains('"')
+    return F.when(~line.contains('"'), bare).when(well, unquoted)
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once per row: a plain projection would be repeated wherever it is used."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def parse_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
@@ -147,19 +155,18 @@ def parse_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
     cases = lines.select("line_id", "file_id", "line_no", line).where(F.col("line").isNotNull() & ~F.col("line").startswith("#") & F.col("line").rlike(r"[^ \t]"))
     known = F.col("nmodes").isNotNull() & F.col("index_base").isNotNull() & (F.size("dims") >= F.col("nmodes")) & (F.col("nmodes") > 0)
     x = cases.join(f, "file_id", "left").withColumn("known", F.coalesce(known, F.lit(False)))
-    x = x.withColumn("parts", F.when(~F.col("line").contains('"') | ~F.regexp_replace("line", QUOTED_FIELD, "x").contains('"'), _fields(F.col("line"))))
+    x = _once(x, "parts", _fields(F.col("line")))
     clean = F.col("known") & F.col("parts").isNotNull() & (F.size("parts") == F.col("nmodes") + 1)
-    # Digit strings keep leading zeros; with more than 18 digits after those they are out of every range.
-    raw = F.slice("parts", 1, F.col("nmodes"))
-    number = lambda p: p.try_cast("long")
-    rebased = F.zip_with(
-        raw, F.slice("dims", 1, F.col("nmodes")),
-        lambda p, d: F.when(p.rlike(r"^0*[0-9]{1,18}\z") & (number(p) >= F.col("index_base")) & (number(p) < F.col("index_base") + d), number(p) - F.col("index_base")),
-    )
+
+    def rebased(p: Column, d: Column) -> Column:
+        """0-based index, or null: digits keep leading zeros; with more than 18 after those they are out of every range."""
+        n = p.try_cast("long") - F.col("index_base")
+        return F.when(p.rlike(r"^0*[0-9]{1,18}\z") & n.between(0, d - 1), n)
+
     last = F.element_at("parts", F.col("nmodes") + 1)
-    value = F.when(last.rlike(NUMBER), last.try_cast("double"))
-    x = x.withColumn("clean", clean)
-    x = x.withColumn("indices", F.when(F.col("clean"), F.slice(rebased, 1, F.col("nmodes")))).withColumn("value", F.when(F.col("clean"), value))
+    number = F.when(last.rlike(NUMBER), last.try_cast("double"))
+    indices = F.zip_with(F.slice("parts", 1, F.col("nmodes")), F.slice("dims", 1, F.col("nmodes")), rebased)
+    x = _once(x, "row", F.when(clean, F.struct(indices.alias("indices"), number.alias("value")))).select("line_id", "file_id", "line_no", "line", "known", "nmodes", F.col("row").isNotNull().alias("clean"), "row.indices", "row.value")
     bad_index = F.exists("indices", lambda i: i.isNull())
     bad_value = F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf"))
     errors = F.pandas_udf(_errors, T.StructType([T.StructField("cost", T.IntegerType()), T.StructField("reason", T.StringType()), T.StructField("edits", T.StringType())]))
