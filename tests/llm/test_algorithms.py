@@ -191,6 +191,17 @@ def test_average_linkage_against_rounds_by_hand(spark):
     assert clusters.merge_reciprocal(edges.limit(0), 0.8).count() == 0
 
 
+def test_local_rounds_equal_distributed_ones(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    pairs = {(int(min(a, b)), int(max(a, b))): float(c) for a, b, c in zip(rng.integers(0, 60, 250), rng.integers(0, 60, 250), rng.random(250)) if a != b}
+    edges = spark.createDataFrame([(a, b, c) for (a, b), c in pairs.items()], "lo bigint, hi bigint, cosine double")
+    whole = dict(rows(clusters.merge_reciprocal(edges, 0.6)))
+    local = dict(rows(clusters.merge_average(edges, 0.6)))
+    assert {k: v for k, v in whole.items() if k in local} == local and all(whole[k] == k for k in whole.keys() - local.keys())
+    monkeypatch.setattr(clusters, "MOST_LOCAL_LINKS", 3)
+    assert dict(rows(clusters.merge_average(edges, 0.6))) == local
+
+
 def test_vectors_of_nothing(spark):
     df = _frame(spark, _vectors(4), BAD).where("row_id > 9000")
     assert neighbours.nearest_rows(df, "row_id", "mode_no", "vals", 3, dimensions=8).count() == 0
