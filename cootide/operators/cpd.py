@@ -135,13 +135,11 @@ def _on_arrays(x: SparseTensor, rank: int, options: CpdOptions, normsq: float, s
     spark, n = x.df.sparkSession, x.nmodes
     factors = [np.array(f, dtype=float) for f in start] if start is not None else [kernels.to_numpy(start_factor(spark, d, m, rank, options), d, rank) for m, d in enumerate(x.dims)]
     grams = [f.T @ f for f in factors]
-    weights, fits = np.ones(rank), []
+    weights, fits, tasks = np.ones(rank), [], x.df.rdd.getNumPartitions()
     for it in range(options.max_iterations):
         began = time.time()
         for m in range(n):
-            t = kernels.arrow_products(x, {k: factors[k] for k in range(n) if k != m}, m, rank).toArrow()
-            product = np.zeros((x.dims[m], rank))
-            product[t["i"].to_numpy()] = np.stack([t[f"r{r}"].to_numpy() for r in range(rank)], axis=1)
+            product = kernels.product_array(x, {k: factors[k] for k in range(n) if k != m}, m, rank, tasks)
             a = linalg.solve_normals(linalg.hadamard(grams, m, options.regularization), product)
             weights = np.sqrt((a * a).sum(axis=0)) if it == 0 else np.maximum(1.0, a.max(axis=0))
             a /= np.where(weights > 0, weights, 1.0)

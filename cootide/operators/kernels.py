@@ -152,6 +152,34 @@ def arrow_products(tensor: SparseTensor, arrays: dict[int, np.ndarray], mode: in
     return parts.groupBy("i").agg(*[F.sum(f"r{r}").alias(f"r{r}") for r in range(rank)])
 
 
+def _whole_task(batches, arrays: dict[int, np.ndarray], mode: int, rank: int, dim: int):
+    """The sums of all batches of a task as one batch."""
+    total, met = np.zeros((dim, rank)), np.zeros(dim, bool)
+    for part in partial_products(batches, arrays, mode, rank):
+        at = part.column(0).to_numpy()
+        met[at] = True
+        total[at] += np.stack([part.column(r + 1).to_numpy() for r in range(rank)], axis=1)
+    at = np.flatnonzero(met)
+    if len(at):
+        yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(total[at, r]) for r in range(rank)]], ["i", *[f"r{r}" for r in range(rank)]])
+
+
+def product_array(tensor: SparseTensor, arrays: dict[int, np.ndarray], mode: int, rank: int, tasks: int) -> np.ndarray:
+    """The product as an array. If all tasks' sums together are proven small they are added on the driver, without an
+    exchange; else Spark adds them first."""
+    dim = tensor.dims[mode]
+    out = np.zeros((dim, rank))
+    if tasks * factor_bytes(dim, rank) <= BROADCAST_BYTES:
+        shared = tensor.df.sparkSession.sparkContext.broadcast(arrays)
+        schema = "i bigint, " + ", ".join(f"r{r} double" for r in range(rank))
+        t = tensor.df.mapInArrow(lambda batches: _whole_task(batches, shared.value, mode, rank, dim), schema).toArrow()
+    else:
+        t = arrow_products(tensor, arrays, mode, rank).toArrow()
+    if t.num_rows:
+        np.add.at(out, t["i"].to_numpy(), np.stack([t[f"r{r}"].to_numpy() for r in range(rank)], axis=1))
+    return out
+
+
 def _arrow(tensor, factors, mode, rank, others) -> DataFrame:
     arrays = {k: to_numpy(factors[k], tensor.dims[k], rank) for k in others}
     return _as_row(arrow_products(tensor, arrays, mode, rank), "i", rank)
