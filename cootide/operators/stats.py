@@ -34,7 +34,7 @@ def stats(tensor: SparseTensor) -> DataFrame:
 
 def stats_text(tensor: SparseTensor, name: str = "") -> str:
     nnz = tensor.nnz()
-    return "\n".join(["Tensor information ---------------------------------------------", f"FILE={name}", f"DIMS={'x'.join(map(str, tensor.dims))} NNZ={nnz}", f"DENSITY={density(nnz, tensor.dims):e}", f"COORD-STORAGE={bytes_text(coordinate_bytes(nnz, tensor.nmodes))}"])
+    return "\n".join([f"FILE={name}", f"DIMS={'x'.join(map(str, tensor.dims))} NNZ={nnz}", f"DENSITY={density(nnz, tensor.dims):e}", f"COORD-STORAGE={bytes_text(coordinate_bytes(nnz, tensor.nmodes))}"])
 
 
 def tree_text(tensor: SparseTensor, copies: str = "two") -> str:

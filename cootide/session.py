@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import weakref
@@ -11,6 +12,7 @@ import weakref
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[str, weakref.ref] = {}
+_shipped: set[str] = set()
 
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -81,5 +83,16 @@ def _release_all() -> None:
     _written.clear()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, unless their Python path holds it already."""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped or home in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.getcwd() == home:
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="cootide-"), "cootide"), "zip", home, "cootide")
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
