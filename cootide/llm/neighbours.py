@@ -70,8 +70,7 @@ def _blocks(classes: DataFrame, symmetric: bool) -> DataFrame:
     every = F.sequence(F.lit(0), F.col("shards") - 1)
     as_query = x.select("grp", "row", "unit", F.col("mine").alias("block"), F.explode(F.sequence("mine", F.col("shards") - 1) if symmetric else every).alias("shard"), F.lit(True).alias("query"))
     as_point = x.select("grp", "row", "unit", F.explode(F.sequence(F.lit(0), "mine") if symmetric else every).alias("block"), F.col("mine").alias("shard"), F.lit(False).alias("query"))
-    if symmetric:  # a block against itself needs its rows once
-        as_point = as_point.where("block <> shard")
+    as_point = as_point.where("block <> shard")  # a block against itself needs its rows once
     # Pairs of blocks are few and heavy: ask for enough partitions that they seldom share one.
     pairs = sizes.agg(F.sum(F.col("shards").cast("long") * (F.col("shards") + 1 if symmetric else F.col("shards")))).first()[0] or 1
     return as_query.unionByName(as_point).repartition(int(min(50_000, 3 * pairs)), "grp", "block", "shard")
@@ -90,7 +89,8 @@ def nearest_classes(classes: DataFrame, k: int, *, min_cos: float, factor: float
     def search(t: pa.Table) -> pa.Table:
         grp = t["grp"][0]
         q_ids, q = _matrix(t.filter(t["query"]))
-        p_ids, p = _matrix(t.filter(pc.invert(t["query"])))
+        same = t["block"][0].as_py() == t["shard"][0].as_py()
+        p_ids, p = (q_ids, q) if same else _matrix(t.filter(pc.invert(t["query"])))
         if not len(q_ids) or not len(p_ids):
             return empty
         cos, at = vptree.nearest(q, p, p_ids, k, min_cos=min_cos, factor=factor)
