@@ -120,7 +120,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters by average linkage on the graph of nearest rows: size and most typical rows."""
+    """Clusters by average linkage over all pairs of rows of a matrix: size and most typical rows."""
     from .clusters import average_clusters
 
     return average_clusters(read_table(spark, sf_dir, "factor_rows"), "row_id", "mode_no", "vals", MIN_COSINE).select(F.col("grp").cast("int").alias("mode_no"), "first_row_id", "size", "typical_row_ids")

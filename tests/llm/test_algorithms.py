@@ -202,6 +202,52 @@ def test_local_rounds_equal_distributed_ones(spark, monkeypatch):
     assert dict(rows(clusters.merge_average(edges, 0.6))) == local
 
 
+def _average_by_hand(x, threshold):
+    """Average linkage over all pairs, best pair first."""
+    groups = [[i] for i in range(len(x))]
+    while True:
+        w = np.array([[-1.0 if a is b else (x[a] @ x[b].T).mean() for b in groups] for a in groups])
+        i, j = sorted(divmod(int(w.argmax()), len(groups))) if len(groups) > 1 else (0, 0)
+        if i == j or w[i, j] < threshold:
+            return sorted(sorted(g) for g in groups)
+        groups[i] += groups.pop(j)
+
+
+def test_clusters_count_all_pairs_not_the_nearest_ones(spark):
+    # Tight families of 8 rows within wider ones: the five nearest of every row are of its own family.
+    rng = np.random.default_rng(4)
+    centers = np.repeat(rng.normal(size=(6, 8)), 3, axis=0) + 0.35 * rng.normal(size=(18, 8))
+    x = np.repeat(centers, 8, axis=0) + 0.02 * rng.normal(size=(144, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = _average_by_hand(x, 0.85)
+    assert len(want) < 18
+    df = spark.createDataFrame([(i, 0, r.tolist()) for i, r in enumerate(x)], "row_id bigint, mode_no int, vals array<double>")
+    found = clusters.average_clusters(df, "row_id", "mode_no", "vals", 0.85, dimensions=8).collect()
+    assert sorted((r["first_row_id"], r["size"]) for r in found) == sorted((g[0], len(g)) for g in want)
+
+
+@pytest.mark.parametrize("equal", [False, True])
+def test_rounds_on_means_within_a_task_and_over_the_cluster(spark, monkeypatch, equal):
+    rng = np.random.default_rng(6)
+    x = np.eye(40) * 0.5 ** 0.5 + 0.5 * np.ones((40, 40)) / 40 ** 0.5 if equal else _vectors(150)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = rng.permutation(1000)[: len(x)]
+    threshold = float(np.round(x[0] @ x[1], 9)) - 1e-3 if equal else 0.8
+    nodes = spark.createDataFrame([(7, int(i), 1, r.tolist()) for i, r in zip(ids, x)], "part bigint, node bigint, n bigint, total array<double>")
+    local = rows(clusters.merge_means(nodes, threshold))
+    monkeypatch.setattr(clusters, "MOST_LOCAL_VECTORS", 3)
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", 60)
+    assert rows(clusters.merge_means(nodes, threshold)) == local and len(local) == len(x)
+    if not equal:
+        found = defaultdict(list)
+        place = {int(i): n for n, i in enumerate(ids)}
+        for node, cluster in local:
+            found[cluster].append(place[node])
+        assert all(c == min(int(ids[n]) for n in g) for c, g in found.items())
+        kept = list(found.values())
+        assert all((x[a] @ x[b].T).mean() < 0.8 for a in kept for b in kept if a is not b)
+
+
 def test_vectors_of_nothing(spark):
     df = _frame(spark, _vectors(4), BAD).where("row_id > 9000")
     assert neighbours.nearest_rows(df, "row_id", "mode_no", "vals", 3, dimensions=8).count() == 0
