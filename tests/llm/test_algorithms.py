@@ -248,6 +248,20 @@ def test_rounds_on_means_within_a_task_and_over_the_cluster(spark, monkeypatch,
         assert all((x[a] @ x[b].T).mean() < 0.8 for a in kept for b in kept if a is not b)
 
 
+def test_every_row_of_a_class_counts(spark, monkeypatch):
+    # cos(x, y) = 0.95, cos(x, z) = 0.8, cos(y, z) = 0.7: the mean is 0.75 over classes, 0.797 over the 31 rows of x and y.
+    gram = np.array([[1, 0.95, 0.8], [0.95, 1, 0.7], [0.8, 0.7, 1]])
+    x, y, z = np.linalg.cholesky(gram).tolist()
+    data = [(i, 0, x) for i in range(30)] + [(30, 0, y), (31, 0, z)]
+    df = spark.createDataFrame(data, "row_id bigint, mode_no int, vals array<double>")
+    found = clusters.average_clusters(df, "row_id", "mode_no", "vals", 0.78, dimensions=3).collect()
+    assert [(r["first_row_id"], r["size"]) for r in found] == [(0, 32)]
+    edges = spark.createDataFrame([(0, 30, 0.95, 30), (0, 31, 0.8, 30), (30, 31, 0.7, 1)], "lo bigint, hi bigint, cosine double, n bigint")
+    for most in (100, 1):
+        monkeypatch.setattr(clusters, "MOST_LOCAL_LINKS", most)
+        assert rows(clusters.merge_average(edges, 0.78)) == [(0, 0), (30, 0), (31, 0)]
+
+
 def test_vectors_of_nothing(spark):
     df = _frame(spark, _vectors(4), BAD).where("row_id > 9000")
     assert neighbours.nearest_rows(df, "row_id", "mode_no", "vals", 3, dimensions=8).count() == 0
