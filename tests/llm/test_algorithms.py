@@ -262,6 +262,17 @@ def test_every_row_of_a_class_counts(spark, monkeypatch):
         assert rows(clusters.merge_average(edges, 0.78)) == [(0, 0), (30, 0), (31, 0)]
 
 
+def test_equal_cosines_merge_alike_within_a_task_and_over_the_cluster(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    pairs = {(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 60, (240, 2)) * 3 if a != b}
+    edges = spark.createDataFrame([(a, b, [0.8, 0.3, 0.2][(a + b) // 3 % 3]) for a, b in sorted(pairs)], "lo bigint, hi bigint, cosine double")
+    local = rows(clusters.merge_average(edges, 0.6))
+    assert 3 < len({c for _, c in local}) < len(local)
+    monkeypatch.setattr(clusters, "MOST_LOCAL_LINKS", 3)
+    assert rows(clusters.merge_average(edges, 0.6)) == local
+    assert clusters._pair_hash(3, 60) == clusters.pair_hash(np.array([3]), np.array([60]))[0] == edges.limit(1).select(clusters.F.xxhash64(clusters.F.lit(3).cast("long"), clusters.F.lit(60).cast("long"))).first()[0]
+
+
 def test_vectors_of_nothing(spark):
     df = _frame(spark, _vectors(4), BAD).where("row_id > 9000")
     assert neighbours.nearest_rows(df, "row_id", "mode_no", "vals", 3, dimensions=8).count() == 0
