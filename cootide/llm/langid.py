@@ -7,7 +7,8 @@ forms in which damaged texts show it (accents lost, letters replaced, read in a
 Classification, distributed: the dot product of a text with the centroids is additive over its words, so each worker keeps
 one row per distinct word (its TF-IDF products with all centroids, and a signed hash sketch of its n-grams from which the
 text's norm follows), and a batch of cues is one gather and one segmented sum. A cue takes the language of the nearest
-centroid by cosine; a cue whose best cosine is below ``reject`` has no language. Within a text, switching the language
+centroid by cosine; a cue whose best cosine is below ``reject`` has no language, but a text of such
+cues only is classified as a whole. Within a text, switching the language
 between cues costs ``switch_cost``, so that a doubtful cue goes with its
 neighbours while one plainly in another language breaks their run.
 """
@@ -50,6 +51,7 @@ SPEAKER = re.compile(r"^[-\s]*[^\W\d_]+:\s", re.M)
 LONGEST_WORD = 40
 AS_IT_STANDS = "\0"
 MOST_WORDS = 400_000
+DOUBTFUL = 0.4
 
 
 def declared_language(label: Column | str) -> Column:
@@ -225,6 +227,12 @@ def cue_segments(text: str) -> list[str]:
 
 
 def spoken_words(segment: str) -> list[str]:
+    """Words of a cue's lines as in ``all_words``, none if all have a single letter."""
+    words = all_words(segment)
+    return words if any(len(w) > 1 for w in words) else []
+
+
+def all_words(segment: str) -> list[str]:
     """Words of a cue's lines without markup, sound descriptions, adverts and speakers' names, in lower case."""
     if not segment.isascii():
         segment = repair(segment)
@@ -238,8 +246,7 @@ def spoken_words(segment: str) -> list[str]:
     if ":" in segment:
         segment = "\n".join(line for line in segment.split("\n") if sum(map(str.isdigit, line)) < 6)
         segment = SPEAKER.sub(" ", segment)
-    words = WORD.findall(segment.lower())
-    return words if any(len(w) > 1 for w in words) else []
+    return WORD.findall(segment.lower())
 
 
 def smooth(scores: np.ndarray, sizes: np.ndarray, switch_cost: float, sharpness: float) -> np.ndarray:
@@ -278,34 +285,39 @@ def classify_texts(model: Model, texts: list[str | None], *, reject: float = 0.1
     """(text number, cue_no, cues, language, confidence): cue_no 0 is the whole text, others its runs.
 
     Runs are given for texts with runs of at least ``run_cues`` cues in two or more languages, and only those runs.
-    A text without any cue line is one stretch of its own.
+    A text without any cue line is one stretch of its own. Cues of single letters only and cues whose best cosine is
+    below ``reject`` have no vote. A text that has no other cues takes the language of all its words together, with a
+    confidence of at most DOUBTFUL.
     """
     words: list[str] = []
-    owner, number, starts, size = [], [], [], []
+    owner, number, starts, size, spoken = [], [], [], [], []
     for t, text in enumerate(texts):
         if not text:
             continue
         segments = cue_segments(text)
         for cue, segment in enumerate(segments):
-            found = spoken_words(segment)
+            found = all_words(segment)
             if not cue:
                 found = [w for w in found if w != "webvtt"]
                 if len(segments) > 1 and len(found) < 3:
                     continue
             if found:
-                owner.append(t), number.append(cue), starts.append(len(words)), size.append(len(found))
+                owner.append(t), number.append(cue), starts.append(len(words)), size.append(len(found)), spoken.append(any(len(w) > 1 for w in found))
                 words += found
     if not words:
         return []
     ids = model.word_ids(words)
     cos, sums = model.cosines(ids, np.array(starts))
     owner, number, size = np.array(owner), np.array(number), np.array(size)
-    keep = cos.max(axis=1) >= reject
-    out = []
+    keep = (cos.max(axis=1) >= reject) & np.array(spoken)
+    out, doubtful = [], set()
     bounds = np.append(np.flatnonzero(np.diff(owner, prepend=-1)), len(owner))
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         use = a + np.flatnonzero(keep[a:b])
         if not len(use):
+            whole = sums[a:b].sum(axis=0)
+            doubtful.add(len(out))
+            out.append((int(owner[a]), 0, b - a, int(model.of_sums(whole[None]).argmax()), whole))
             continue
         labels = smooth(cos[use], size[use], switch_cost, sharpness)
         votes = np.bincount(labels, minlength=cos.shape[1])
@@ -323,7 +335,7 @@ def classify_texts(model: Model, texts: list[str | None], *, reject: float = 0.1
     cos = model.of_sums(np.stack([x[4] for x in out])).astype(float)
     p = np.exp(12 * (cos - cos.max(axis=1, keepdims=True)))
     sure = np.round(p[np.arange(len(out)), [x[3] for x in out]] / p.sum(axis=1), 6)
-    return [(t, cue, cues, model.codes[lang], float(c)) for (t, cue, cues, lang, _), c in zip(out, sure)]
+    return [(t, cue, cues, model.codes[lang], min(float(c), DOUBTFUL) if i in doubtful else float(c)) for i, ((t, cue, cues, lang, _), c) in enumerate(zip(out, sure))]
 
 
 def train(samples: DataFrame, lang: str, text: str, docs: DataFrame | None = None, key: str = "", *, most_samples: int = 20_000, most_documents: int = 3000, longest_document: int = 8000, texts_per_language: int = 300, centroids: int = 6) -> Model:

@@ -187,3 +187,10 @@ def test_held_out_accuracy(model):
     for code, s in held.items():
         for form in filter(langid.WORD.search, langid.damaged_forms(s)):  # one form has only question marks
             assert langid.classify_texts(model, [subtitle(form)])[0][3] == code, form
+
+
+def test_every_text_with_words_has_a_language(model):
+    texts = [subtitle("qzx wvk", "xqj"), subtitle("я", "ы э"), subtitle("♪ ♪", "..."), subtitle("i", *SENTENCES["de"])]
+    found = {t: (cue, cues, lang, sure) for t, cue, cues, lang, sure in langid.classify_texts(model, texts, reject=0.3)}
+    assert found.keys() == {0, 1, 3} and found[0][:2] == found[1][:2] == (0, 2) and found[1][2] == "ru"
+    assert max(found[0][3], found[1][3]) <= langid.DOUBTFUL and found[3][1:3] == (6, "de")
