@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
 
@@ -48,7 +49,7 @@ WORD = re.compile(r"[^\W\d_]+")
 MARKUP = re.compile(r"<[^<>\n]*>|\{[^{}\n]*\}")
 SOUND = re.compile(r"\[[^\[\]]*\]|\([^()]*\)|\*[^*\n]*\*|♪[^♪\n]*♪")
 SPEAKER = re.compile(r"^[-\s]*[^\W\d_]+:\s", re.M)
-LONGEST_WORD = 40
+CHUNK = 4096
 AS_IT_STANDS = "\0"
 MOST_WORDS = 400_000
 DOUBTFUL = 0.4
@@ -87,9 +88,14 @@ def damaged_forms(text: str) -> list[str]:
     return list(dict.fromkeys(f.lower() for f in forms))
 
 
-def ngrams(word: str) -> list[str]:
-    w = f" {word[:LONGEST_WORD]} "
-    return [w[i : i + n] for n in range(1, 6) for i in range(len(w) - n + 1) if n > 1 or w[i] != " "]
+def ngrams(word: str) -> Iterator[list[str]]:
+    """All n-grams of the word, in lists of those that start within CHUNK letters, so that long words need no more memory."""
+    w = f" {word} "
+    for a in range(0, len(w), CHUNK):
+        part = w[a : a + CHUNK + 4]
+        found = [part[i : i + n] for n in range(1, 6) for i in range(min(CHUNK, len(part) - n + 1)) if n > 1 or part[i] != " "]
+        if found:
+            yield found
 
 
 def _spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, least_share: float = 0.03) -> np.ndarray:
@@ -129,14 +135,14 @@ class Model:
 
     def _row(self, word: str) -> np.ndarray:
         split = self.weights.shape[1]
-        found = ngrams(word)
-        known = [self.grams.get(g, -1) for g in found]
-        at = np.array(known)
-        idf = np.where(at >= 0, self.idf[at], self.idf_unseen)
-        h = np.array([crc32(g.encode("utf-8", "surrogatepass")) for g in found])
-        out = np.empty(split + self.sketch, np.float32)
-        out[:split] = self.weights[at[at >= 0]].sum(axis=0)
-        out[split:] = np.bincount(h % self.sketch, np.where(h >> 20 & 1, idf, -idf), self.sketch)
+        out = np.zeros(split + self.sketch, np.float32)
+        for found in ngrams(word):
+            known = [self.grams.get(g, -1) for g in found]
+            at = np.array(known)
+            idf = np.where(at >= 0, self.idf[at], self.idf_unseen)
+            h = np.array([crc32(g.encode("utf-8", "surrogatepass")) for g in found])
+            out[:split] += self.weights[at[at >= 0]].sum(axis=0)
+            out[split:] += np.bincount(h % self.sketch, np.where(h >> 20 & 1, idf, -idf), self.sketch)
         return out
 
     def word_ids(self, words: list[str]) -> np.ndarray:
@@ -181,8 +187,9 @@ def fit(samples: list[tuple[str, str]], centroids: int = 6, least_texts: int = 2
     for _, text in texts:
         tf: dict[str, int] = {}
         for w in WORD.findall(text):
-            for g in ngrams(w):
-                tf[g] = tf.get(g, 0) + 1
+            for found in ngrams(w):
+                for g in found:
+                    tf[g] = tf.get(g, 0) + 1
         counts.append(tf)
         for g in tf:
             df[g] = df.get(g, 0) + 1

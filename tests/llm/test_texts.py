@@ -194,3 +194,15 @@ def test_every_text_with_words_has_a_language(model):
     found = {t: (cue, cues, lang, sure) for t, cue, cues, lang, sure in langid.classify_texts(model, texts, reject=0.3)}
     assert found.keys() == {0, 1, 3} and found[0][:2] == found[1][:2] == (0, 2) and found[1][2] == "ru"
     assert max(found[0][3], found[1][3]) <= langid.DOUBTFUL and found[3][1:3] == (6, "de")
+
+
+def test_long_words_are_read_whole(model, monkeypatch):
+    run_on = "the old bridge is behind the mill and".replace(" ", "") + "".join(SENTENCES["de"] * 3).replace(" ", "")
+    assert langid.classify_texts(model, [subtitle(run_on)])[0][3] == "de"
+    word = "abcdefghijklmnopqrstuvwxyz" * 9
+    whole = list(langid.ngrams(word))
+    assert len(whole) == 1 and len(whole[0]) == sum(len(word) + 3 - n for n in range(1, 6)) - 2
+    monkeypatch.setattr(langid, "CHUNK", 5)
+    for w in (word, word[:8], word[:9], "a"):  # blanks included 10 and 11 letters
+        w2 = f" {w} "
+        assert Counter(g for part in langid.ngrams(w) for g in part) == Counter(w2[i : i + n] for n in range(1, 6) for i in range(len(w2) - n + 1) if w2[i : i + n] != " ")
