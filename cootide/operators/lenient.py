@@ -108,15 +108,14 @@ def _parse_shape(shape: str, fields: int) -> tuple[int, str, str]:
     cost, edits, mended = quote_edits(shape)
     more, cuts = delimiter_edits(re.sub(" +", " ", mended), fields)
     reason = "quoting" if cost else "columns" if more else ""
-    text = "; ".join(f"{name} at run {pos + 1}" for name, pos in [*edits, *cuts][:8])
-    return cost + more, reason, text + ("; ..." if cost + more > 8 else "")
+    return cost + more, reason, "; ".join(f"{name} at run {pos + 1}" for name, pos in [*edits, *cuts])
 
 
-_short_shapes = lru_cache(maxsize=65536)(_parse_shape)
+_short_shapes = lru_cache(maxsize=16384)(_parse_shape)  # texts of up to 200 edits
 
 
 def error_parse(line: str, fields: int) -> tuple[int, str, str]:
-    """(cost, reason or '', edits as text) of one line without its final carriage return."""
+    """(cost, reason or '', all edits as text) of one line without its final carriage return."""
     shape = shape_of(line)
     return (_short_shapes if len(shape) <= 200 else _parse_shape)(shape, fields)
 

@@ -94,3 +94,10 @@ def test_quote_edits_are_fewest(seed):
         fewest = brute_quotes(shape, 3)
         assert cost == len(edits) and (cost == fewest or fewest is None and cost > 3), shape
         assert lenient.quote_edits(mended)[0] == 0
+
+
+@pytest.mark.parametrize("line", ["1 2 3 4 " + "5 " * 20, '1 2"' * 15, "1", 'a"b ' * 300])
+def test_every_edit_is_given(line):
+    cost, _, edits = lenient.error_parse(line, 4)
+    given = edits.split("; ")
+    assert cost == len(given) and all(" at run " in e for e in given)
