@@ -290,8 +290,8 @@ _query("cpd_rank2_it2_distributed", _als_steps(2, 2))(lambda s, d: _als(s, d, 2,
 
 @_query("cpd_als_r8")
 def cpd_als_r8(spark, sf_dir):
-    """Fit per iteration of a decomposition of rank 8 from a random start."""
-    out = cpd.cpd_als(tensor(spark, sf_dir, "te"), 8, cpd.CpdOptions(max_iterations=10, seed=1))
+    """Fit per iteration of a decomposition of rank 8 from a random start, up to the default tolerance or iterations."""
+    out = cpd.cpd_als(tensor(spark, sf_dir, "te"), 8, cpd.CpdOptions(seed=1))
     return spark.createDataFrame([(n + 1, float(f)) for n, f in enumerate(out.fits)], "iteration int, fit double")
 
 

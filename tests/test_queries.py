@@ -40,3 +40,8 @@ def test_contract(spark):
     assert entry.entry(spark).count() > 0
     for name in sorted(set(QUERIES) - set(SQL)):
         assert QUERIES[name](spark, FOLDER).count() > 0, name
+
+
+def test_decomposition_runs_until_it_stops(spark):
+    fits = [r["fit"] for r in QUERIES["cpd_als_r8"](spark, FOLDER).orderBy("iteration").collect()]
+    assert len(fits) == 50 or fits[-1] == 1.0 or abs(fits[-1] - fits[-2]) < 1e-5
