@@ -34,6 +34,30 @@ def p2_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("first_piece", F.col("first_piece").cast("int")).withColumnRenamed("first_piece", "first_delivery_id")
 
 
+def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per delivery its records and whether those sampled are as many as chance allows, and are its own records.
+
+    The sample is of a tenth as many records as p2_sample takes, or of a tenth of all if that is fewer. The bound is five
+    standard deviations of the hypergeometric number.
+    """
+    from .reservoir import sample_records
+
+    x = read_table(spark, sf_dir, "nonzeros")
+    first = x.where("nnz_id IS NOT NULL").groupBy("nnz_id").agg(F.min(F.coalesce("delivery_id", F.lit(1 << 30))).alias("first"), *[F.min(c).alias(c) for c in [*INDEX_COLUMNS, "val"]])
+    n = first.count()
+    k = min(SAMPLE_ROWS // 10, n // 10)
+    got = sample_records(x, "nnz_id", "delivery_id", k, columns=[*INDEX_COLUMNS, "val"], seed=3)
+    got = got.select("nnz_id", F.coalesce(F.col("first_piece").cast("int"), F.lit(1 << 30)).alias("first"), *INDEX_COLUMNS, "val", F.lit(1).alias("taken"))
+    same = F.lit(True)
+    for c in ("first", *INDEX_COLUMNS, "val"):
+        same &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    joined = first.alias("a").join(got.alias("b"), "nnz_id", "left").select(F.col("a.first").alias("first_delivery_id"), "taken", same.alias("same"))
+    per = joined.groupBy("first_delivery_id").agg(F.count(F.lit(1)).alias("records"), F.count("taken").alias("taken"), F.count_if("taken IS NOT NULL AND NOT same").alias("foreign"))
+    p = F.col("records") / F.lit(max(n, 1))
+    spread = F.sqrt(F.lit(float(k)) * p * (1 - p) * (1 - F.lit(k / max(n, 1))))
+    return per.select("first_delivery_id", "records", (F.abs(F.col("taken") - k * p) <= 5 * spread + 1).alias("within_chance"), "foreign")
+
+
 def _document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import token_count
 
@@ -127,4 +151,4 @@ def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_counts, p2_sample, p5_found, p5_nearest, p6_found, p6_clusters, p7_packing, p7_fill, p8_mix, p8_shares, p9_found, p9_languages)}
+    return {f.__name__: f for f in (p1_found, p1_counts, p2_sample, p2_shares, p5_found, p5_nearest, p6_found, p6_clusters, p7_packing, p7_fill, p8_mix, p8_shares, p9_found, p9_languages)}

@@ -12,6 +12,9 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"""
             WITH x AS ({_EACH_MODE}), c AS (SELECT mode_no, idx, count(*) AS n FROM x GROUP BY ALL), t AS (SELECT mode_no, count(*) AS n FROM x GROUP BY ALL)
             SELECT c.mode_no, c.idx FROM c JOIN t USING (mode_no) WHERE c.n * 1000 >= 5 * t.n""",
+        "p2_shares": """
+            SELECT first AS first_delivery_id, count(*) AS records, TRUE AS within_chance, CAST(0 AS BIGINT) AS foreign
+            FROM (SELECT nnz_id, min(coalesce(delivery_id, 1073741824)) AS first FROM nonzeros WHERE nnz_id IS NOT NULL GROUP BY 1) GROUP BY 1""",
         "p5_found": f"""
             WITH {_USABLE}, r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY cosine DESC, y) AS n FROM c)
             SELECT DISTINCT least(x, y) AS row_id_a, greatest(x, y) AS row_id_b FROM r WHERE n <= 5 AND cosine >= 0.78""",

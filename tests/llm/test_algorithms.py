@@ -86,7 +86,7 @@ def test_draws_keep_the_sample_full():
 def test_every_record_is_equally_likely(spark):
     data = [(i, i % 4, i * 2, None if i % 7 == 0 else 0.5) for i in range(300)] + [(i, 5, i * 2, None if i % 7 == 0 else 0.5) for i in range(0, 300, 3)] + [(900, None, 1, 1.0), (None, 1, 1, 1.0)]
     df = spark.createDataFrame(data, "k bigint, piece int, i0 bigint, val double").repartition(3).cache()
-    hits, runs, k = Counter(), 24, 100
+    hits, runs, k = Counter(), 10, 100
     for seed in range(runs):
         got = reservoir.sample_records(df, "k", "piece", k, columns=["i0", "val"], seed=seed, slots=3).collect()
         assert len(got) == len({r["k"] for r in got}) == k
@@ -108,6 +108,36 @@ def test_sample_edges(spark):
     assert same[0] == same[1] and len(same[0]) == 1
 
 
+def test_a_small_late_piece_lets_no_more_rows_through(spark):
+    # 10 pieces of 20,000 records, then one of 500.
+    n, k = 200_000, 2_000
+    df = spark.range(n + 500).select(neighbours.F.col("id").alias("k"), neighbours.F.floor(neighbours.F.col("id") / 20_000).alias("piece"), (neighbours.F.col("id") * 3).alias("v"))
+    stats = {}
+    got = reservoir.sample_records(df, "k", "piece", k, columns=["v"], stats=stats).collect()
+    assert len(got) == len({r["k"] for r in got}) == k and all(r["v"] == 3 * r["k"] and r["first_piece"] == r["k"] // 20_000 for r in got)
+    assert stats["passed"] <= 2 * k * (1 + np.log(n / k))
+
+
+def test_a_missed_margin_takes_the_whole_cell(spark, monkeypatch):
+    df = spark.range(4000).selectExpr("id AS k", "id % 5 AS piece", "id AS v").cache()
+    want = rows(reservoir.sample_records(df, "k", "piece", 300, columns=["v"], slots=2))
+    unit = reservoir._unit
+    # Hashes that crowd at one half defeat any margin.
+    monkeypatch.setattr(reservoir, "_unit", lambda key, seed: unit(key, seed) * 1e-9 + 0.5)
+    got = rows(reservoir.sample_records(df, "k", "piece", 300, columns=["v"], slots=2))
+    assert got == want
+
+
+def test_many_pieces_arrive_in_batches(spark, monkeypatch):
+    assert reservoir.batched({5: 10, 1: 10, 9: 10}, 3) == ([1, 5, 9], [0, 1, 2])
+    order, batch = reservoir.batched({p: 1 + p % 3 for p in range(100)}, 7)
+    assert order == sorted(order) and batch == sorted(batch) and set(batch) == set(range(7))
+    monkeypatch.setattr(reservoir, "MOST_BATCHES", 4)
+    df = spark.range(3000).selectExpr("id AS k", "id % 50 AS piece", "id AS v")
+    got = reservoir.sample_records(df, "k", "piece", 500, columns=["v"]).collect()
+    assert len({r["k"] for r in got}) == 500 and all(r["first_piece"] == r["k"] % 50 for r in got)
+
+
 # -- nearest vectors and clusters ----------------------------------------------------------------------------------------
 
 
