@@ -1,9 +1,9 @@
 """Text tensor lines that load, and those that fail with the reason: a minimum-cost error parse.
 
 A line is parsed by dynamic programming over its characters: an edit inserts or deletes a double quote or a delimiter,
-each at cost 1, until the line is a sequence of whole fields, bare or quoted. A parse of cost zero whose fields have
-valid types loads. Any other line is set apart; the kind of its edits, or else the first field with a wrong type, is the
-reason. Quote edits are minimised first with delimiters as they stand, then delimiter edits.
+each at cost 1, until the line is the right number of whole fields, bare or quoted; the fewest edits of both kinds together
+are found. A parse of cost zero whose fields have valid types loads. Any other line is set apart: its edits are given, and
+the reason is whether they mend its quoting or else its number of fields, or which kind of field has a wrong type.
 
 Lines of cost zero are recognised inside the JVM: a line is well quoted if no quote is left once the whole quoted fields
 are taken out, leftmost first. Only the others reach the dynamic program, which works on the line's shape (runs of quote, blank and other
@@ -26,8 +26,13 @@ REASONS = ("quoting", "columns", "indices", "values")
 QUOTED_FIELD = r'(?<![^ \t])"[^"]*"(?![^ \t])'
 NUMBER = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
 
-# States of the parse: between fields, in a bare field, in a quoted field, after a closing quote.
-_GAP, _BARE, _QUOTED, _CLOSED = range(4)
+# States of the parse: between fields, in a bare field, in a quoted field, after a closing quote, after an inserted
+# delimiter, whose field is empty unless something follows.
+_GAP, _BARE, _QUOTED, _CLOSED, _OPEN = range(5)
+_STATES = 5
+_FAR = 1 << 60
+_UNIT = 1 << 30  # cost of an edit; what is below it breaks ties
+_EDITS = ("", "insert quote", "delete quote", "insert delimiter", "delete delimiter")
 
 
 def shape_of(line: str) -> str:
@@ -35,80 +40,111 @@ def shape_of(line: str) -> str:
     return re.sub(r"[ \t]+", " ", re.sub(r'[^" \t]+', "x", line))
 
 
-def _step(state: int, c: str) -> int | None:
-    if state == _QUOTED:
-        return _CLOSED if c == '"' else _QUOTED
-    if c == " ":
-        return _GAP
-    if c == '"':
-        return _QUOTED if state == _GAP else None
-    return None if state == _CLOSED else _BARE
-
-
-def quote_edits(shape: str) -> tuple[int, list[tuple[str, int]], str]:
-    """Fewest quotes to insert or delete, delimiters as they stand: (cost, edits, the shape after them).
-
-    Per state the cheapest way so far is kept as a chain of steps, so time and memory grow with the shape's length.
+def well_quoted(shape: str) -> bool:
+    """Whether every quote of a shape belongs to a field that is quoted as a whole."""
+    state = _GAP
+    for c in shape:
+        if state == _QUOTED:
+            state = _CLOSED if c == '"' else _QUOTED
+        elif c == " ":
+            state = _GAP
+        elif state == _CLOSED or (c == '"' and state == _BARE):
+            return False
+        else:
+            state = _QUOTED if c == '"' else _BARE
+    return state != _QUOTED
+
+
+def cheapest_edits(shape: str, fields: int) -> tuple[int, list[tuple[str, int]]]:
+    """Fewest quotes and delimiters to insert or delete so that the shape is ``fields`` whole fields: (cost, edits).
+
+    One dynamic program over the shape: per state of the parse and number of fields so far the cheapest way is kept. A
+    deleted delimiter joins its neighbours; an inserted one begins a field, empty if nothing follows. With ``fields`` 0
+    any number of fields will do. Of equally cheap ways one with fewest delimiter edits is taken for a line whose quoting is
+    broken, else one with fewest quote edits. An edit is stated with the run of the shape, from 0, before which it takes place.
+    Time and memory grow with the shape's length times the number of fields.
     """
-    best: dict[int, tuple[int, tuple | None]] = {_GAP: (0, None)}
-
-    def inserted(now: dict, pos: int) -> dict:
-        out = dict(now)
-        for state, (cost, chain) in now.items():
-            after = _step(state, '"')
-            if after is not None and (after not in out or out[after][0] > cost + 1):
-                out[after] = (cost + 1, (chain, '"', ("insert quote", pos)))
-        return out
-
-    for pos, c in enumerate(shape):
-        now, after = inserted(best, pos), {}
-        for state, (cost, chain) in now.items():
-            options = [(_step(state, c), cost, (chain, c, None))]
+    most = max(fields, 0)
+    step = 1 if most else 0  # how many fields a new field counts for
+    width = most + 1
+    broken = not well_quoted(shape)
+    quote, delimiter = (_UNIT, _UNIT + 1) if broken else (_UNIT + 1, _UNIT)
+    cost = [_FAR] * (_STATES * width)
+    cost[_GAP * width] = 0
+    trail: list[tuple[bytes, bytes, list[int] | bytes, list[int] | bytes]] = []
+    at = lambda state, n: state * width + n
+
+    def insert(now: list[int]) -> tuple[list[int], bytearray]:
+        """Insertions before the next run; fields ascend, so one pass follows any chain of them."""
+        by, source = bytearray(len(now)), list(range(len(now)))
+
+        def relax(frm: int, to: int, price: int, edit: int) -> None:
+            if now[frm] + price < now[to]:
+                now[to], by[to], source[to] = now[frm] + price, edit, frm
+
+        for n in range(width):
+            relax(at(_OPEN, n), at(_QUOTED, n), quote, 1)
+            relax(at(_QUOTED, n), at(_CLOSED, n), quote, 1)
+            if not step:
+                relax(at(_GAP, n), at(_QUOTED, n), quote, 1)
+                relax(at(_QUOTED, n), at(_CLOSED, n), quote, 1)
+            for state in (_GAP, _BARE, _CLOSED, _OPEN) if n + step < width else ():
+                relax(at(state, n), at(_OPEN, n + step), delimiter, 3)
+            if step and n + step < width:
+                relax(at(_GAP, n), at(_QUOTED, n + step), quote, 1)
+        return source, by
+
+    def consume(now: list[int], c: str) -> tuple[list[int], list[int], bytearray]:
+        out, source, by = [_FAR] * len(now), [0] * len(now), bytearray(len(now))
+
+        def relax(frm: int, to: int, price: int, edit: int) -> None:
+            if now[frm] + price < out[to]:
+                out[to], by[to], source[to] = now[frm] + price, edit, frm
+
+        for n in range(width):
+            relax(at(_QUOTED, n), at(_CLOSED if c == '"' else _QUOTED, n), 0, 0)
+            if c == " ":
+                for state in (_GAP, _BARE, _CLOSED, _OPEN):
+                    relax(at(state, n), at(_GAP, n), 0, 0)
+                relax(at(_BARE, n), at(_BARE, n), delimiter, 4)
+                relax(at(_CLOSED, n), at(_CLOSED, n), delimiter, 4)
+                continue
+            inside = _QUOTED if c == '"' else _BARE
+            if n + step < width:
+                relax(at(_GAP, n), at(inside, n + step), 0, 0)
+            relax(at(_OPEN, n), at(inside, n), 0, 0)
             if c == '"':
-                options.append((state, cost + 1, (chain, "", ("delete quote", pos))))
-            for to, cost2, chain2 in options:
-                if to is not None and (to not in after or after[to][0] > cost2):
-                    after[to] = (cost2, chain2)
-        best = after
-    cost, chain = min((v for s, v in inserted(best, len(shape)).items() if s != _QUOTED), key=lambda v: v[0])
-    text, edits = [], []
-    while chain is not None:
-        chain, c, edit = chain
-        text.append(c)
-        if edit:
-            edits.append(edit)
-    return cost, edits[::-1], "".join(reversed(text))
-
-
-def delimiter_edits(shape: str, fields: int) -> tuple[int, list[tuple[str, int]]]:
-    """Fewest delimiters to insert or delete so that a well-quoted shape has ``fields`` fields: (cost, edits).
-
-    Deleting a delimiter joins its neighbours; only blanks outside quotes are delimiters. Which ones are deleted does
-    not change the cost: the last ones are, as excess fields most often trail. An insertion has no place of its own in
-    a shape and is stated at the line's end. A line without any field can only gain fields by insertion.
-    """
-    gaps, quoted, count, inside = [], False, 0, False
-    for pos, c in enumerate(shape):
-        if c == '"':
-            quoted = not quoted
-        if c == " " and not quoted:
-            if inside:
-                gaps.append(pos)
-            inside = False
-        elif not inside:
-            inside, count = True, count + 1
-    if count <= fields:
-        return fields - count, [("insert delimiter", len(shape))] * (fields - count)
-    if not inside:
-        gaps = gaps[:-1]
-    return count - fields, [("delete delimiter", p) for p in gaps[max(fields - 1, 0) :]]
+                for state in range(_STATES):
+                    relax(at(state, n), at(state, n), quote, 2)
+            else:
+                relax(at(_BARE, n), at(_BARE, n), 0, 0)
+        return out, source, by
+
+    pack = bytes if len(cost) <= 256 else list
+    for c in shape:
+        source, by = insert(cost)
+        cost, source2, by2 = consume(cost, c)
+        trail.append((pack(source), bytes(by), pack(source2), bytes(by2)))
+    source, by = insert(cost)
+    trail.append((pack(source), bytes(by), b"", b""))
+    state = min((at(s, most) for s in (_GAP, _BARE, _CLOSED, _OPEN)), key=lambda s: cost[s])
+    total, edits = cost[state], []
+    for pos in range(len(shape), -1, -1):
+        source, by, source2, by2 = trail[pos]
+        if pos < len(shape):
+            if by2[state]:
+                edits.append((_EDITS[by2[state]], pos))
+            state = source2[state]
+        while by[state]:
+            edits.append((_EDITS[by[state]], pos))
+            state = source[state]
+    return total // _UNIT, edits[::-1]
 
 
 def _parse_shape(shape: str, fields: int) -> tuple[int, str, str]:
-    cost, edits, mended = quote_edits(shape)
-    more, cuts = delimiter_edits(re.sub(" +", " ", mended), fields)
-    reason = "quoting" if cost else "columns" if more else ""
-    return cost + more, reason, "; ".join(f"{name} at run {pos + 1}" for name, pos in [*edits, *cuts])
+    cost, edits = cheapest_edits(shape, fields)
+    reason = "quoting" if not well_quoted(shape) else "columns" if cost else ""
+    return cost, reason, "; ".join(f"{name} at run {pos + 1}" for name, pos in edits)
 
 
 _short_shapes = lru_cache(maxsize=16384)(_parse_shape)  # texts of up to 200 edits

@@ -1,6 +1,7 @@
 """Skewed keys and lines that fail to parse."""
 
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -71,29 +72,40 @@ def test_reasons(spark):
     assert lenient.parse_lines(lines.limit(0), files).count() == 0
 
 
-def brute_quotes(shape, most=3):
-    """Fewest inserted or deleted quotes that make the shape well quoted, by search."""
-    import re
+def brute_edits(shape, fields, most):
+    """Fewest quotes and delimiters to insert or delete by search; a bar stands for an inserted delimiter, which begins a
+    field that is empty if nothing follows it."""
+    whole = re.compile(r'[ |]*((?:"[^"]*"|x+)(?:[ |]+(?:"[^"]*"|x+))*[ |]*)?')
+
+    def fits(s):
+        bare = re.sub(r'"[^"]*"', lambda m: "q" * len(m[0]), s)
+        return whole.fullmatch(s) is not None and len(re.findall(r"\||(?:^|(?<= ))(?=[xq])", bare)) == fields
 
-    good = lambda s: re.fullmatch(r' ?((?:"[^"]*"|[^" ]+)(?: +(?:"[^"]*"|[^" ]+))* ?)?', s) is not None
     layer = {shape}
     for cost in range(most + 1):
-        if any(good(s) for s in layer):
+        if any(map(fits, layer)):
             return cost
-        layer = {s[:i] + '"' + s[i:] for s in layer for i in range(len(s) + 1)} | {s[:i] + s[i + 1 :] for s in layer for i, c in enumerate(s) if c == '"'}
+        layer = {s[:i] + c + s[i:] for s in layer for i in range(len(s) + 1) for c in '"|'} | {s[:i] + s[i + 1 :] for s in layer for i, c in enumerate(s) if c in '" '}
     return None
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_quote_edits_are_fewest(seed):
+def test_edits_are_fewest(seed):
     random.seed(seed)
     for _ in range(60):
-        shape = "".join(random.choice('" x') for _ in range(random.randrange(1, 8)))
-        shape = lenient.shape_of(shape)
-        cost, edits, mended = lenient.quote_edits(shape)
-        fewest = brute_quotes(shape, 3)
-        assert cost == len(edits) and (cost == fewest or fewest is None and cost > 3), shape
-        assert lenient.quote_edits(mended)[0] == 0
+        shape = lenient.shape_of("".join(random.choice('" x') for _ in range(random.randrange(1, 8))))
+        fields = random.randrange(1, 4)
+        cost, edits = lenient.cheapest_edits(shape, fields)
+        fewest = brute_edits(shape, fields, 3)
+        assert cost == len(edits) and (cost == fewest or fewest is None and cost > 3), (shape, fields, cost, fewest)
+
+
+def test_quotes_and_delimiters_are_mended_together():
+    assert lenient.error_parse('1 2 3 "4 5', 4) == (1, "quoting", "insert quote at run 11")
+    assert lenient.error_parse('1 2 3 "4"5', 5)[:2] == (1, "quoting")
+    assert lenient.error_parse("1 " * 20_000, 3)[:2] == (2, "columns")  # one pair of quotes around the excess
+    assert lenient.error_parse("1 2 3 4 5", 4) == (1, "columns", "delete delimiter at run 2")
+    assert lenient.error_parse("1 2", 4) == (2, "columns", "insert delimiter at run 2; insert delimiter at run 2")
 
 
 @pytest.mark.parametrize("line", ["1 2 3 4 " + "5 " * 20, '1 2"' * 15, "1", 'a"b ' * 300])
