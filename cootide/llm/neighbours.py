@@ -1,106 +1,402 @@
 """Most similar vectors of every vector, and links between similar vectors, by vantage-point trees per shard.
 
-Usable vectors are scaled to unit length. Rows with equal unit vectors form one class, so copies, however many, are
-searched once. Classes of a group (here a factor matrix) are hashed into shards of bounded size; a task holds one shard
-with its tree and one block of queries. Every block meets every shard of its group, so a tree's factor alone decides
-what may be missed: factor 1 misses nothing.
+Usable vectors are scaled to unit length. Of each large group (here a factor matrix) a bounded sample gives pivots; a vector
+belongs to the cell of its nearest pivot, and cells make up shards of bounded size. One exchange brings every vector to
+its shard, whose task reduces copies to classes and searches each class among the others by a tree. A class then visits
+another shard only if the triangle inequality, or the plane half way between two pivots, leaves room there for something
+better than what it has; ``factor`` relaxes both kinds of pruning alike. Factor 1 misses nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cootide.session import materialize
 
 from . import vptree
 
 SHARD_ROWS = 16_384
+MOST_PIVOTS = 8_192  # of all groups
+GROUP_PIVOTS = 1_024
+ROWS_PER_PIVOT = 32
+COVERED = 0.9  # a sampled vector this near a pivot is none
+HOT_SHARE = 1_000  # a class above 1 / HOT_SHARE of all rows is split when its members are joined
+SALTS = 64
+CHUNK_ROWS = 200_000
+_SLACK = 1e-9
+
+
+@dataclass
+class Group:
+    """Pivots of a large group, and per cell its number, least and greatest distance from the pivot, and shards."""
+
+    pivots: np.ndarray
+    low: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    high: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    first: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
+    parts: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
+    rank: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of shards, tight ones first
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        """Nearest pivot of each vector, the first of equals, the same for equal vectors whatever stands beside them."""
+        if not len(self.pivots):
+            return np.zeros(len(x), np.int64)
+        out = np.zeros(len(x), np.int64)
+        for a in range(0, len(x), 4096):
+            part = x[a : a + 4096]
+            cos = part @ self.pivots.T
+            top = cos.max(axis=1)
+            near = cos >= top[:, None] - _SLACK
+            out[a : a + 4096] = near.argmax(axis=1)
+            for r in np.flatnonzero(near.sum(axis=1) > 1):  # products of matrices may differ in the last digits
+                c = np.flatnonzero(near[r])
+                out[a + r] = c[np.argmax([float((part[r] * self.pivots[j]).sum()) for j in c])]
+        return out
+
+    def visits(self, x: np.ndarray, cell: np.ndarray, own: int, floor: np.ndarray, factor: float, tighter: bool) -> list[np.ndarray]:
+        """Shards other than ``own`` in which something of cosine at least ``floor`` may lie, for each vector."""
+        out: list[np.ndarray] = []
+        shards = len(self.rank)
+        allowed = np.arange(shards) != own
+        if tighter:
+            allowed &= self.rank < self.rank[own]
+        used = np.flatnonzero(self.parts > 0)
+        for a in range(0, len(x), 2048):
+            part = x[a : a + 2048]
+            radius = vptree.chord(floor[a : a + 2048] - 2 * _SLACK)
+            if len(self.pivots):
+                cos = part @ self.pivots.T
+                d = vptree.chord(cos)
+                gap = np.maximum(d - self.high, self.low - d)
+                home = cell[a : a + 2048]
+                beyond = np.take_along_axis(cos, home[:, None], 1) - cos
+                apart = vptree.chord(self.pivots[home] @ self.pivots.T)
+                gap = np.maximum(gap, np.where(apart > 1e-3, (beyond - 2 * _SLACK) / np.maximum(apart, 1e-3), 0.0))
+            else:
+                gap = np.zeros((len(part), 1))
+            open_cells = gap[:, used] * factor <= radius[:, None] + _SLACK
+            to = np.zeros((len(part), shards), bool)
+            for n, c in enumerate(used):
+                to[:, self.first[c] : self.first[c] + self.parts[c]] |= open_cells[:, n, None]
+            to &= allowed
+            out += [np.flatnonzero(r) for r in to]
+        return out
+
+
+@dataclass
+class Index:
+    """Usable rows with class and shard, and the groups that have more than one shard."""
+
+    rows: DataFrame  # grp, row, class_key, unit, shard, cell
+    groups: dict[int, Group]
+    shards: int
 
 
-def unit_rows(df: DataFrame, key: str, group: str, vector: str, dimensions: int) -> DataFrame:
-    """(group, row, class_key, unit) of usable rows, unit being the packed doubles of the vector scaled to length one.
+def _units(b: pa.RecordBatch, dimensions: int) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The usable rows of a batch (group, key, vector) and their vectors scaled to length one."""
+    b = b.filter(pc.fill_null(pc.equal(pc.list_value_length(b.column(2)), dimensions), False))
+    if not b.num_rows:
+        return b, np.zeros((0, dimensions))
+    values = pc.list_flatten(b.column(2)).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimensions)
+    largest = np.abs(values).max(axis=1)
+    good = np.isfinite(largest) & (largest > 0)
+    x = values[good] / largest[good, None]
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return b.filter(pa.array(good)), x
+
+
+def unit_rows(df: DataFrame, key: str, group: str, vector: str, dimensions: int, groups: dict[int, Group] | None = None) -> DataFrame:
+    """(grp, row, class_key, unit, cell) of usable rows, unit being the packed doubles of the vector scaled to length one.
 
     Rows take no part whose key, group or vector is null, whose vector has not ``dimensions`` numbers, holds null, NaN
     or infinity, or is all zero.
     """
-    schema = "grp bigint, row bigint, class_key bigint, unit binary"
+    shared = df.sparkSession.sparkContext.broadcast(groups or {})
 
     def run(batches):
         for b in batches:
-            lists = b.column(2)
-            fits = pc.equal(pc.list_value_length(lists), dimensions)
-            b = b.filter(pc.fill_null(fits, False))
+            b, x = _units(b, dimensions)
             if not b.num_rows:
                 continue
-            values = pc.list_flatten(b.column(2)).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimensions)
-            largest = np.abs(values).max(axis=1)
-            good = np.isfinite(largest) & (largest > 0)
-            x = values[good] / largest[good, None]
-            x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
             rounded = np.round(x, 12) + 0.0
             keys = [xxhash.xxh3_64_intdigest(r.tobytes()) - (1 << 63) for r in rounded]
-            mask = pa.array(good)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask), pa.array(keys, pa.int64()), pa.array([r.tobytes() for r in x], pa.binary())], ["grp", "row", "class_key", "unit"])
+            grp, cell = b.column(0).to_numpy(), np.zeros(b.num_rows, np.int64)
+            for g in np.unique(grp).tolist():
+                if g in shared.value:
+                    cell[grp == g] = shared.value[g].cells(x[grp == g])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64()), _packed(x), pa.array(cell)], ["grp", "row", "class_key", "unit", "cell"])
+
+    return _known(df, key, group, vector).mapInArrow(run, "grp bigint, row bigint, class_key bigint, unit binary, cell bigint")
 
+
+def _known(df: DataFrame, key: str, group: str, vector: str) -> DataFrame:
     known = df.where(F.col(key).isNotNull() & F.col(group).isNotNull() & F.col(vector).isNotNull())
-    return known.select(F.col(group).cast("long"), F.col(key).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(run, schema)
+    return known.select(F.col(group).cast("long").alias("grp"), F.col(key).cast("long").alias("row"), F.col(vector).cast("array<double>").alias("vector"))
+
+
+def _packed(x: np.ndarray) -> pa.Array:
+    """Rows of a matrix as binary values."""
+    n, width = x.shape
+    if n * width * 8 >= 1 << 31:
+        return pa.array([r.tobytes() for r in x], pa.binary())
+    offsets = pa.py_buffer((np.arange(n + 1, dtype=np.int32) * (width * 8)).tobytes())
+    return pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(np.ascontiguousarray(x).tobytes())])
+
+
+def matrix_of(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
+    """Packed vectors as a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+
 
+def _pivots(x: np.ndarray, most: int) -> np.ndarray:
+    """Up to ``most`` of the vectors, skipping those that an earlier one covers."""
+    chosen = np.zeros((0, x.shape[1]))
+    for a in range(0, len(x), 256):
+        part = x[a : a + 256]
+        free = (part @ chosen.T).max(axis=1) < COVERED if len(chosen) else np.ones(len(part), bool)
+        for v in part[free]:
+            if len(chosen) >= most:
+                return chosen
+            if not len(chosen) or (chosen[-256:] @ v).max() < COVERED:
+                chosen = np.vstack([chosen, v])
+    return chosen
 
-def classes_of(rows: DataFrame, k: int) -> DataFrame:
-    """One row per (grp, class_key): its first row, its k + 1 smallest rows in order, and the unit vector of the first.
 
-    Only the smallest rows of a class can be among anyone's k nearest, as ties go to the smaller row. They are kept by
-    a window limit, which Spark applies before the exchange too, so a hot class is cut to k + 1 rows by every map task.
+def _groups(df: DataFrame, key: str, group: str, vector: str, dimensions: int) -> dict[int, Group]:
+    """Pivots of the groups that exceed a shard: at most MOST_PIVOTS, from a sample of at most about twice as many rows."""
+    known = _known(df, key, group, vector)
+    large = {r["grp"]: r["n"] for r in known.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD_ROWS).collect()}
+    if not large:
+        return {}
+    total = sum(large.values())
+    want = {g: min(GROUP_PIVOTS, n // ROWS_PER_PIVOT, MOST_PIVOTS * n // total) for g, n in large.items()}
+    ask = df.sparkSession.createDataFrame([(g, min(1.0, 2.0 * want[g] / n)) for g, n in large.items()], "grp bigint, share double")
+    unit = F.shiftrightunsigned(F.xxhash64("row", F.lit(17)), 11).cast("double") / float(1 << 53)
+    sampled = known.join(F.broadcast(ask), "grp").where(unit < F.col("share")).select("grp", "row", "vector")
+    t = unit_rows(sampled, "row", "grp", "vector", dimensions).select("grp", "row", "unit").toArrow().sort_by([("grp", "ascending"), ("row", "ascending")])
+    grp, x = t["grp"].to_numpy(), matrix_of(t["unit"], t.num_rows)
+    out = {}
+    for g in large:
+        p = _pivots(x[grp == g], want[g]) if t.num_rows and want[g] > 1 else np.zeros((0, dimensions))
+        out[g] = Group(p)
+    return out
+
+
+def _order(pivots: np.ndarray) -> np.ndarray:
+    """A walk over the pivots that goes on to the nearest one left, so that cells side by side share a shard."""
+    left, at, out = np.ones(len(pivots), bool), 0, []
+    for _ in range(len(pivots)):
+        left[at] = False
+        out.append(at)
+        cos = np.where(left, pivots @ pivots[at], -np.inf)
+        at = int(cos.argmax())
+    return np.array(out, int)
+
+
+def _place(g: Group, n: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+    """Cells to shards: a large cell is split by the hash of its classes, neighbouring small ones are put together.
+
+    Loose cells, which most searches visit, do not share shards with tight ones.
     """
-    w = Window.partitionBy("grp", "class_key").orderBy("row")
-    least = rows.select("grp", "class_key", "row").withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1)
-    ids = least.groupBy("grp", "class_key").agg(F.array_sort(F.collect_list("row")).alias("rows"))
-    first = ids.select("grp", "class_key", "rows", F.element_at("rows", 1).alias("row"))
-    return first.join(rows.select("grp", "row", "unit"), ["grp", "row"]).dropDuplicates(["grp", "row"])
-
-
-def _blocks(classes: DataFrame, symmetric: bool) -> DataFrame:
-    """Each class as a query in its block against every shard, and as a point in its shard for every block."""
-    sizes = classes.groupBy("grp").count().select("grp", F.ceil(F.col("count") / SHARD_ROWS).cast("int").alias("shards"))
-    x = classes.join(sizes, "grp").withColumn("mine", F.pmod(F.xxhash64("row"), F.col("shards")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("shards") - 1)
-    as_query = x.select("grp", "row", "unit", F.col("mine").alias("block"), F.explode(F.sequence("mine", F.col("shards") - 1) if symmetric else every).alias("shard"), F.lit(True).alias("query"))
-    as_point = x.select("grp", "row", "unit", F.explode(F.sequence(F.lit(0), "mine") if symmetric else every).alias("block"), F.col("mine").alias("shard"), F.lit(False).alias("query"))
-    as_point = as_point.where("block <> shard")  # a block against itself needs its rows once
-    # Pairs of blocks are few and heavy: ask for enough partitions that they seldom share one.
-    pairs = sizes.agg(F.sum(F.col("shards").cast("long") * (F.col("shards") + 1 if symmetric else F.col("shards")))).first()[0] or 1
-    return as_query.unionByName(as_point).repartition(int(min(50_000, 3 * pairs)), "grp", "block", "shard")
-
-
-def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    ids = t["row"].to_numpy()
-    column = t["unit"].combine_chunks()
-    x = np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
-    return ids, x
-
-
-def nearest_classes(classes: DataFrame, k: int, *, min_cos: float, factor: float) -> DataFrame:
-    """grp, row, near_row, cosine: for each class its k best classes, itself included, ties to the smaller row."""
-
-    def search(t: pa.Table) -> pa.Table:
-        grp = t["grp"][0]
-        q_ids, q = _matrix(t.filter(t["query"]))
-        same = t["block"][0].as_py() == t["shard"][0].as_py()
-        p_ids, p = (q_ids, q) if same else _matrix(t.filter(pc.invert(t["query"])))
-        if not len(q_ids) or not len(p_ids):
-            return empty
-        cos, at = vptree.nearest(q, p, p_ids, k, min_cos=min_cos, factor=factor)
-        r, c = np.nonzero(at >= 0)
-        return pa.table({"grp": pa.array([grp.as_py()] * len(r), pa.int64()), "row": q_ids[r], "near_row": p_ids[at[r, c]], "cosine": cos[r, c]})
-
-    empty = pa.table({"grp": pa.array([], pa.int64()), "row": pa.array([], pa.int64()), "near_row": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
-    found = _blocks(classes, False).groupBy("grp", "block", "shard").applyInArrow(search, "grp bigint, row bigint, near_row bigint, cosine double")
-    w = Window.partitionBy("grp", "row").orderBy(F.desc("cosine"), "near_row")
-    return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
+    g.low, g.high = low, high
+    g.first, g.parts = np.zeros(len(n), int), np.zeros(len(n), int)
+    order = _order(g.pivots) if len(g.pivots) else np.arange(len(n))
+    rank, shard, held = [], -1, SHARD_ROWS
+    for loose in (False, True):
+        held = SHARD_ROWS
+        for c in order[(high[order] > 0.8) == loose]:
+            if not n[c]:
+                continue
+            parts = -(-int(n[c]) // SHARD_ROWS)
+            if parts > 1 or held + n[c] > SHARD_ROWS:
+                shard, held = shard + 1, 0
+                rank += [len(rank) + k for k in range(parts)]
+            g.first[c], g.parts[c] = shard, parts
+            held += int(n[c])
+            if parts > 1:
+                shard, held = shard + parts - 1, SHARD_ROWS
+    g.rank = np.array(rank, float)
+
+
+def index(df: DataFrame, key: str, group: str, vector: str, dimensions: int) -> Index:
+    """Usable rows, written once with their class, cell and shard. The driver holds pivots and one row per cell."""
+    spark = df.sparkSession
+    groups = _groups(df, key, group, vector, dimensions)
+    rows = materialize(unit_rows(df, key, group, vector, dimensions, groups))
+    shards = 1
+    plan = []
+    if groups:
+        cos = _pivot_cosines(rows, groups)
+        stats = cos.groupBy("grp", "cell").agg(F.approx_count_distinct("class_key").alias("n"), F.min("cosine").alias("least"), F.max("cosine").alias("most")).collect()
+        for g, of in groups.items():
+            cells = max(1, len(of.pivots))
+            n, low, high = np.zeros(cells, np.int64), np.zeros(cells), np.zeros(cells)
+            for r in stats:
+                if r["grp"] == g:
+                    n[r["cell"]] = max(1, r["n"])
+                    if len(of.pivots):
+                        low[r["cell"]], high[r["cell"]] = vptree.chord(np.array([r["most"] + _SLACK, r["least"] - _SLACK]))
+            _place(of, n, low, high)
+            plan += [(g, c, int(of.first[c]), int(of.parts[c])) for c in range(cells) if of.parts[c]]
+            shards += len(of.rank)
+    places = F.broadcast(spark.createDataFrame(plan, "grp bigint, cell bigint, first int, parts int"))  # at most a row per pivot
+    placed = rows.join(places, ["grp", "cell"], "left")
+    shard = F.coalesce(F.col("first") + F.pmod("class_key", F.col("parts").cast("long")), F.lit(0)).cast("int")
+    placed = placed.select("grp", "row", "class_key", "unit", shard.alias("shard"), "cell")
+    return Index(placed, groups, shards)
+
+
+def _pivot_cosines(rows: DataFrame, groups: dict[int, Group]) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast({g: of.pivots for g, of in groups.items()})
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            grp, cell, x = b.column("grp").to_numpy(), b.column("cell").to_numpy(), matrix_of(b.column("unit"), b.num_rows)
+            cos = np.ones(len(grp))
+            for g, pivots in shared.value.items():
+                mine = grp == g
+                if len(pivots) and mine.any():
+                    cos[mine] = (x[mine] * pivots[cell[mine]]).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("cell"), b.column("class_key"), pa.array(cos)], ["grp", "cell", "class_key", "cosine"])
+
+    large = rows.where(F.col("grp").isin(list(groups)))
+    return large.select("grp", "cell", "class_key", "unit").mapInArrow(run, "grp bigint, cell bigint, class_key bigint, cosine double")
+
+
+def combined(rows: DataFrame, keep: int) -> DataFrame:
+    """Per chunk of a task and class its number of rows, ``keep`` smallest rows and, with the smallest, the vector.
+
+    So a class that holds a third of all rows leaves a task as few rows.
+    """
+
+    def chunk(held: list[pa.RecordBatch]) -> pa.Table:
+        t = pa.Table.from_batches(held)
+        grp, key, row = (t[c].to_numpy() for c in ("grp", "class_key", "row"))
+        order = np.lexsort((row, key, grp))
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(grp[order]) != 0)]))
+        n = np.diff(np.append(new, len(order)))
+        place = np.arange(len(order)) - np.repeat(new, n)
+        kept = order[place < keep]
+        first = np.zeros(len(order), bool)
+        first[order[new]] = True
+        count = np.zeros(len(order), np.int64)
+        count[order[new]] = n
+        t = t.append_column("n", pa.array(count)).take(pa.array(kept))
+        unit = pc.if_else(pa.array(first[kept]), t["unit"], pa.scalar(None, pa.binary()))
+        return t.set_column(t.schema.get_field_index("unit"), "unit", unit)
+
+    def run(batches):
+        held, rows = [], 0
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows >= CHUNK_ROWS:
+                yield from chunk(held).to_batches()
+                held, rows = [], 0
+        if rows:
+            yield from chunk(held).to_batches()
+
+    return rows.select("grp", "shard", "cell", "class_key", "row", "unit").mapInArrow(run, "grp bigint, shard int, cell bigint, class_key bigint, row bigint, unit binary, n bigint")
+
+
+@dataclass
+class Shard:
+    """The classes of a shard: number of rows, smallest rows (ascending) and vector of each, by their smallest row."""
+
+    grp: int
+    shard: int
+    key: np.ndarray
+    cell: np.ndarray
+    row: np.ndarray
+    n: np.ndarray
+    rows: list[np.ndarray]
+    unit: np.ndarray
+
+    @classmethod
+    def of(cls, t: pa.Table, keep: int) -> Shard:
+        key, row, n = (t[c].to_numpy() for c in ("class_key", "row", "n"))
+        order = np.lexsort((row, key))
+        key, row, n = key[order], row[order], n[order]
+        again = np.concatenate([[False], (np.diff(key) == 0) & (np.diff(row) == 0)])  # one row met by several tasks
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(key) != 0]))
+        ends = np.append(starts[1:], len(key))
+        rows = [row[a:b][~again[a:b]][:keep] for a, b in zip(starts, ends)]
+        total = np.add.reduceat(n, starts)
+        valid = t["unit"].combine_chunks().is_valid().to_numpy(zero_copy_only=False)[order]
+        # The smallest row of a class is the first of its chunk, so it came with its vector.
+        with_unit = np.array([a + int(valid[a:b].argmax()) for a, b in zip(starts, ends)], int)
+        first = np.array([r[0] for r in rows], np.int64)
+        by_row = np.argsort(first, kind="stable")
+        at = order[with_unit[by_row]]
+        return cls(t["grp"][0].as_py(), t["shard"][0].as_py(), key[starts][by_row], t["cell"].to_numpy()[at], first[by_row], total[by_row], [rows[i] for i in by_row], matrix_of(t["unit"].take(pa.array(at)), len(at)))
+
+
+def at_home(ix: Index, keep: int, work: Callable, columns: str) -> DataFrame:
+    """One row per class: grp, shard, row, class_key, n, rows, unit, visits and the ``columns`` that ``work`` gives.
+
+    ``work(shard, group)`` returns those columns' arrays and the lists of shards to visit; group is None for a group of one shard.
+    """
+    shared = ix.rows.sparkSession.sparkContext.broadcast(ix.groups)
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(t: pa.Table) -> pa.Table:
+        s = Shard.of(t, keep)
+        arrays, visits = work(s, shared.value.get(s.grp))
+        visits = pa.array([[]] * len(s.row), pa.list_(pa.int32())) if visits is None else pa.array([v.tolist() for v in visits], pa.list_(pa.int32()))
+        head = [pa.array(np.full(len(s.row), s.grp)), pa.array(np.full(len(s.row), s.shard, np.int32)), pa.array(s.row), pa.array(s.key), pa.array(s.n), pa.array([r.tolist() for r in s.rows], pa.list_(pa.int64())), _packed(s.unit), visits]
+        return pa.Table.from_arrays([*head, *arrays], ["grp", "shard", "row", "class_key", "n", "rows", "unit", "visits", *names])
+
+    schema = f"grp bigint, shard int, row bigint, class_key bigint, n bigint, rows array<bigint>, unit binary, visits array<int>, {columns}"
+    # Shards are few and heavy: ask for enough partitions that they seldom share one.
+    return combined(ix.rows, keep).repartition(int(min(50_000, 3 * ix.shards)), "grp", "shard").groupBy("grp", "shard").applyInArrow(run, schema)
+
+
+def away(home: DataFrame, carried: list[str], work: Callable, schema: str) -> DataFrame | None:
+    """Rows of ``work(queries, points)`` for every visited shard and block of its visitors; None if nobody travels.
+
+    ``carried`` columns go with queries and points. A shard's points are sent once per block of its visitors.
+    """
+    spark = home.sparkSession
+    trips = home.where(F.size("visits") > 0).select("grp", F.explode("visits").alias("shard"), F.lit(True).alias("query"), "row", "unit", *carried)
+    counts = trips.groupBy("grp", "shard").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).cast("int").alias("blocks")).collect()  # a row per shard
+    if not counts:
+        return None
+    blocks = F.broadcast(spark.createDataFrame(counts, "grp bigint, shard int, blocks int"))
+    q = trips.join(blocks, ["grp", "shard"]).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    p = home.select("grp", "shard", F.lit(False).alias("query"), "row", "unit", *carried).join(blocks, ["grp", "shard"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    both = q.unionByName(p).drop("blocks")
+
+    def run(t: pa.Table) -> pa.Table:
+        queries, points = t.filter(t["query"]), t.filter(pc.invert(t["query"]))
+        return work(t["grp"][0].as_py(), queries, points)
+
+    tasks = sum(r["blocks"] for r in counts)
+    return both.repartition(int(min(50_000, 3 * tasks)), "grp", "shard", "block").groupBy("grp", "shard", "block").applyInArrow(run, schema)
+
+
+def _expand(cos: np.ndarray, at: np.ndarray, rows: list[np.ndarray], k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Nearest classes to nearest rows: (rows, cosines) per query, best first, ties to the smaller row, at most k."""
+    near, value = [], []
+    several = any(len(r) > 1 for r in rows)
+    for c, a in zip(cos, at):
+        c, a = c[a >= 0], a[a >= 0]
+        if several:
+            r = [rows[i] for i in a]
+            c, r = np.repeat(c, [len(x) for x in r]), np.concatenate([*r, np.zeros(0, np.int64)])
+        else:
+            r = np.array([rows[i][0] for i in a], np.int64)
+        order = np.lexsort((r, -c))[:k]
+        near.append(r[order]), value.append(c[order])
+    return near, value
 
 
 def nearest_rows(df: DataFrame, key: str, group: str, vector: str, k: int, *, dimensions: int = 64, min_cos: float = -1.0, factor: float = 1.0) -> DataFrame:
@@ -110,31 +406,73 @@ def nearest_rows(df: DataFrame, key: str, group: str, vector: str, k: int, *, di
     may come out. What makes a row unusable is stated at ``unit_rows``. Copies of a vector are each other's nearest.
     A repeated key with the same vector counts once. An empty table gives an empty result; other columns are not read.
     """
-    rows = materialize(unit_rows(df, key, group, vector, dimensions))
-    classes = materialize(classes_of(rows, k))
-    near = nearest_classes(classes, k + 1, min_cos=min_cos, factor=factor)
-    ids = classes.select("grp", F.col("row").alias("near_row"), "rows")
-    each = near.join(ids, ["grp", "near_row"]).select("grp", "row", F.explode(F.transform("rows", lambda r: F.struct((-F.col("cosine")).alias("c"), r.alias("r")))).alias("o"))
-    best = each.groupBy("grp", "row").agg(F.slice(F.array_sort(F.collect_list("o")), 1, k + 1).alias("best"))
-    of_class = best.join(classes.select("grp", "row", "class_key"), ["grp", "row"]).select("grp", "class_key", "best")
-    members = rows.select("grp", "class_key", "row").distinct().join(of_class, ["grp", "class_key"])
+    ix = index(df, key, group, vector, dimensions)
+    k1 = k + 1  # with the row itself
+
+    def at_its_home(s: Shard, g: Group | None):
+        cos, at = vptree.nearest(s.unit, s.unit, s.row, k1, min_cos=min_cos, factor=factor)
+        near, value = _expand(cos, at, s.rows, k1)
+        floor = np.array([max(min_cos, v[-1]) if len(v) == k1 else min_cos for v in value])
+        visits = g.visits(s.unit, s.cell, s.shard, floor, factor, False) if g else None
+        return [pa.array(near, pa.list_(pa.int64())), pa.array(value, pa.list_(pa.float64())), pa.array(floor)], visits
+
+    def elsewhere(grp: int, q: pa.Table, p: pa.Table) -> pa.Table:
+        points, order = matrix_of(p["unit"], p.num_rows), np.argsort(p["row"].to_numpy())
+        rows = [np.array(r, np.int64) for r in p["rows"].take(pa.array(order)).to_pylist()]
+        cos, at = vptree.nearest(matrix_of(q["unit"], q.num_rows), points[order], p["row"].to_numpy()[order], k1, min_cos=min_cos, factor=factor, floor=q["floor"].to_numpy())
+        near, value = _expand(cos, at, rows, k1)
+        found = [i for i, r in enumerate(near) if len(r)]
+        return pa.table({"grp": pa.array([grp] * len(found), pa.int64()), "class_key": q["class_key"].to_numpy()[found], "near": pa.array([near[i] for i in found], pa.list_(pa.int64())), "cosines": pa.array([value[i] for i in found], pa.list_(pa.float64()))})
+
+    home = materialize(at_home(ix, k1, at_its_home, "near array<bigint>, cosines array<double>, floor double"))
+    more = away(home, ["class_key", "rows", "floor"], elsewhere, "grp bigint, class_key bigint, near array<bigint>, cosines array<double>")
+    pairs = lambda x: x.withColumn("best", F.arrays_zip((F.transform("cosines", lambda c: -c)).alias("c"), F.col("near").alias("r")))
+    best = pairs(home).select("grp", "class_key", "n", "rows", "best")
+    if more is not None:
+        brought = pairs(more).groupBy("grp", "class_key").agg(F.flatten(F.collect_list("best")).alias("more"))  # at most k + 1 per shard
+        best = best.join(brought, ["grp", "class_key"], "left").withColumn("best", F.when(F.col("more").isNull(), F.col("best")).otherwise(F.slice(F.array_sort(F.concat("best", "more")), 1, k1))).drop("more")
     others = F.slice(F.filter("best", lambda o: o["r"] != F.col("row")), 1, k)
-    return members.select("grp", "row", F.explode(others).alias("o")).select("grp", "row", F.col("o.r").alias("near_row"), (-F.col("o.c")).alias("cosine"))
+    found = members_of(best, ix, "best").select("grp", "row", F.explode(others).alias("o"))
+    return found.select("grp", "row", F.col("o.r").alias("near_row"), (-F.col("o.c")).alias("cosine"))
+
 
+def members_of(classes: DataFrame, ix: Index, column: str) -> DataFrame:
+    """grp, row and ``column`` of every row of classes (grp, class_key, n, rows, ``column``), each row once.
+
+    Small classes hold their rows. Those of the others are joined, hot classes in SALTS parts.
+    """
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    rows = classes.where(F.col("n") <= F.size("rows")).select("grp", F.explode("rows").alias("row"), column)
+    large = classes.where(F.col("n") > F.size("rows"))
+    hot = F.broadcast(large.where(F.col("n") * HOT_SHARE > total).select("grp", "class_key", F.lit(True).alias("hot")))  # fewer than HOT_SHARE rows
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = large.join(hot, ["grp", "class_key"], "left").select("grp", "class_key", F.explode(salts).alias("salt"), column)
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(SALTS))).otherwise(0).cast("int")
+    members = ix.rows.select("grp", "class_key", "row").join(hot, ["grp", "class_key"], "left").select("grp", "class_key", "row", salt.alias("salt"))
+    return rows.unionByName(members.join(salted, ["grp", "class_key", "salt"]).dropDuplicates(["grp", "row"]).select("grp", "row", column))
 
-def spanning_links(classes: DataFrame, min_cos: float, *, factor: float = 1.0) -> DataFrame:
-    """grp, a, b, cosine: links of at least ``min_cos`` between classes that connect all that such links connect.
 
-    Each pair of blocks contributes a spanning forest of its links, so the result has at most one link per row and pair
-    of blocks, however many pairs are similar.
+def spanning_graph(ix: Index, min_cos: float, local: Callable, *, keep: int = 4, factor: float = 1.0) -> tuple[DataFrame, DataFrame | None]:
+    """(classes with label, links between labels): a sparse graph that connects what cosines of ``min_cos`` connect.
+
+    Within a shard the links of a spanning forest are given to ``local(rows, a, b, cosines)``, which returns a label, the
+    smallest row of its cluster, for each class. Links (lo, hi, cosine) between labels of different shards are those of a
+    spanning forest per visit, so they are fewer than the labels that meet, however many pairs are similar. Of two
+    shards the looser visits the tighter one. Without visits there are none.
     """
 
-    def search(t: pa.Table) -> pa.Table:
-        grp, same = t["grp"][0].as_py(), t["block"][0].as_py() == t["shard"][0].as_py()
-        q_ids, q = _matrix(t.filter(t["query"]))
-        p_ids, p = (q_ids, q) if same else _matrix(t.filter(pc.invert(t["query"])))
-        links = vptree.spanning_links(q, p, min_cos, same=same, factor=factor) if len(q_ids) and len(p_ids) else []
+    def at_its_home(s: Shard, g: Group | None):
+        links = vptree.spanning_links(s.unit, s.unit, min_cos, same=True, factor=factor)
+        labels = local(s.row, links)
+        visits = g.visits(s.unit, s.cell, s.shard, np.full(len(s.row), min_cos), factor, True) if g else None
+        return [pa.array(labels, pa.int64())], visits
+
+    def elsewhere(grp: int, q: pa.Table, p: pa.Table) -> pa.Table:
+        names = np.concatenate([q["label"].to_numpy(), p["label"].to_numpy()])
+        links = vptree.spanning_links(matrix_of(q["unit"], q.num_rows), matrix_of(p["unit"], p.num_rows), min_cos, same=False, factor=factor, names=names)
         a, b, c = (np.array(x) for x in zip(*links)) if links else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        return pa.table({"grp": pa.array([grp] * len(a), pa.int64()), "a": q_ids[a], "b": p_ids[b], "cosine": c})
+        a, b = names[a], names[b + q.num_rows]
+        return pa.table({"lo": np.minimum(a, b), "hi": np.maximum(a, b), "cosine": c})
 
-    return _blocks(classes, True).groupBy("grp", "block", "shard").applyInArrow(search, "grp bigint, a bigint, b bigint, cosine double")
+    home = materialize(at_home(ix, keep, at_its_home, "label bigint"))
+    return home, away(home, ["label"], elsewhere, "lo bigint, hi bigint, cosine double")

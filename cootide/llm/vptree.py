@@ -70,13 +70,18 @@ class Tree:
         visit(self.root, np.arange(len(queries)))
 
 
-def nearest(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, *, min_cos: float = -1.0, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """(cosines rounded to 9 decimals, positions), both (queries, k), best first, ties by smaller id; position -1: none."""
+def nearest(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, *, min_cos: float = -1.0, factor: float = 1.0, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(cosines rounded to 9 decimals, positions), both (queries, k), best first, ties by smaller id; position -1: none.
+
+    Nothing below ``min_cos``, or below a query's own ``floor``, is given.
+    """
     n = len(queries)
     best, best_id, best_at = np.full((n, k), -np.inf), np.full((n, k), NO_ID), np.full((n, k), -1)
 
+    least = np.full(n, min_cos) if floor is None else np.maximum(floor, min_cos)
+
     def worst(qs: np.ndarray) -> np.ndarray:
-        return np.maximum(best[qs, -1], min_cos)
+        return np.maximum(best[qs, -1], least[qs])
 
     def evaluate(qs: np.ndarray, at: np.ndarray) -> None:
         for a in range(0, len(qs), 4096):
@@ -92,7 +97,7 @@ def nearest(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, *,
             if not len(r):
                 continue
             value = np.round(cos[r, c], 9)
-            keep = value >= min_cos
+            keep = value >= least[block[r]]
             r, c, value = r[keep], c[keep], value[keep]
             rows = np.unique(r)
             if not len(rows):
@@ -110,15 +115,19 @@ def nearest(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, *,
     return best, best_at
 
 
-def spanning_links(left: np.ndarray, right: np.ndarray, min_cos: float, *, same: bool, factor: float = 1.0) -> list[tuple[int, int, float]]:
+def spanning_links(left: np.ndarray, right: np.ndarray, min_cos: float, *, same: bool, factor: float = 1.0, names: np.ndarray | None = None) -> list[tuple[int, int, float]]:
     """Links (left position, right position, cosine) that connect whatever cosines of at least ``min_cos`` connect.
 
     Nodes are the rows of both blocks (of one block if ``same``). At most one link less than nodes comes back, though all
-    pairs are considered: a pair whose ends are connected already adds nothing.
+    pairs are considered: a pair whose ends are connected already adds nothing. Nodes of equal ``names`` (of the left, then
+    of the right) count as connected from the start.
     """
     n = len(left)
-    parent = list(range(n if same else n + len(right)))
-    label = np.arange(len(parent))
+    label = np.arange(n if same else n + len(right))
+    if names is not None:
+        _, first, inverse = np.unique(names, return_index=True, return_inverse=True)
+        label = first[inverse]
+    parent = label.tolist()
     shift = 0 if same else n
     out: list[tuple[int, int, float]] = []
 
