@@ -49,7 +49,7 @@ def _convert(spark, a) -> None:
         f = structure.fibers(x, a.mode)
         matrices.write_hypergraph(graphs.fiber_pins(x, a.mode), sum(x.dims), f.count(), a.out, f.selectExpr("fiber v", "nnz w"))
     elif a.type == "fibmat":
-        matrices.write_csr(x, a.mode, a.out)
+        matrices.write_fiber_matrix(x, a.mode, a.out)
     elif a.type == "bin":
         binary.write_binary(x, a.out)
     else:
@@ -83,8 +83,8 @@ def _cpd(spark, a) -> None:
 
 def _bench(spark, a) -> None:
     x = text.read(spark, a.file)
-    for plan, mode, seconds in stats.bench(x, a.alg or ["wide"], a.rank, a.iters):
-        print(f"{plan:<8} mode {mode}: {seconds:.4f}s")
+    for plan, parts, mode, seconds in stats.sweep(x, a.alg or ["wide"], a.parts or [int(spark.conf.get("spark.sql.shuffle.partitions"))], a.rank, a.iters):
+        print(f"{plan:<8} parts {parts:3d} mode {mode}: {seconds:.4f}s")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -113,6 +113,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--compact", action="store_true"), s.add_argument("-v", "--verbose", action="count", default=0), s.add_argument("--nowrite", action="store_true"), s.add_argument("-s", "--stem", default="")
     s = verb("bench", _bench, help="time product plans")
     s.add_argument("-a", "--alg", action="append"), s.add_argument("-r", "--rank", type=int, default=10), s.add_argument("-i", "--iters", type=int, default=5)
+    s.add_argument("-p", "--parts", action="append", type=int, help="number of partitions of the tensor; may be repeated")
     return p
 
 

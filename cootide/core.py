@@ -156,6 +156,22 @@ class SparseTensor:
         order = order or [(mode + k) % self.nmodes for k in range(self.nmodes)]
         return self.df.orderBy(*[f"i{m}" for m in order])
 
+    def sorted_within(self, tile: Column | str, mode: int = 0, partitions: int | None = None) -> DataFrame:
+        """Nonzeros with ``tile``, each tile whole in one partition and sorted there by tile and then as ``sorted``."""
+        x = self.df.withColumn("tile", F.col(tile) if isinstance(tile, str) else tile)
+        n = partitions or int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return x.repartition(n, "tile").sortWithinPartitions("tile", *[f"i{(mode + k) % self.nmodes}" for k in range(self.nmodes)])
+
+    def extreme_slice(self, mode: int, largest: bool = True) -> tuple[int, int] | None:
+        """(index, nonzeros) of the slice with most, or fewest, nonzeros, the first of equals; None without nonzeros.
+
+        Slices without nonzeros count for the fewest.
+        """
+        x = self.slices(mode) if largest else self.histogram(mode)
+        first = F.max_by if largest else F.min_by
+        r = x.agg(first("i", F.struct("nnz", (-F.col("i") if largest else F.col("i")).alias("at"))).alias("i"), (F.max if largest else F.min)("nnz").alias("nnz")).first()
+        return None if r["i"] is None else (r["i"], r["nnz"])
+
     def clustered(self, mode: int, partitions: int | None = None) -> SparseTensor:
         """Partitioned by a mode and sorted within, for repeated work on that mode."""
         n = partitions or int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -164,10 +180,15 @@ class SparseTensor:
 
     # -- unfolding ------------------------------------------------------------------------------------------------
 
-    def unfold(self, mode: int) -> DataFrame:
-        """row, col, val of the matricised tensor: col codes the other modes, the last varying fastest."""
+    def unfold(self, mode: int, wide: str = "struct") -> DataFrame:
+        """row, col, val of the matricised tensor: col codes the other modes, the last varying fastest.
+
+        Where such codes exceed 64 bits, col is the struct of the other modes, which sorts and joins like the code, or
+        with ``wide="decimal"`` the code as a decimal number of up to 38 digits.
+        """
         rest = [m for m in range(self.nmodes) if m != mode]
-        col = radix.encode([f"i{m}" for m in rest], [self.dims[m] for m in rest])
+        names, sizes = [f"i{m}" for m in rest], [self.dims[m] for m in rest]
+        col = radix.encode(names, sizes) if radix.fits(sizes) else F.struct(*names) if wide == "struct" else radix.encode_decimal(names, sizes)
         return self.df.select(F.col(f"i{mode}").alias("row"), col.alias("col"), "val")
 
     def row_pointers(self, mode: int) -> DataFrame:

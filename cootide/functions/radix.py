@@ -9,6 +9,21 @@ from pyspark.sql import Column, functions as F
 LARGEST = (1 << 63) - 1
 
 
+def fits(sizes: list[int]) -> bool:
+    """Whether codes of these sizes fit 64 bits."""
+    return reduce(lambda a, b: a * b, sizes, 1) <= LARGEST
+
+
+def encode_decimal(columns: list[str], sizes: list[int]) -> Column:
+    """``encode`` in decimal numbers of 38 digits."""
+    if reduce(lambda a, b: a * b, sizes, 1) >= 10**38:
+        raise OverflowError("codes have more than 38 digits")
+    code = F.lit(0).cast("decimal(38,0)")
+    for c, n in zip(columns, sizes):
+        code = (code * F.lit(n).cast("decimal(20,0)") + F.col(c).cast("decimal(20,0)")).cast("decimal(38,0)")
+    return code
+
+
 def checked_product(sizes: list[int]) -> int:
     out = reduce(lambda a, b: a * b, sizes, 1)
     if out > LARGEST:

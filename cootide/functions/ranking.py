@@ -32,15 +32,22 @@ def dense_ids(df: DataFrame, column: str, name: str) -> DataFrame:
     return global_rank(df.select(column).where(F.col(column).isNotNull()).distinct(), [column], name)
 
 
-def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+BLOCK_BITS = 16
+
+
+def running_sum(df: DataFrame, order: list[str], value: str, name: str, block: str | None = None) -> DataFrame:
     """Add the exclusive running sum of ``value`` in the order of the untied columns ``order``.
 
-    Sums of fixed-size blocks of the global rank are summed first, so windows see one block, or one row per block.
+    Sums of fixed-size blocks of the global rank are summed first, those of blocks of blocks before them, so windows see
+    one block of rows, one block of blocks, or one row per 2^32 rows. With ``block`` the number of a row's block is added.
     """
-    ranked = global_rank(df, order, "_rank").withColumn("_block", F.shiftright("_rank", 16))
-    blocks = ranked.groupBy("_block").agg(F.sum(value).alias("_sum"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    ranked = global_rank(df, order, "_rank").withColumn("_block", F.shiftright("_rank", BLOCK_BITS))
+    blocks = ranked.groupBy("_block").agg(F.sum(value).alias("_sum")).withColumn("_outer", F.shiftright("_block", BLOCK_BITS))
+    every = Window.orderBy("_outer").rowsBetween(Window.unboundedPreceding, -1)
+    outer = blocks.groupBy("_outer").agg(F.sum("_sum").alias("_all")).select("_outer", F.coalesce(F.sum("_all").over(every), F.lit(0)).alias("_outer_start"))
+    before = Window.partitionBy("_outer").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.join(outer, "_outer").select("_block", (F.col("_outer_start") + F.coalesce(F.sum("_sum").over(before), F.lit(0))).alias("_start"))
     inside = Window.partitionBy("_block").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
     out = ranked.join(starts, "_block").withColumn(name, F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    out = out.withColumn(block, F.col("_block")) if block else out
     return out.drop("_rank", "_block", "_start")

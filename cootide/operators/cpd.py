@@ -66,7 +66,7 @@ class Kruskal:
         """Text files ``{stem}lambda.mat`` and ``{stem}mode1.mat`` .. in row order."""
         from cootide.sources import matrices
 
-        matrices.write_vector(self.weights, f"{stem}lambda.mat")
+        matrices.write_vector(spark, self.weights, f"{stem}lambda.mat")
         for m, d in enumerate(self.dims):
             matrices.write_matrix(self.factor_frame(spark, m), f"{stem}mode{m + 1}.mat", d, self.rank)
 
@@ -117,7 +117,9 @@ def cpd_als(tensor: SparseTensor, rank: int, options: CpdOptions | None = None,
     normsq = x.normsq()
     if normsq == 0:
         raise TensorError("a tensor without nonzeros has no decomposition")
-    small = sum(kernels.factor_bytes(d, rank) for d in x.dims) <= options.driver_bytes
+    small = sum(kernels.factor_bytes(d, rank) for d in x.dims) <= min(options.driver_bytes, memory_bytes(x.df.sparkSession) // 16)
+    if options.verbosity:
+        log.info("%s", describe(x, rank, options, small))
     run = _on_arrays if small else _on_frames
     out = run(x, rank, options, normsq, start)
     out.maps = x.maps
@@ -127,6 +129,26 @@ def cpd_als(tensor: SparseTensor, rank: int, options: CpdOptions | None = None,
     return out
 
 
+def memory_bytes(spark: SparkSession) -> int:
+    """Memory of an executor, or of the driver in local mode, as configured; 1 GB where it is not."""
+    local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
+    text = spark.sparkContext.getConf().get("spark.driver.memory" if local else "spark.executor.memory", "1g").lower().removesuffix("b")
+    unit = {"k": 10, "m": 20, "g": 30, "t": 40}.get(text[-1])
+    return int(float(text[:-1]) * (1 << unit)) if unit else int(text)
+
+
+def describe(x: SparseTensor, rank: int, options: CpdOptions, arrays: bool = True) -> str:
+    """Settings of a decomposition and the bytes of its tensor and factors, in lines of NAME=value."""
+    from .stats import bytes_text, coordinate_bytes
+
+    nnz = x.nnz()
+    return "\n".join([
+        f"DIMS={'x'.join(map(str, x.dims))} NNZ={nnz} RANK={rank}",
+        f"TOLERANCE={options.tolerance:g} MAX-ITERATIONS={options.max_iterations} REGULARIZATION={options.regularization:g} SEED={options.seed} START={options.init}",
+        f"COORD-STORAGE={bytes_text(coordinate_bytes(nnz, x.nmodes))} FACTOR-STORAGE={bytes_text(sum(x.dims) * rank * 8)} FACTORS={'arrays' if arrays else 'frames'}",
+    ])
+
+
 def _stops(fits: list[float], options: CpdOptions) -> bool:
     return fits[-1] == 1.0 or (len(fits) > 1 and abs(fits[-1] - fits[-2]) < options.tolerance)
 
@@ -136,20 +158,25 @@ def _on_arrays(x: SparseTensor, rank: int, options: CpdOptions, normsq: float, s
     factors = [np.array(f, dtype=float) for f in start] if start is not None else [kernels.to_numpy(start_factor(spark, d, m, rank, options), d, rank) for m, d in enumerate(x.dims)]
     grams = [f.T @ f for f in factors]
     weights, fits, tasks = np.ones(rank), [], x.df.rdd.getNumPartitions()
+    shared = {m: spark.sparkContext.broadcast(f) for m, f in enumerate(factors)}
     for it in range(options.max_iterations):
         began = time.time()
         for m in range(n):
-            product = kernels.product_array(x, {k: factors[k] for k in range(n) if k != m}, m, rank, tasks)
+            product = kernels.product_array(x, shared, m, rank, tasks)
             a = linalg.solve_normals(linalg.hadamard(grams, m, options.regularization), product)
             weights = np.sqrt((a * a).sum(axis=0)) if it == 0 else np.maximum(1.0, a.max(axis=0))
             a /= np.where(weights > 0, weights, 1.0)
             factors[m], grams[m] = a, a.T @ a
+            shared[m].destroy()  # once per update, so memory stays flat
+            shared[m] = spark.sparkContext.broadcast(a)
         inner = float((product * factors[n - 1]).sum(axis=0) @ weights)
         fits.append(fit_of(normsq, model_normsq(grams, weights), inner))
         if options.verbosity > 1:
             log.info("its = %3d (%.3fs)  fit = %.5f", it + 1, time.time() - began, fits[-1])
         if _stops(fits, options):
             break
+    for b in shared.values():
+        b.destroy()
     for m in range(n):
         norms = np.sqrt((factors[m] ** 2).sum(axis=0))
         factors[m] = factors[m] / np.where(norms > 0, norms, 1.0)
@@ -165,7 +192,7 @@ def _on_frames(x: SparseTensor, rank: int, options: CpdOptions, normsq: float, s
     for it in range(options.max_iterations):
         for m in range(n):
             product = materialize(kernels.mttkrp(x, dict(enumerate(factors)), m, rank))
-            raw = materialize(linalg.times(product, linalg.normal_inverse(linalg.hadamard(grams, m, options.regularization))))
+            raw = materialize(linalg.solve_rows(product, linalg.hadamard(grams, m, options.regularization)))
             scaled, norms = linalg.normalize(raw, rank, "2" if it == 0 else "max")
             new = materialize(scaled)
             release(raw), release(factors[m])

@@ -87,19 +87,11 @@ def partition_vertices(vertices: DataFrame, parts: int, method: str = "hash") ->
     raise TensorError(f"unknown partition method {method!r}")
 
 
-def graph_lines(edges: DataFrame, n_vertices: int, weights: DataFrame | None = None) -> DataFrame:
-    """v, line of the adjacency text form: pairs of 1-based neighbour and weight, ascending; empty for lone vertices."""
-    near = edges.groupBy(F.col("u").alias("v")).agg(F.array_sort(F.collect_list(F.struct("v", "w"))).alias("near"))
-    every = edges.sparkSession.range(n_vertices).withColumnRenamed("id", "v").join(near, "v", "left")
-    text = F.array_join(F.transform(F.coalesce("near", F.array().cast("array<struct<v:bigint,w:bigint>>")), lambda e: F.concat((e["v"] + 1).cast("string"), F.lit(" "), e["w"].cast("string"), F.lit(" "))), "")
-    if weights is not None:
-        every = every.join(weights.select("v", F.col("w").alias("own")), "v", "left")
-        text = F.concat(F.col("own").cast("string"), F.lit(" "), text)
-    return every.select("v", text.alias("line"))
-
-
-def hypergraph_lines(pins: DataFrame, n_hedges: int) -> DataFrame:
-    """hedge, line: 1-based pins of every hyperedge in ascending order, empty ones included."""
-    every = pins.sparkSession.range(n_hedges).withColumnRenamed("id", "hedge")
-    own = pins.groupBy("hedge").agg(F.array_join(F.transform(F.array_sort(F.collect_list("vtx")), lambda v: F.concat((v + 1).cast("string"), F.lit(" "))), "").alias("line"))
-    return every.join(own, "hedge", "left").select("hedge", F.coalesce("line", F.lit("")).alias("line"))
+def graph_words(edges: DataFrame) -> DataFrame:
+    """v, at, word of the adjacency text form: 1-based neighbour and weight for every edge of a vertex, in order of ``at``."""
+    return edges.select(F.col("u").alias("v"), F.col("v").alias("at"), F.concat((F.col("v") + 1).cast("string"), F.lit(" "), F.col("w").cast("string"), F.lit(" ")).alias("word"))
+
+
+def hypergraph_words(pins: DataFrame) -> DataFrame:
+    """hedge, at, word: 1-based pins of every hyperedge, in order of ``at``."""
+    return pins.select("hedge", F.col("vtx").alias("at"), F.concat((F.col("vtx") + 1).cast("string"), F.lit(" ")).alias("word"))

@@ -3,7 +3,8 @@
 M[i, r] = sum over nonzeros with i_m = i of val * product over the other modes k of A_k[i_k, r]. A factor matrix is a
 DataFrame (i BIGINT, row ARRAY<DOUBLE>). Rows without nonzeros are absent, which stands for zero; ``dense=True`` adds them.
 
-Plans: ``wide`` joins arrays and keeps one sum per column, all in generated code (the default); ``long`` joins
+Plans: ``wide`` joins arrays and keeps one sum per column, all in generated code (the default); ``blocked`` does so for
+slices of the columns where they are too many for one; ``long`` joins
 (i, r, v) triples; ``fiber`` sums the last mode first and multiplies each fiber's factor row once, worth it when fibers
 hold several nonzeros; ``unfold`` joins through the decoded columns of the matricised tensor; ``arrow`` holds factors of
 checked size as NumPy arrays in the tasks, for large ranks.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cootide.core import SparseTensor, TensorError
@@ -20,7 +22,9 @@ from cootide.functions import radix
 
 BROADCAST_BYTES = 64 << 20
 WIDE_RANK = 48
-PLANS = ("auto", "wide", "long", "fiber", "unfold", "arrow")
+PLANS = ("auto", "wide", "blocked", "long", "fiber", "unfold", "arrow")
+# Fixed value: sums are kept per task if a mode has at most this share of indices per nonzero and task.
+PRIVATE_SHARE = 0.02
 
 
 def factor_bytes(dim: int, rank: int) -> int:
@@ -44,6 +48,23 @@ def _joined(df: DataFrame, tensor: SparseTensor, modes: list[int], factors: dict
     return df
 
 
+def choose_plan(dims: list[int], mode: int, rank: int, nnz: int | None = None, fibers: int | None = None) -> str:
+    """The plan of a product: ``fiber`` where it is known that fibers hold three nonzeros or more on average, so that
+    summing them first saves most joins; else ``wide``, up to the rank whose sums fit generated code; beyond, ``arrow`` for
+    factors of checked size, and ``blocked`` for others."""
+    if nnz and fibers and nnz >= 3 * fibers and rank <= WIDE_RANK:
+        return "fiber"
+    if rank <= WIDE_RANK:
+        return "wide"
+    small = sum(factor_bytes(d, rank) for m, d in enumerate(dims) if m != mode) <= BROADCAST_BYTES
+    return "arrow" if small else "blocked"
+
+
+def is_private(dim: int, nnz: int, tasks: int) -> bool:
+    """Whether every task may keep its own sums of a whole mode: they are few beside the nonzeros."""
+    return tasks > 1 and dim * tasks <= PRIVATE_SHARE * nnz
+
+
 def _sums(value: Column, arrays: list[str], rank: int) -> list[Column]:
     out = []
     for r in range(rank):
@@ -64,10 +85,10 @@ def mttkrp(tensor: SparseTensor, factors: dict[int, DataFrame] | list[DataFrame]
     others = _others(tensor, mode)
     small = sum(factor_bytes(tensor.dims[k], rank) for k in others) <= BROADCAST_BYTES
     if plan == "auto":
-        plan = "wide" if rank <= WIDE_RANK else "arrow" if small else "long"
+        plan = choose_plan(tensor.dims, mode, rank)
     if plan == "arrow" and not small:
         raise TensorError("factors are too large to be held by every task")
-    columns = {"wide": _wide, "long": _long, "fiber": _fiber, "unfold": _unfold, "arrow": _arrow}[plan](tensor, given, mode, rank, others)
+    columns = {"wide": _wide, "blocked": _blocked, "long": _long, "fiber": _fiber, "unfold": _unfold, "arrow": _arrow}[plan](tensor, given, mode, rank, others)
     if dense:
         every = tensor.df.sparkSession.range(tensor.dims[mode]).withColumnRenamed("id", "i")
         zero = F.array_repeat(F.lit(0.0), rank)
@@ -84,6 +105,17 @@ def _wide(tensor, factors, mode, rank, others) -> DataFrame:
     return _as_row(x.groupBy(f"i{mode}").agg(*_sums(F.col("val"), [f"a{k}" for k in others], rank)), f"i{mode}", rank)
 
 
+def _blocked(tensor, factors, mode, rank, others) -> DataFrame:
+    """``wide`` for slices of WIDE_RANK columns each, joined by the index, by which all of them are partitioned."""
+    out = None
+    for a in range(0, rank, WIDE_RANK):
+        width = min(WIDE_RANK, rank - a)
+        sliced = {k: factors[k].select("i", F.slice("row", a + 1, width).alias("row")) for k in others}
+        part = _wide(tensor, sliced, mode, width, others).withColumnRenamed("row", f"row{a}")
+        out = part if out is None else out.join(part, "i")
+    return out.select("i", F.concat(*[f"row{a}" for a in range(0, rank, WIDE_RANK)]).alias("row"))
+
+
 def _long(tensor, factors, mode, rank, others) -> DataFrame:
     x = tensor.df.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(rank - 1))))
     for k in others:
@@ -111,7 +143,8 @@ def _fiber(tensor, factors, mode, rank, others) -> DataFrame:
 
 def _unfold(tensor, factors, mode, rank, others) -> DataFrame:
     rest = [m for m in range(tensor.nmodes) if m != mode]
-    cols = radix.decode(F.col("col"), [tensor.dims[m] for m in rest])
+    sizes = [tensor.dims[m] for m in rest]
+    cols = radix.decode(F.col("col"), sizes) if radix.fits(sizes) else [F.col(f"col.i{m}") for m in rest]
     x = tensor.unfold(mode).select("row", "val", *[c.alias(f"i{m}") for m, c in zip(rest, cols)])
     x = _joined(x, tensor, others, factors, rank)
     return _as_row(x.groupBy("row").agg(*_sums(F.col("val"), [f"a{k}" for k in others], rank)).withColumnRenamed("row", "_i"), "_i", rank)
@@ -164,17 +197,18 @@ def _whole_task(batches, arrays: dict[int, np.ndarray], mode: int, rank: int, di
         yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(total[at, r]) for r in range(rank)]], ["i", *[f"r{r}" for r in range(rank)]])
 
 
-def product_array(tensor: SparseTensor, arrays: dict[int, np.ndarray], mode: int, rank: int, tasks: int) -> np.ndarray:
-    """The product as an array. If all tasks' sums together are proven small they are added on the driver, without an
-    exchange; else Spark adds them first."""
+def product_array(tensor: SparseTensor, shared: dict[int, Broadcast], mode: int, rank: int, tasks: int) -> np.ndarray:
+    """The product as an array, from broadcast factors of the other modes, which the caller keeps and destroys. If all
+    tasks' sums together are proven small they are added on the driver, without an exchange; else Spark adds them first."""
     dim = tensor.dims[mode]
     out = np.zeros((dim, rank))
+    schema = "i bigint, " + ", ".join(f"r{r} double" for r in range(rank))
+    others = {k: b for k, b in shared.items() if k != mode}
     if tasks * factor_bytes(dim, rank) <= BROADCAST_BYTES:
-        shared = tensor.df.sparkSession.sparkContext.broadcast(arrays)
-        schema = "i bigint, " + ", ".join(f"r{r} double" for r in range(rank))
-        t = tensor.df.mapInArrow(lambda batches: _whole_task(batches, shared.value, mode, rank, dim), schema).toArrow()
+        t = tensor.df.mapInArrow(lambda batches: _whole_task(batches, {k: b.value for k, b in others.items()}, mode, rank, dim), schema).toArrow()
     else:
-        t = arrow_products(tensor, arrays, mode, rank).toArrow()
+        parts = tensor.df.mapInArrow(lambda batches: partial_products(batches, {k: b.value for k, b in others.items()}, mode, rank), schema)
+        t = parts.groupBy("i").agg(*[F.sum(f"r{r}").alias(f"r{r}") for r in range(rank)]).toArrow()
     if t.num_rows:
         np.add.at(out, t["i"].to_numpy(), np.stack([t[f"r{r}"].to_numpy() for r in range(rank)], axis=1))
     return out

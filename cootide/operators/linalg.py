@@ -57,6 +57,18 @@ def solve_normals(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
         return np.linalg.lstsq(h.T, rows.T, rcond=np.finfo(float).eps)[0].T
 
 
+def solve_rows(matrix: DataFrame, h: np.ndarray) -> DataFrame:
+    """i, row of X with X H = matrix for a tall matrix (i, row), solved batch by batch as in ``solve_normals``."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x = solve_normals(h, np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.arange(0, x.size + 1, len(h), dtype=np.int32), pa.array(x.ravel()))], ["i", "row"])
+
+    return matrix.select("i", "row").mapInArrow(run, "i bigint, row array<double>")
+
+
 def cholesky(a: np.ndarray) -> np.ndarray:
     """Lower triangular L with L L^T = A; raises LinAlgError if A is not positive definite."""
     return np.linalg.cholesky(a)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cootide.core import SparseTensor, TensorError
 from cootide.functions import radix, ranking
+from cootide.session import materialize, release
 
 # Bytes of an index, of a value and of one tile's header in the storage formula; rows of a slab, and
 # fibers and indices of a tile.
@@ -61,14 +60,22 @@ def tree_orders(dims: list[int], copies: str = "two") -> list[list[int]]:
 def level_counts(tensor: SparseTensor, order: list[int]) -> DataFrame:
     """depth, nfibs: distinct prefixes per level of the fiber tree; the leaf level counts nonzeros, repeats included.
 
-    Prefixes are counted from the longest down, each level from the one below it.
+    Prefixes are counted from the longest down, each level once, from the written distinct prefixes of the one below it.
     """
-    below = tensor.df.select(*[f"i{m}" for m in order])
-    parts = [tensor.df.agg(F.count(F.lit(1)).alias("nfibs")).select(F.lit(len(order) - 1).alias("depth"), "nfibs")]
+    names = [f"i{m}" for m in order]
+    counts = []
+    below = tensor.df.select(*names[:-1], F.lit(1).cast("long").alias("n")) if len(order) > 1 else None
+    if below is None:
+        return tensor.df.agg(F.count(F.lit(1)).alias("nfibs")).select(F.lit(0).alias("depth"), "nfibs")
     for d in range(len(order) - 2, -1, -1):
-        below = below.select(*[f"i{m}" for m in order[: d + 1]]).distinct()
-        parts.append(below.agg(F.count(F.lit(1)).alias("nfibs")).select(F.lit(d).alias("depth"), "nfibs"))
-    return reduce(DataFrame.unionByName, parts)
+        level = materialize(below.groupBy(*names[: d + 1]).agg(F.sum("n").alias("n")))
+        if d < len(order) - 2:
+            release(below)
+        r = level.agg(F.count(F.lit(1)).alias("nfibs"), F.coalesce(F.sum("n"), F.lit(0)).alias("nnz")).first()
+        counts.append((d, r["nfibs"]))
+        below = level
+    release(below)
+    return tensor.df.sparkSession.createDataFrame([(len(order) - 1, r["nnz"]), *counts], "depth int, nfibs bigint")
 
 
 def level_nodes(tensor: SparseTensor, order: list[int], depth: int) -> DataFrame:
@@ -117,6 +124,44 @@ def fibers(tensor: SparseTensor, mode: int) -> DataFrame:
     return ranking.global_rank(tensor.df.select(*cols).groupBy(*names).agg(F.count(F.lit(1)).alias("nnz")), names, "fiber")
 
 
+def fiber_matrix(tensor: SparseTensor, mode: int) -> DataFrame:
+    """row, col, val: fibers of ``fibers`` as rows, the longest other mode as columns; fibers are numbered in order."""
+    order = fiber_order(tensor.dims, mode)
+    names = ["s", *[f"f{k}" for k in range(len(order) - 2)]]
+    x = tensor.df.select(*[F.col(f"i{m}").alias(c) for m, c in zip(order, names)], F.col(f"i{order[-1]}").alias("col"), "val")
+    return x.join(fibers(tensor, mode).select(*names, F.col("fiber").alias("row")), names).select("row", "col", "val")
+
+
+def fiber_pointers(tensor: SparseTensor, mode: int) -> DataFrame:
+    """fiber, start: the first nonzero of every fiber in the order of the fiber form."""
+    return ranking.running_sum(fibers(tensor, mode).select("fiber", "nnz"), ["fiber"], "nnz", "start").select("fiber", "start")
+
+
+def slice_pointers(tensor: SparseTensor, mode: int) -> DataFrame:
+    """s, fibers, start: of every slice, empty ones included, its fibers and the first of them."""
+    per = fibers(tensor, mode).groupBy("s").agg(F.count(F.lit(1)).alias("fibers"))
+    every = tensor.df.sparkSession.range(tensor.dims[mode]).withColumnRenamed("id", "s").join(per, "s", "left")
+    return ranking.running_sum(every.select("s", F.coalesce("fibers", F.lit(0)).alias("fibers")), ["s"], "fibers", "start")
+
+
+def slab_pointers(tensor: SparseTensor, mode: int, slices: int = SLAB_SLICES) -> DataFrame:
+    """slab, fibers, start: of every slab of consecutive slices, empty ones included, its fibers and the first of them."""
+    per = fibers(tensor, mode).groupBy(F.floor(F.col("s") / slices).cast("long").alias("slab")).agg(F.count(F.lit(1)).alias("fibers"))
+    every = tensor.df.sparkSession.range(-(-tensor.dims[mode] // slices)).withColumnRenamed("id", "slab").join(per, "slab", "left")
+    return ranking.running_sum(every.select("slab", F.coalesce("fibers", F.lit(0)).alias("fibers")), ["slab"], "fibers", "start")
+
+
+def fiber_storage(tensor: SparseTensor, mode: int, slabs: bool = False) -> int:
+    """Bytes of the fiber form: leaf ids and values, pointers and ids of fibers, and the pointers of all slices, or with
+    ``slabs`` those of the slabs and the slice of every fiber."""
+    order = fiber_order(tensor.dims, mode)
+    r = tensor.df.groupBy(*[f"i{m}" for m in order[:-1]]).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("nfibs"), F.coalesce(F.sum("n"), F.lit(0)).alias("nnz")).first()
+    size = r["nnz"] * (INDEX_BYTES + VALUE_BYTES) + (r["nfibs"] + 1) * INDEX_BYTES + r["nfibs"] * INDEX_BYTES
+    if slabs:
+        return size + (-(-tensor.dims[mode] // SLAB_SLICES) + 1) * INDEX_BYTES + r["nfibs"] * INDEX_BYTES
+    return size + (tensor.dims[mode] + 1) * INDEX_BYTES
+
+
 # -- tiles ----------------------------------------------------------------------------------------------------------
 
 

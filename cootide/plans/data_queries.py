@@ -46,7 +46,14 @@ def p4_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).where("reason IS NOT NULL").select("line_id", "file_id", "line_no", "reason", "cost", "edits")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_slices, p4_found, p4_loaded, p4_edits)}
+def p4_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cost and number of edits of lines without any quote that have a wrong number of fields."""
+    lines = read_table(spark, sf_dir, "tns_lines").where(~F.col("raw_line").contains('"'))
+    x = parse_lines(lines, read_table(spark, sf_dir, "tns_files")).where("reason = 'columns'")
+    return x.select("line_id", "cost", F.size(F.split("edits", "; ")).alias("n_edits"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_slices, p4_found, p4_loaded, p4_edits, p4_costs)}
 
 _FIELD = r"""("[^"]*"|[^" \t]+)"""
 _LINES = rf"""
@@ -69,5 +76,7 @@ SQL = {
     "p3_found": _SLICES + "SELECT t.run_id, t.i0 FROM slice_stats t LEFT JOIN s USING (run_id, i0) WHERE t.nfibs <> coalesce(s.n_fibers, 0)",
     "p3_slices": _SLICES + "SELECT s.run_id, s.i0, s.n_rows, s.n_fibers, s.sum_val, t.nfibs AS recorded_nfibs FROM s LEFT JOIN slice_stats t USING (run_id, i0)",
     "p4_found": _LINES + "SELECT line_id, reason FROM d WHERE reason IS NOT NULL",
+    # Missing fields need a delimiter each; of excess ones one is joined to its neighbour, or a pair of quotes holds them all.
+    "p4_costs": _LINES + "SELECT line_id, CAST(CASE WHEN len(parts) < nmodes + 1 THEN nmodes + 1 - len(parts) ELSE least(len(parts) - nmodes - 1, 2) END AS INTEGER) AS cost, CAST(cost AS INTEGER) AS n_edits FROM d WHERE reason = 'columns' AND NOT contains(line, '\"')",
     "p4_loaded": _LINES + "SELECT line_id, file_id, line_no, array_to_string(list_transform(idx, lambda x : CAST(x AS VARCHAR)), ',') AS indices, v AS value FROM d WHERE reason IS NULL",
 }

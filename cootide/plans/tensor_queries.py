@@ -11,9 +11,9 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from cootide.core import SparseTensor, affine_factor, density, index_column, rebase
+from cootide.core import SparseTensor, affine_factor, affine_row, density, index_column, rebase
 from cootide.functions import ranking
 from cootide.operators import cpd, graphs, kernels, linalg, partition, reorder, stats, structure
 from cootide.session import materialize, read_table, shared_folder
@@ -288,11 +288,23 @@ _query("cpd_rank2_it2", _als_steps(2, 2))(lambda s, d: _als(s, d, 2, 2))
 _query("cpd_rank2_it2_distributed", _als_steps(2, 2))(lambda s, d: _als(s, d, 2, 2, True))
 
 
-@_query("cpd_als_r8")
+@_query("cpd_als_r8", "SELECT TRUE AS stopped, TRUE AS rising, TRUE AS in_range, TRUE AS unit_columns, TRUE AS same_fit")
 def cpd_als_r8(spark, sf_dir):
-    """Fit per iteration of a decomposition of rank 8 from a random start, up to the default tolerance or iterations."""
-    out = cpd.cpd_als(tensor(spark, sf_dir, "te"), 8, cpd.CpdOptions(seed=1))
-    return spark.createDataFrame([(n + 1, float(f)) for n, f in enumerate(out.fits)], "iteration int, fit double")
+    """What must hold of a decomposition of rank 8 from a random start: it ends by the default tolerance or after 50
+    iterations, fits never fall, lie in (0, 1), the model's columns have norm one, and its fit is that of its own factors."""
+    x = tensor(spark, sf_dir, "te")
+    out = cpd.cpd_als(x, 8, cpd.CpdOptions(seed=1, compact=False))
+    fits = out.fits
+    frames = [out.factor_frame(spark, m) for m in range(3)]
+    inner = kernels.inner_product(x, kernels.mttkrp(x, frames, 0, 8), frames[0], out.weights.tolist())
+    again = cpd.fit_of(x.normsq(), cpd.model_normsq([f.T @ f for f in out.factors], out.weights), inner)
+    return spark.createDataFrame(
+        [(
+            len(fits) == 50 or abs(fits[-1] - fits[-2]) < 1e-5, all(b >= a - 1e-9 for a, b in zip(fits, fits[1:])), all(0 < f < 1 for f in fits),
+            all(bool(np.allclose((f * f).sum(axis=0), 1)) for f in out.factors), abs(again - out.fit) < 1e-9,
+        )],
+        "stopped boolean, rising boolean, in_range boolean, unit_columns boolean, same_fit boolean",
+    )
 
 
 @_query("solve_normals_r2", f"{_MODEL}, m AS ({_mttkrp_sql('te', 3, 0, 2).split('GROUP BY ALL) ', 1)[1]}) SELECT i, round((r0 * (g1.c * g2.c) - r1 * (g1.b * g2.b)) / (g1.a * g2.a * g1.c * g2.c - g1.b * g2.b * g1.b * g2.b), 6) AS x0, round((r1 * (g1.a * g2.a) - r0 * (g1.b * g2.b)) / (g1.a * g2.a * g1.c * g2.c - g1.b * g2.b * g1.b * g2.b), 6) AS x1 FROM m, g1, g2")
@@ -394,11 +406,6 @@ def perm_is_bijection(spark, sf_dir):
     return p.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("new").alias("distinct_new"), F.min("new").alias("least"), F.max("new").alias("most"))
 
 
-@_query("random_permutation")
-def random_permutation(spark, sf_dir):
-    return reorder.random_permutation(tensor(spark, sf_dir, "t3"), 0, 3)
-
-
 # -- partitions --------------------------------------------------------------------------------------------------------
 
 
@@ -413,7 +420,7 @@ def partition_weighted(spark, sf_dir):
     x = tensor(spark, sf_dir, "t3")
     w = partition.mode_weights(x, 0)
     bounds, most = partition.weighted_bounds(w, 31)
-    return spark.createDataFrame([(p, a, b, int(w[a:b].sum()), most) for p, (a, b) in enumerate(zip(bounds, bounds[1:]))], "part int, first bigint, past bigint, weight bigint, bottleneck bigint")
+    return spark.createDataFrame([(p, a, b, w.below(b) - w.below(a), most) for p, (a, b) in enumerate(zip(bounds, bounds[1:]))], "part int, first bigint, past bigint, weight bigint, bottleneck bigint")
 
 
 _GIVEN = {0: 4, 1: 2, 2: 2}

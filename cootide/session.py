@@ -30,13 +30,18 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSess
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), one temporary folder per process."""
+    """The folder of spark.checkpoint.dir; where that is unset and the master is this machine, a temporary one.
+
+    On several machines such a folder would lose data silently, so there it raises instead.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             folder = current.get()
         else:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="cootide-")
             spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -1,23 +1,86 @@
 """Text forms of matrices, vectors, sparse matrices, partitions, permutations, index maps, graphs and hypergraphs.
 
-Single files are written by the driver from ordered streams of rows; nothing is collected whole.
+Single files are written by the driver from ordered streams of rows, to any place the Hadoop file system reaches; nothing
+is collected whole, not even a line: the words of a hot row arrive one by one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cootide.core import SparseTensor, TensorError
-from cootide.operators import graphs
+from cootide.operators import graphs, structure
+
+CHUNK = 1 << 20
+
+
+class _Sink:
+    """Text in chunks to a Hadoop output stream."""
+
+    def __init__(self, out):
+        self.out, self.held, self.size = out, [], 0
+
+    def write(self, text: str) -> None:
+        self.held.append(text)
+        self.size += len(text)
+        if self.size >= CHUNK:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            self.out.write("".join(self.held).encode())
+        self.held, self.size = [], 0
+
+
+@contextmanager
+def text_sink(spark: SparkSession, path: str) -> Iterator:
+    """Something to write text to: a local file, or where the path has a scheme a file of that file system."""
+    if "://" not in path:
+        with open(path, "w") as f:
+            yield f
+        return
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, True)
+    sink = _Sink(out)
+    try:
+        yield sink
+        sink.flush()
+    finally:
+        out.close()
 
 
 def _write(rows: DataFrame, column: str, path: str, head: list[str] = ()) -> None:
-    with open(path, "w") as f:
-        f.writelines(line + "\n" for line in head)
+    with text_sink(rows.sparkSession, path) as f:
+        for line in head:
+            f.write(line + "\n")
         for r in rows.toLocalIterator(prefetchPartitions=True):
             f.write(r[column] + "\n")
 
 
+def _write_words(words: DataFrame, line: str, lines: int, path: str, head: list[str] = (), starts: DataFrame | None = None, tail: DataFrame | None = None) -> None:
+    """Lines 0 .. lines-1 of words (``line``, at, word) in order of ``at``, lines without words empty; ``starts`` (``line``, word)
+    come first in their lines; ``tail`` (at, word) follows, a word a line."""
+    each = words.select(F.col(line).alias("line"), F.lit(1).alias("part"), "at", "word")
+    if starts is not None:
+        each = each.unionByName(starts.select(F.col(line).alias("line"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("at"), "word"))
+    with text_sink(words.sparkSession, path) as f:
+        for h in head:
+            f.write(h + "\n")
+        now = 0
+        for r in each.orderBy("line", "part", "at").toLocalIterator(prefetchPartitions=True):
+            if r["line"] > now:
+                f.write("\n" * (r["line"] - now))
+                now = r["line"]
+            f.write(r["word"])
+        f.write("\n" * (lines - now))
+        for r in tail.orderBy("at").toLocalIterator(prefetchPartitions=True) if tail is not None else ():
+            f.write(r["word"] + "\n")
+
+
 def matrix_lines(matrix: DataFrame) -> DataFrame:
     """i, line: every value with sign and eight decimals in exponent form, each followed by a blank."""
     return matrix.select("i", F.array_join(F.transform("row", lambda v: F.concat(F.format_string("%+.8e", v), F.lit(" "))), "").alias("line"))
@@ -36,17 +99,39 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(lines, "i bigint, row array<double>")
 
 
-def write_vector(values, path: str) -> None:
-    with open(path, "w") as f:
-        f.writelines(f"{float(v):e}\n" for v in values)
+def write_vector(spark: SparkSession, values, path: str) -> None:
+    with text_sink(spark, path) as f:
+        for v in values:
+            f.write(f"{float(v):e}\n")
+
+
+def _entry(col: str) -> Column:
+    return F.concat(F.col(col).cast("string"), F.lit(" "), F.format_string("%.6f", "val"), F.lit(" "))
 
 
 def write_csr(tensor: SparseTensor, mode: int, path: str) -> None:
     """The unfolding of a mode: per row its 0-based column and value pairs, empty rows as empty lines."""
-    x = tensor.unfold(mode).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "val"))).alias("e"))
-    line = F.array_join(F.transform("e", lambda e: F.concat(e["col"].cast("string"), F.lit(" "), F.format_string("%.6f", e["val"]), F.lit(" "))), "")
-    every = tensor.df.sparkSession.range(tensor.dims[mode]).withColumnRenamed("id", "row").join(x, "row", "left")
-    _write(every.select("row", F.coalesce(line, F.lit("")).alias("line")).orderBy("row"), "line", path)
+    x = tensor.unfold(mode, wide="decimal")
+    _write_words(x.select("row", F.col("col").alias("at"), _entry("col").alias("word")), "row", tensor.dims[mode], path)
+
+
+def write_fiber_matrix(tensor: SparseTensor, mode: int, path: str) -> None:
+    """The fibers of a mode as rows: per fiber the pairs of index along the longest other mode and value."""
+    x = structure.fiber_matrix(tensor, mode)
+    _write_words(x.select("row", F.col("col").alias("at"), _entry("col").alias("word")), "row", structure.fibers(tensor, mode).count(), path)
+
+
+def write_part_files(df: DataFrame, folder: str) -> None:
+    """Nonzeros with a whole number ``part``, 1-based, as text files in ``folder``/part=N/, one folder per part."""
+    modes = [c for c in df.columns if c[0] == "i" and c[1:].isdigit()]
+    line = F.concat_ws(" ", *[(F.col(c) + 1).cast("string") for c in modes], F.col("val").cast("string"))
+    df.select("part", line.alias("value")).write.mode("overwrite").partitionBy("part").text(folder)
+
+
+def read_part_files(spark: SparkSession, folder: str, nmodes: int) -> DataFrame:
+    """Nonzeros with their part of the files that ``write_part_files`` wrote."""
+    p = F.split("value", " ")
+    return spark.read.text(folder).select(*[(p[m].cast("long") - 1).alias(f"i{m}") for m in range(nmodes)], p[nmodes].cast("double").alias("val"), F.col("part").cast("long").alias("part"))
 
 
 def read_parts(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
@@ -81,16 +166,16 @@ def write_graph(tensor: SparseTensor, path: str, vertex_weights: bool = False) -
     """Adjacency form: vertices, edges and a format code, then a line of neighbours and weights per vertex."""
     edges = graphs.partite_edges(tensor)
     n = sum(tensor.dims)
-    lines = graphs.graph_lines(edges, n, graphs.vertex_weights(tensor) if vertex_weights else None)
     head = f"{n} {edges.count() // 2} 0{int(vertex_weights)}1" + (" 1" if vertex_weights else "")
-    _write(lines.orderBy("v"), "line", path, [head])
-
-
-def write_hypergraph(pins: DataFrame, n_hedges: int, n_vertices: int, path: str, vertex_weights: DataFrame | None = None) -> None:
-    """Hyperedges, vertices and, with weights (v, w), a format code; pins per hyperedge; then the weights."""
-    head = f"{n_hedges} {n_vertices}" + (" 10" if vertex_weights is not None else "")
-    _write(graphs.hypergraph_lines(pins, n_hedges).orderBy("hedge"), "line", path, [head])
-    if vertex_weights is not None:
-        with open(path, "a") as f:
-            for r in vertex_weights.orderBy("v").toLocalIterator():
-                f.write(f"{r['w']}\n")
+    starts = graphs.vertex_weights(tensor).select("v", F.concat(F.col("w").cast("string"), F.lit(" ")).alias("word")) if vertex_weights else None
+    _write_words(graphs.graph_words(edges), "v", n, path, [head], starts)
+
+
+def write_hypergraph(pins: DataFrame, n_hedges: int, n_vertices: int, path: str, vertex_weights: DataFrame | None = None, hedge_weights: DataFrame | None = None) -> None:
+    """Hyperedges, vertices and, with weights, a format code (1 for hyperedges (hedge, w), 10 for vertices (v, w), 11 for
+    both); a line of pins per hyperedge, after its weight; then the vertex weights."""
+    code = 10 * (vertex_weights is not None) + (hedge_weights is not None)
+    head = f"{n_hedges} {n_vertices}" + (f" {code}" if code else "")
+    starts = hedge_weights.select("hedge", F.concat(F.col("w").cast("string"), F.lit(" ")).alias("word")) if hedge_weights is not None else None
+    tail = vertex_weights.select(F.col("v").alias("at"), F.col("w").cast("string").alias("word")) if vertex_weights is not None else None
+    _write_words(graphs.hypergraph_words(pins), "hedge", n_hedges, path, [head], starts, tail)

@@ -3,8 +3,10 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cootide.core import TensorError
+from cootide.functions import ranking
 from cootide.operators import graphs, partition, reorder, structure
 from tests.tensors import SMALL, med, rows, tensor
 
@@ -18,8 +20,8 @@ def test_graph_edges_and_lines(spark):
             want[cell[a] + at[a], cell[b] + at[b]] += 1
     edges = graphs.partite_edges(x)
     assert rows(edges) == sorted([(u, v, w) for (u, v), w in want.items()] + [(v, u, w) for (u, v), w in want.items()])
-    lines = dict(rows(graphs.graph_lines(edges, 8), "v", "line"))
-    assert lines[0] == "3 1 4 1 5 1 6 2 7 1 " and lines[7] == ""
+    words = [w for v, _, w in rows(graphs.graph_words(edges), "v", "at", "word") if v == 0]
+    assert "".join(words) == "3 1 4 1 5 1 6 2 7 1 "
     cut = graphs.edge_cut(edges, spark.range(7).selectExpr("id AS v", "id % 2 AS part")).first()[0]
     assert cut == sum(w for (u, v), w in want.items() if u % 2 != v % 2)
     weights = graphs.vertex_weights(x)
@@ -73,7 +75,7 @@ def test_weighted_partition_is_optimal(shape):
     bounds, most = partition.weighted_bounds(w, 31)
     assert bounds[0] == 0 and bounds[-1] == 500 and len(bounds) == 32 and all(a <= b for a, b in zip(bounds, bounds[1:]))
     assert max(w[a:b].sum() for a, b in zip(bounds, bounds[1:])) == most
-    assert most == 0 or partition.fits(np.cumsum(w), 31, most - 1) is None
+    assert most == 0 or partition.fits(partition.Weights.of(w), 31, most - 1) is None
 
 
 def test_layers_cover_and_balance(spark):
@@ -89,3 +91,52 @@ def test_layers_cover_and_balance(spark):
     placed = partition.distribute(parts, 6).selectExpr("part", "spark_partition_id() AS p").distinct().collect()
     assert all(r["part"] == r["p"] for r in placed)
     assert partition.coarse_owners(x, 3).count() >= 80
+
+
+def test_stored_weights_answer_as_those_in_memory(spark, monkeypatch):
+    x = tensor(spark, med((4000, 6, 5), 3000), [4000, 6, 5])
+    want = partition.mode_weights(x, 0)
+    monkeypatch.setattr(partition, "SMALL_MODE", 10)
+    monkeypatch.setattr(partition, "KEPT_BLOCKS", 4)
+    monkeypatch.setattr(ranking, "BLOCK_BITS", 8)
+    got = partition.mode_weights(x, 0)
+    assert isinstance(got, partition.StoredWeights) and len(got.block_ends) > 5 and (got.total, got.most) == (want.total, want.most)
+    for v in (-1, 0, 1, 17, 1500, 2999, 3000, 3001):
+        assert got.within(v) == want.within(v) and got.reaching(v) == want.reaching(v)
+    for n in (0, 1, 77, 3999, 4000):
+        assert got.below(n) == want.below(n)
+    assert partition.layer_bounds(got, 5) == partition.layer_bounds(want, 5)
+    assert partition.weighted_bounds(got, 3) == partition.weighted_bounds(want, 3)
+
+
+def test_part_of_many_bounds(spark):
+    for bounds in ([0, 5, 5, 9, 20], [0, *range(1, 400, 2), 400], [0, 20]):
+        got = spark.range(bounds[-1]).select("id", partition.part_of(F.col("id"), bounds).alias("p")).collect()
+        assert all(r["p"] == sum(b <= r["id"] for b in bounds[1:-1]) for r in got)
+
+
+def test_running_sum_over_blocks_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "BLOCK_BITS", 2)
+    df = spark.range(100).selectExpr("id AS k", "id % 7 AS v")
+    got = rows(ranking.running_sum(df, ["k"], "v", "s"), "k", "s")
+    assert got == [(k, sum(i % 7 for i in range(k))) for k in range(100)]
+
+
+def test_claimed_rows_lie_with_their_users(spark):
+    x = tensor(spark, med((60, 20, 9), 500), [60, 20, 9]).df.withColumn("part", F.pmod(F.xxhash64("i0", "i1"), F.lit(4)))
+    own = partition.claim_rows(x, ["i0", "i1", "i2"], 4)
+    assert own.count() == sum(x.select(c).distinct().count() for c in ("i0", "i1", "i2"))
+    per = partition.owned_rows(own, x, ["i0", "i1", "i2"])
+    assert per.agg(F.sum("owned")).first()[0] == own.count()
+    loads = {r["part"]: r["owned"] for r in per.where("mode = 0").collect()}
+    assert max(loads.values()) <= 2 * 60 / 4
+
+
+def test_fiber_forms(spark):
+    x = tensor(spark, SMALL)
+    # Seen from mode 0 the fibers run along mode 1, the longest of the others.
+    assert rows(structure.fiber_matrix(x, 0), "row", "col", "val") == [(0, 1, 1.0), (0, 2, 2.0), (1, 0, 3.0), (2, 0, 4.0), (2, 2, 5.0), (3, 1, 6.0)]
+    empty = x.with_df(x.df.limit(0))
+    assert structure.fiber_matrix(empty, 0).count() == 0 and rows(structure.slice_pointers(empty, 1), "fibers", "start") == [(0, 0)] * 3
+    assert rows(structure.level_counts(empty, [0, 1, 2])) == [(0, 0), (1, 0), (2, 0)]
+    assert structure.fiber_storage(empty, 0) == 8 + 3 * 8

@@ -7,11 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from cootide.plans import data_queries, tensor_queries
+from cootide.plans import data_queries, form_queries, tensor_queries
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the driver's tables are not here")
-QUERIES, SQL = tensor_queries.QUERIES | data_queries.QUERIES, tensor_queries.SQL | data_queries.SQL
+QUERIES, SQL = tensor_queries.QUERIES | form_queries.QUERIES | data_queries.QUERIES, tensor_queries.SQL | form_queries.SQL | data_queries.SQL
 
 
 @pytest.fixture(scope="module")
@@ -40,8 +40,3 @@ def test_contract(spark):
     assert entry.entry(spark).count() > 0
     for name in sorted(set(QUERIES) - set(SQL)):
         assert QUERIES[name](spark, FOLDER).count() > 0, name
-
-
-def test_decomposition_runs_until_it_stops(spark):
-    fits = [r["fit"] for r in QUERIES["cpd_als_r8"](spark, FOLDER).orderBy("iteration").collect()]
-    assert len(fits) == 50 or fits[-1] == 1.0 or abs(fits[-1] - fits[-2]) < 1e-5

@@ -5,7 +5,7 @@ import pytest
 from pyspark.errors import PySparkException
 
 from cootide import cli
-from cootide.core import TensorError, affine_factor
+from cootide.core import SparseTensor, TensorError, affine_factor
 from cootide.sources import binary, matrices, text
 from cootide.streaming import append
 from tests.tensors import SMALL, SMALL4, rows, tensor
@@ -74,7 +74,7 @@ def test_matrix_vector_parts(spark, tmp_path):
     lines = open(p).read().splitlines()
     assert lines[0] == "-5.00000000e+00 +0.00000000e+00 " and len(lines) == 4 and lines[3].startswith("+0.0")
     assert [r["row"] for r in matrices.read_matrix(spark, p).orderBy("i").collect()][1] == [2.0, -4.0]
-    matrices.write_vector([1.5, 2], str(tmp_path / "l.mat"))
+    matrices.write_vector(spark, [1.5, 2], str(tmp_path / "l.mat"))
     assert (tmp_path / "l.mat").read_text() == "1.500000e+00\n2.000000e+00\n"
     (tmp_path / "p").write_text("1\n0\n1\n")
     assert rows(matrices.read_parts(spark, str(tmp_path / "p"))) == [(0, 1), (1, 0), (2, 1)]
@@ -84,6 +84,24 @@ def test_matrix_vector_parts(spark, tmp_path):
     assert (tmp_path / "s").read_text().splitlines()[0] == "1 3.000000 2 1.000000 4 2.000000 "
 
 
+def test_sinks_reach_any_file_system(spark, tmp_path):
+    x = tensor(spark, SMALL)
+    matrices.write_csr(x, 0, f"file://{tmp_path}/a")
+    matrices.write_csr(x, 0, f"{tmp_path}/b")
+    assert (tmp_path / "a").read_text() == (tmp_path / "b").read_text() != ""
+    matrices.write_fiber_matrix(x, 0, f"{tmp_path}/c")
+    assert (tmp_path / "c").read_text().splitlines() == ["1 1.000000 2 2.000000 ", "0 3.000000 ", "0 4.000000 2 5.000000 ", "1 6.000000 "]
+    assert cli.main(["convert", _saved(x, tmp_path), f"{tmp_path}/d", "-t", "fibmat"]) == 0 and (tmp_path / "d").read_text() == (tmp_path / "c").read_text()
+    wide = SparseTensor(x.df, [2, 1 << 40, 1 << 40])
+    matrices.write_csr(wide, 0, f"{tmp_path}/e")
+    assert (tmp_path / "e").read_text().splitlines()[0] == f"1 3.000000 {1 << 40} 1.000000 {2 << 40} 2.000000 "
+
+
+def _saved(x, folder):
+    text.write_text(x, f"{folder}/x.tns", single_file=True)
+    return f"{folder}/x.tns"
+
+
 def test_command_line(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.chdir(tmp_path)
     text.write_text(tensor(spark, SMALL), "s.tns", single_file=True)
