@@ -52,7 +52,7 @@ def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     for c in ("first", *INDEX_COLUMNS, "val"):
         same &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
     joined = first.alias("a").join(got.alias("b"), "nnz_id", "left").select(F.col("a.first").alias("first_delivery_id"), "taken", same.alias("same"))
-    per = joined.groupBy("first_delivery_id").agg(F.count(F.lit(1)).alias("records"), F.count("taken").alias("taken"), F.count_if("taken IS NOT NULL AND NOT same").alias("foreign"))
+    per = joined.groupBy("first_delivery_id").agg(F.count(F.lit(1)).alias("records"), F.count("taken").alias("taken"), F.count_if(F.col("taken").isNotNull() & ~F.col("same")).alias("foreign"))
     p = F.col("records") / F.lit(max(n, 1))
     spread = F.sqrt(F.lit(float(k)) * p * (1 - p) * (1 - F.lit(k / max(n, 1))))
     return per.select("first_delivery_id", "records", (F.abs(F.col("taken") - k * p) <= 5 * spread + 1).alias("within_chance"), "foreign")
