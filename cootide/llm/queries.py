@@ -105,16 +105,16 @@ def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a missing or wrong label (cue_no 0), and the runs of documents in several languages."""
-    from .langid import declared_language
+    from .langid import NONE, declared_language
 
     x = _languages(spark, sf_dir)
-    wrong = (F.col("cue_no") > 0) | ~declared_language("label").eqNullSafe(F.col("lang"))
+    wrong = F.when(F.col("cue_no") > 0, F.col("mixed")).otherwise((F.col("lang") != NONE) & ~declared_language("label").eqNullSafe(F.col("lang")))
     return x.where(wrong).select("doc_id", "cue_no", "lang")
 
 
 def p9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language and confidence of every text (cue_no 0) and of every run of texts in several languages."""
-    return _languages(spark, sf_dir).select("doc_id", "cue_no", "n_cues", "lang", "confidence")
+    """Language and confidence of every text (cue_no 0) and of every stretch of texts in several languages."""
+    return _languages(spark, sf_dir).select("doc_id", "cue_no", "n_cues", "lang", "confidence", "mixed")
 
 
 MIN_COSINE = 0.78

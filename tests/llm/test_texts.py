@@ -136,7 +136,7 @@ def test_cue_segments():
 
 
 def test_words_leave_out_what_is_not_spoken():
-    assert langid.spoken_words("[soft music]") == langid.spoken_words("♪ la la ♪") == langid.spoken_words("Downloaded from x.example") == langid.spoken_words("- ...") == []
+    assert langid.spoken_words("[soft music]") == langid.spoken_words("♪ la la ♪") == langid.spoken_words("Downloaded from x.example") == langid.spoken_words("Sync & notes: Kota") == langid.spoken_words("- ...") == []
     assert langid.spoken_words("<i>ZOREL: Was war das?</i>\n(lacht)") == ["was", "war", "das"]
 
 
@@ -165,10 +165,12 @@ def test_runs_and_labels(spark, model):
     df = spark.createDataFrame([(k, t, " EN-us " if k == 1 else "xx", 0) for k, t in texts], "doc_id bigint, text string, lang string, cue_no int").repartition(2)
     got = langid.languages(df, "doc_id", "text", model, label="lang").collect()
     whole = Counter((r["doc_id"], r["lang"]) for r in got if r["cue_no"] == 0)
-    assert whole == Counter({(1, "en"): 2, (2, "en"): 1, (3, "de"): 1, (7, "ru"): 1, (8, "de"): 1, (9, "ru"): 1, (None, "de"): 1})
-    runs = sorted((r["doc_id"], r["cue_no"], r["lang"], r["n_cues"]) for r in got if r["cue_no"])
+    assert whole == Counter({(1, "en"): 2, (2, "en"): 1, (3, "de"): 1, (4, "und"): 1, (5, "und"): 1, (6, "und"): 1, (7, "ru"): 1, (8, "de"): 1, (9, "ru"): 1, (None, "de"): 1})
+    runs = sorted((r["doc_id"], r["cue_no"], r["lang"], r["n_cues"]) for r in got if r["mixed"])
     assert runs[:2] == [(2, 1, "de", 4), (2, 7, "en", 5)] and {r[0] for r in runs} == {2, 9} and len(runs) == 2 + 80
-    assert all(0 < r["confidence"] <= 1 for r in got)
+    short = sorted((r["cue_no"], r["lang"], r["n_cues"]) for r in got if r["doc_id"] == 3 and r["cue_no"])
+    assert short == [(1, "de", 3), (4, "en", 4), (8, "de", 3)]
+    assert all(0 < r["confidence"] <= 1 if r["lang"] != "und" else r["confidence"] == 0 for r in got)
     assert langid.languages(df.limit(0), "doc_id", "text", model).count() == 0
     labels = [r[0] for r in df.select(langid.declared_language("lang")).distinct().collect()]
     assert sorted(map(str, labels)) == ["None", "en"]
@@ -178,7 +180,7 @@ def test_training_reads_samples_and_confirmed_documents(spark, model):
     samples = spark.createDataFrame([(c, s) for c, all_ in SENTENCES.items() for s in all_] + [(None, "x"), ("en", None), ("tlh", "qapla")], "lang string, sample_text string")
     docs = spark.createDataFrame([(i, subtitle(*SENTENCES["de"]), "German" if i % 3 else "en") for i in range(9)], "doc_id bigint, text string, lang string")
     m = langid.train(samples, "lang", "sample_text", docs, "doc_id", centroids=3)
-    assert m.codes == ["de", "en", "ru"]
+    assert m.codes == ["de", "en", "ru", "tlh"]
     assert langid.classify_texts(m, [subtitle(*SENTENCES["de"])])[0][3] == "de"
 
 
@@ -191,11 +193,37 @@ def test_held_out_accuracy(model):
 
 def test_every_text_with_words_has_a_language(model):
     texts = [subtitle("qzx wvk", "xqj"), subtitle("я", "ы э"), subtitle("♪ ♪", "..."), subtitle("i", *SENTENCES["de"])]
-    found = {t: (cue, cues, lang, sure) for t, cue, cues, lang, sure in langid.classify_texts(model, texts, reject=0.3)}
-    assert found.keys() == {0, 1, 3} and found[0][:2] == found[1][:2] == (0, 2) and found[1][2] == "ru"
+    found = {t: (cue, cues, lang, sure) for t, cue, cues, lang, sure, _ in langid.classify_texts(model, texts, reject=0.3)}
+    assert found.keys() == {0, 1, 2, 3} and found[2] == (0, 0, "und", 0.0) and found[0][:2] == found[1][:2] == (0, 2) and found[1][2] == "ru"
     assert max(found[0][3], found[1][3]) <= langid.DOUBTFUL and found[3][1:3] == (6, "de")
 
 
+def test_cosines_are_those_of_the_whole_vectors(model, monkeypatch):
+    segments = [["der", "alte", "der", "der", "qqzzq"], ["x"], ["old", "bridge"] * 3, ["мост", "за", "мост"]]
+    unit = {}
+    for j in range(len(model.languages)):
+        unit[j] = model.weights[:, j] / model.idf  # the centroid
+    want = []
+    for words in segments:
+        tf = Counter(g for w in words for part in langid.ngrams(w) for g in part)
+        known = {model.grams[g]: n for g, n in tf.items() if g in model.grams}
+        norm = np.sqrt(sum((n * model.idf[i]) ** 2 for i, n in known.items()) + sum(n for g, n in tf.items() if g not in model.grams) * model.idf_unseen**2)
+        dots = [sum(n * model.idf[i] * unit[j][i] for i, n in known.items()) / norm for j in range(len(model.languages))]
+        want.append([max(d for d, of in zip(dots, model.languages) if of == c) for c in range(len(model.codes))])
+    for most in (100_000, 2):
+        monkeypatch.setattr(langid, "BLOCK_WORDS", most)
+        ids = model.word_ids([w for s in segments for w in s])
+        got = model.cosines(ids, np.cumsum([0, *map(len, segments[:-1])]))
+        assert np.allclose(got, want, atol=1e-5)
+
+
+def test_word_tables_start_anew(model, monkeypatch):
+    text = [subtitle(*SENTENCES["de"]), subtitle(*SENTENCES["ru"])]
+    want = langid.classify_texts(model, text)
+    monkeypatch.setattr(langid, "MOST_WORDS", 3)
+    assert [langid.classify_texts(model, [t])[0][2:5] for t in text] == [w[2:5] for w in want]
+
+
 def test_long_words_are_read_whole(model, monkeypatch):
     run_on = "the old bridge is behind the mill and".replace(" ", "") + "".join(SENTENCES["de"] * 3).replace(" ", "")
     assert langid.classify_texts(model, [subtitle(run_on)])[0][3] == "de"
