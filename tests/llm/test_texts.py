@@ -65,20 +65,44 @@ def test_packing_is_whole_and_tight(spark):
 def test_runs_never_exceed_capacity():
     rng = np.random.default_rng(6)
     for cap in (1, 10, 97):
-        sizes = rng.integers(1, cap + 1, 400)
+        sizes = np.sort(rng.integers(1, cap + 1, 400))
         u, n = np.unique(sizes, return_counts=True)
-        runs, opened = packing.match_runs(cap, u.tolist(), n.tolist())
-        fill, placed = Counter(), Counter()
-        for size, rank, count, first in runs:
-            assert rank == placed[size]
-            placed[size] += count
-            for c in range(first, first + count):
-                fill[c] += size
-        assert placed == Counter(sizes.tolist()) and len(fill) == opened and max(fill.values()) <= cap
+        runs, opened = packing.match_runs(cap, u.tolist(), n.tolist(), np.cumsum(n).tolist())
+        fill, placed = Counter(), []
+        for at, count, first in runs:
+            placed += range(at, at + count)
+            for k in range(count):
+                fill[first + k] += int(sizes[at + k])
+        assert sorted(placed) == list(range(400)) and len(fill) == opened and max(fill.values()) <= cap
         # First-fit-decreasing needs at most 11/9 of the optimum plus 1; the sweeps stay within that here.
         assert opened <= 11 / 9 * max(-(-int(sizes.sum()) // cap), int((sizes > cap / 2).sum())) + 1
 
 
+def test_a_sweep_gives_every_item_its_smallest_free_gap():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        sizes, gaps = np.sort(rng.integers(1, 30, 12)).tolist(), np.sort(rng.integers(1, 30, 9)).tolist()
+        left, want = list(gaps), []
+        for s in reversed(sizes):  # larger items go first
+            fit = [g for g in left if g >= s]
+            if fit:
+                want.append((s, min(fit)))
+                left.remove(min(fit))
+        matches, free = packing.sweep([[s, 1, k + 1] for k, s in enumerate(sizes)], [(g, k, 1) for k, g in enumerate(gaps)])
+        assert sorted((s, g) for s, g, *_ in matches) == sorted(want) and sorted(g for g, _, _ in free) == sorted(left)
+
+
+def test_ranges_do_not_change_the_packing(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, int(s)) for i, s in enumerate(rng.lognormal(3, 0.9, 300).astype(int) + 1)], "doc bigint, size bigint")
+    limits = spark.createDataFrame([(1, 60), (2, 130)], "limit_id int, capacity_tokens bigint")
+    want = rows(packing.pack(df, "doc", "size", limits))
+    monkeypatch.setattr(packing, "RANGE_RUNS", 17)
+    monkeypatch.setattr(packing, "BROADCAST_RUNS", 0)
+    monkeypatch.setattr(packing, "BLOCK_BITS", 5)
+    assert rows(packing.pack(df, "doc", "size", limits)) == want
+
+
 # -- mixing ------------------------------------------------------------------------------------------------------------
 
 
