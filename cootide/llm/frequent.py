@@ -12,11 +12,14 @@ driver reads it to bound the candidates' counts.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 FOLD_ROWS = 1 << 18
+MOST_WIDTH = 1 << 18
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
@@ -108,45 +111,103 @@ def merge_sketches(parts: DataFrame) -> DataFrame:
     return cells.select("col", "row", "cell", (-F.col("top.c")).alias("candidate"), F.greatest(F.lit(0), 2 * F.col("top.s") - F.col("all")).cast("long").alias("surplus"), "total")
 
 
-def candidates(cells: DataFrame, n_columns: int, *, depth: int = 4, width: int = 4096) -> list[tuple[int, int, int, int, int]]:
-    """(col, item, lower, upper, column total) of every candidate of a merged sketch, largest upper bound first.
-
-    lower <= count <= upper holds for each of them, and an item that is no candidate has at most the least
-    (total - surplus) / 2 over its cells. The sketch's fixed size bounds what is read here.
-    """
-    t = cells.toArrow()
-    shape = (n_columns, depth, width)
-    total, cand, surplus = (np.zeros(shape, np.int64) for _ in range(3))
-    at = tuple(t.column(c).to_numpy() for c in ("col", "row", "cell"))
-    for array, name in ((total, "total"), (cand, "candidate"), (surplus, "surplus")):
-        array[at] = t.column(name).to_numpy()
-    out = []
-    for c in range(n_columns):
-        items = np.unique(cand[c][(total[c] > 0) & (surplus[c] > 0)])
-        if not len(items):
-            continue
-        upper, lower = np.full(len(items), np.iinfo(np.int64).max), np.zeros(len(items), np.int64)
-        for row in range(depth):
-            cell = cell_of(items, row, width)
-            mine = (cand[c, row, cell] == items) & (total[c, row, cell] > 0)
-            sign = np.where(mine, surplus[c, row, cell], -surplus[c, row, cell])
-            upper = np.minimum(upper, (total[c, row, cell] + sign) // 2)
-            lower = np.maximum(lower, np.where(mine, surplus[c, row, cell], 0))
-        n = int(total[c, 0].sum())
-        out += [(c, int(i), int(lo), int(up), n) for i, lo, up in zip(items, lower, upper)]
-    return sorted(out, key=lambda x: (x[0], -x[3], x[1]))
+@dataclass
+class Sketch:
+    """A merged sketch on the driver; its fixed size bounds what is read here."""
+
+    total: np.ndarray  # (columns, depth, width)
+    candidate: np.ndarray
+    surplus: np.ndarray
+
+    @classmethod
+    def of(cls, cells: DataFrame, n_columns: int, depth: int, width: int) -> Sketch:
+        t = cells.toArrow()
+        out = cls(*(np.zeros((n_columns, depth, width), np.int64) for _ in range(3)))
+        at = tuple(t.column(c).to_numpy() for c in ("col", "row", "cell"))
+        for array, name in ((out.total, "total"), (out.candidate, "candidate"), (out.surplus, "surplus")):
+            array[at] = t.column(name).to_numpy()
+        return out
+
+    def bounds(self) -> list[tuple[int, int, int, int, int]]:
+        """(col, item, lower, upper, column total) of every candidate, largest upper bound first: lower <= count <= upper."""
+        out = []
+        columns, depth, width = self.total.shape
+        for c in range(columns):
+            total, cand, surplus = self.total[c], self.candidate[c], self.surplus[c]
+            items = np.unique(cand[(total > 0) & (surplus > 0)])
+            if not len(items):
+                continue
+            upper, lower = np.full(len(items), np.iinfo(np.int64).max), np.zeros(len(items), np.int64)
+            for row in range(depth):
+                cell = cell_of(items, row, width)
+                mine = (cand[row, cell] == items) & (total[row, cell] > 0)
+                sign = np.where(mine, surplus[row, cell], -surplus[row, cell])
+                upper = np.minimum(upper, (total[row, cell] + sign) // 2)
+                lower = np.maximum(lower, np.where(mine, surplus[row, cell], 0))
+            n = int(total[0].sum())
+            out += [(c, int(i), int(lo), int(up), n) for i, lo, up in zip(items, lower, upper)]
+        return sorted(out, key=lambda x: (x[0], -x[3], x[1]))
+
+    def open_cells(self, share: float) -> list[np.ndarray | None]:
+        """Per column the cells (depth, width) in which an item that is no candidate may fill ``share`` of the column; None
+        if some row has no such cell, for then no item can, as each has a cell in every row."""
+        out: list[np.ndarray | None] = []
+        for total, surplus in zip(self.total, self.surplus):
+            bad = (total - surplus) // 2 >= max(1.0, share * total[0].sum())
+            out.append(bad if bad.any(axis=1).all() else None)
+        return out
 
 
-def width_for(share: float) -> int:
-    """A power of two with at least 16 cells per possible item of that share."""
-    return 1 << max(8, int(np.ceil(np.log2(16 / share))))
+def candidates(cells: DataFrame, n_columns: int, *, depth: int = 4, width: int = 4096) -> list[tuple[int, int, int, int, int]]:
+    """``Sketch.bounds`` of merged cells."""
+    return Sketch.of(cells, n_columns, depth, width).bounds()
 
 
-def frequent_bounds(df: DataFrame, columns: list[str], share: float, *, depth: int = 4) -> list[tuple[int, int, int, int, int]]:
-    """(col, item, lower, upper, column total) of the candidates whose upper bound reaches ``share`` of the column."""
-    width = width_for(share)
-    found = candidates(sketch(df, columns, depth=depth, width=width), len(columns), depth=depth, width=width)
-    return [x for x in found if x[3] >= share * x[4]]
+def width_for(share: float) -> int:
+    """A power of two with at least 16 cells per possible item of that share, MOST_WIDTH at most: what collides more in so
+    many cells is found by ``_missed``."""
+    return 1 << max(8, min(MOST_WIDTH.bit_length() - 1, int(np.ceil(np.log2(16 / share)))))
+
+
+def _missed(df: DataFrame, columns: list[str], sketch: Sketch, share: float) -> DataFrame | None:
+    """(col, item, n): exact counts of the items all of whose cells are open, the only ones that the sketch may have missed;
+    None if there are no such cells."""
+    open_cells = sketch.open_cells(share)
+    if all(c is None for c in open_cells):
+        return None
+    shared = df.sparkSession.sparkContext.broadcast(open_cells)  # bits of the sketch's fixed size
+
+    def run(batches):
+        for b in batches:
+            for c, cells in enumerate(shared.value):
+                if cells is None:
+                    continue
+                items, n = np.unique(b.column(c).drop_null().to_numpy(), return_counts=True)
+                keep = np.ones(len(items), bool)
+                for row in range(len(cells)):
+                    keep &= cells[row, cell_of(items, row, cells.shape[1])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(keep.sum(), c, np.int32)), pa.array(items[keep]), pa.array(n[keep])], ["col", "item", "n"])
+
+    parts = df.select(*[F.col(c).cast("long") for c in columns]).mapInArrow(run, "col int, item bigint, n bigint")
+    return parts.groupBy("col", "item").agg(F.sum("n").alias("n"))
+
+
+def frequent_bounds(df: DataFrame, columns: list[str], share: float, *, depth: int = 4, width: int | None = None) -> list[tuple[int, int, int, int, int]]:
+    """(col, item, lower, upper, column total) of the items whose upper bound reaches ``share`` of the column: candidates of
+    the sketch, and where the sketch cannot exclude others those that a second pass over its open cells finds.
+
+    Fewer than 1 / share items of a column reach the share, but more may by their bounds; at most a candidate per cell.
+    """
+    width = width or width_for(share)
+    merged = Sketch.of(sketch(df, columns, depth=depth, width=width), len(columns), depth, width)
+    found = {(x[0], x[1]): x for x in merged.bounds() if x[3] >= share * x[4]}
+    missed = _missed(df, columns, merged, share)
+    if missed is not None:
+        totals = merged.total[:, 0].sum(axis=1)
+        need = F.element_at(F.array(*[F.lit(float(max(1.0, share * n))) for n in totals]), F.col("col") + 1)
+        for r in missed.where(F.col("n") >= need).collect():  # fewer than 1 / share per column
+            found[r["col"], r["item"]] = (r["col"], r["item"], r["n"], r["n"], int(totals[r["col"]]))
+    return sorted(found.values(), key=lambda x: (x[0], -x[3], x[1]))
 
 
 def frequent_items(df: DataFrame, columns: list[str], share: float, *, depth: int = 4) -> DataFrame:
@@ -162,7 +223,7 @@ def frequent_items(df: DataFrame, columns: list[str], share: float, *, depth: in
 def frequent_exact(df: DataFrame, columns: list[str], share_num: int, share_den: int, *, depth: int = 4) -> DataFrame:
     """Items filling at least share_num / share_den of a column: mode_no, idx, n_rows, found by the sketch.
 
-    A second pass counts the sketch's candidates exactly; they are at most modes * depth * width, so they are broadcast.
+    A second pass counts the sketch's candidates exactly; they are at most modes * depth * MOST_WIDTH, so they are broadcast.
     """
     found = frequent_bounds(df, columns, share_num / share_den, depth=depth)
     need = df.sparkSession.createDataFrame([(c, i, -(-n * share_num // share_den)) for c, i, _, _, n in found], "mode_no int, idx bigint, need bigint")

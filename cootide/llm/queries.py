@@ -26,6 +26,17 @@ def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequent_items(read_table(spark, sf_dir, "nonzeros"), INDEX_COLUMNS, 0.001)
 
 
+def p1_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact counts of the frequent indices, and whether the sketch's bounds hold them."""
+    from .frequent import frequent_exact, frequent_items
+
+    x = read_table(spark, sf_dir, "nonzeros")
+    exact = frequent_exact(x, INDEX_COLUMNS, 5, 1000)
+    bounds = frequent_items(x, INDEX_COLUMNS, 0.005)
+    holds = F.coalesce(F.col("n_rows").between(F.col("lower_count"), F.col("upper_count")), F.lit(False))
+    return exact.join(bounds, ["mode_no", "idx"], "left").select("mode_no", "idx", "n_rows", holds.alias("holds"))
+
+
 def p2_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """100,000 records of nonzeros, read delivery by delivery, every record equally likely."""
     from .reservoir import sample_records
@@ -78,6 +89,25 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.join(limits, "limit_id").select("limit_id", "capacity_tokens", "containers", "pieces", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"))
 
 
+def p7_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packing measured in characters: pieces and characters per capacity, and what must not occur: containers that hold too
+    much or are missing in the numbering, items that lose characters or are cut without need; and whether containers stay
+    within 11 / 9 of what is needed at least."""
+    from .packing import pack
+
+    limits = read_table(spark, sf_dir, "pack_limits")
+    x = read_table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n_tokens"))
+    packed = pack(x, "doc_id", "n_tokens", limits).join(F.broadcast(limits.select("limit_id", "capacity_tokens")), "limit_id")
+    boxes = packed.groupBy("limit_id", "capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("held"))
+    boxes = boxes.groupBy("limit_id").agg(F.count_if(F.col("held") > F.col("capacity_tokens")).alias("overfull"), F.count(F.lit(1)).alias("containers"), (F.max("container_id") + 1 - F.count(F.lit(1))).alias("missing"))
+    items = packed.groupBy("limit_id", "capacity_tokens", "doc_id").agg(F.sum("n_tokens").alias("got"), F.count(F.lit(1)).alias("pieces")).join(x, "doc_id")
+    wrong = (F.col("got") != F.col("n_tokens")) | (F.col("pieces") != F.ceil(F.col("n_tokens") / F.col("capacity_tokens")))
+    items = items.groupBy("limit_id").agg(F.count_if(wrong).alias("wrong"))
+    need = F.greatest(F.ceil(F.sum("n_tokens") / F.first("capacity_tokens")), F.count_if(F.col("n_tokens") * 2 > F.col("capacity_tokens")))
+    all_ = packed.groupBy("limit_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("letters"), need.alias("need"))
+    return all_.join(boxes, "limit_id").join(items, "limit_id").select("limit_id", "pieces", "letters", "overfull", "missing", "wrong", (F.col("containers") * 9 <= F.col("need") * 11 + 9).alias("tight"))
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     from .mixing import mix, sized
 
@@ -95,6 +125,24 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1].withColumnRenamed("used_size", "tokens")
 
 
+def p8_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target whether no document is taken more often than allowed, and whether the tokens taken are what the rate asks
+    for, within five standard deviations of the fractional copies."""
+    from .mixing import mix, sized, source_name
+
+    docs = _document_tokens(spark, sf_dir)
+    records = sized(docs, "doc_id", "source", F.col("n_tokens"))
+    targets = read_table(spark, sf_dir, "mix_targets")
+    selection, shares = mix(records, targets)
+    caps = targets.select("mix_name", source_name("source").alias("source"), "max_repeats")
+    most = selection.groupBy("mix_name", "source", "key").agg(F.count(F.lit(1)).alias("n")).groupBy("mix_name", "source").agg(F.max("n").alias("most"))
+    whole = records.groupBy("source").agg(F.sum("size").alias("all"), F.sum(F.col("size") * F.col("size")).alias("squares"))
+    part = F.col("rate") - F.floor("rate")
+    near = F.abs(F.col("used_size") - F.col("rate") * F.col("all")) <= 5 * F.sqrt(F.col("squares") * part * (1 - part)) + 1e-6 * F.col("all")
+    x = shares.join(whole, "source", "left").join(most, ["mix_name", "source"], "left").join(caps, ["mix_name", "source"])
+    return x.select("mix_name", "source", F.col("target_share"), F.coalesce(F.col("most") <= F.col("max_repeats"), F.lit(True)).alias("capped"), F.coalesce(near, F.col("used_size") == 0).alias("near_rate"))
+
+
 def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import languages, train
 
@@ -117,6 +165,18 @@ def p9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _languages(spark, sf_dir).select("doc_id", "cue_no", "n_cues", "lang", "confidence", "mixed")
 
 
+def p9_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its rows for the whole text, whether stretches follow each other and hold no more cues than the text, and
+    whether a text of nothing has no language."""
+    from .langid import NONE
+
+    x = _languages(spark, sf_dir).join(read_table(spark, sf_dir, "documents").select("doc_id", F.col("text")), "doc_id")
+    whole, part = F.col("cue_no") == 0, F.col("cue_no") > 0
+    per = x.groupBy("doc_id").agg(F.count_if(whole).alias("n_texts"), F.sum(F.when(part, F.col("n_cues"))).alias("cues"), F.max(F.when(whole, F.col("n_cues"))).alias("all_cues"), F.max(F.when(whole, F.col("lang"))).alias("lang"), F.max(F.coalesce(F.length("text"), F.lit(0))).alias("n"))
+    sound = (F.coalesce("cues", F.lit(0)) <= F.col("all_cues")) & ((F.col("n") > 0) | (F.col("lang") == NONE))
+    return per.select("doc_id", "n_texts", sound.alias("sound"))
+
+
 MIN_COSINE = 0.78
 
 
@@ -136,6 +196,18 @@ def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("grp").cast("int").alias("mode_no"), F.col("row").alias("row_id"), F.col("near_row").alias("near_row_id"), "cosine")
 
 
+def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per factor matrix its usable rows, and whether the relaxed search finds nine of ten rows that the exact one finds."""
+    from .neighbours import nearest_rows
+
+    x = read_table(spark, sf_dir, "factor_rows")
+    exact = nearest_rows(x, "row_id", "mode_no", "vals", 5)
+    found = nearest_rows(x, "row_id", "mode_no", "vals", 5, factor=2.0).select("grp", "row", "near_row", F.lit(1).alias("met"))
+    both = exact.join(found, ["grp", "row", "near_row"], "left")
+    per = both.groupBy("grp").agg(F.count_distinct("row").alias("n_rows"), (F.count("met") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+    return per.select(F.col("grp").cast("int").alias("mode_no"), "n_rows", "enough")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of groups of three or more rows linked by cosines of at least 0.78, with the group's smallest row."""
     from .clusters import linked_groups
@@ -150,5 +222,17 @@ def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return average_clusters(read_table(spark, sf_dir, "factor_rows"), "row_id", "mode_no", "vals", MIN_COSINE).select(F.col("grp").cast("int").alias("mode_no"), "first_row_id", "size", "typical_row_ids")
 
 
+def p6_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per factor matrix the rows that clusters hold, and what must hold of clusters: as many typical rows as there are, up to
+    three, and each cluster within one group of linked rows."""
+    x = p6_clusters(spark, sf_dir)
+    groups = read_table(spark, sf_dir, "factor_rows").select("row_id").join(p6_found(spark, sf_dir), "row_id", "left")
+    group = F.coalesce("first_row_id", "row_id").alias("grp")
+    members = x.select("mode_no", F.col("first_row_id").alias("cluster"), "size", F.explode("typical_row_ids").alias("row_id")).join(groups.select("row_id", group), "row_id")
+    inside = members.where("size > 2").groupBy("mode_no", "cluster").agg(F.count_distinct("grp").alias("n")).groupBy("mode_no").agg(F.count_if(F.col("n") > 1).alias("torn"))
+    per = x.groupBy("mode_no").agg(F.sum("size").alias("n_rows"), F.count_if(F.size("typical_row_ids") != F.least("size", F.lit(3))).alias("untypical"))
+    return per.join(inside, "mode_no", "left").select("mode_no", "n_rows", "untypical", F.coalesce("torn", F.lit(0)).alias("torn"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_counts, p2_sample, p2_shares, p5_found, p5_nearest, p6_found, p6_clusters, p7_packing, p7_fill, p8_mix, p8_shares, p9_found, p9_languages)}
+    return {f.__name__: f for f in (p1_found, p1_counts, p1_bounds, p2_sample, p2_shares, p5_found, p5_nearest, p5_recall, p6_found, p6_clusters, p6_sizes, p7_packing, p7_fill, p7_letters, p8_mix, p8_shares, p8_reached, p9_found, p9_languages, p9_texts)}

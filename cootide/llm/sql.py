@@ -12,6 +12,17 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"""
             WITH x AS ({_EACH_MODE}), c AS (SELECT mode_no, idx, count(*) AS n FROM x GROUP BY ALL), t AS (SELECT mode_no, count(*) AS n FROM x GROUP BY ALL)
             SELECT c.mode_no, c.idx FROM c JOIN t USING (mode_no) WHERE c.n * 1000 >= 5 * t.n""",
+        "p1_bounds": f"""
+            WITH x AS ({_EACH_MODE}), c AS (SELECT mode_no, idx, count(*) AS n FROM x GROUP BY ALL), t AS (SELECT mode_no, count(*) AS n FROM x GROUP BY ALL)
+            SELECT c.mode_no, c.idx, c.n AS n_rows, TRUE AS holds FROM c JOIN t USING (mode_no) WHERE c.n * 1000 >= 5 * t.n""",
+        "p7_letters": """
+            SELECT limit_id, CAST(sum((length(text) + capacity_tokens - 1) // capacity_tokens) AS BIGINT) AS pieces, CAST(sum(length(text)) AS BIGINT) AS letters,
+                   CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS wrong, TRUE AS tight
+            FROM documents, pack_limits WHERE length(text) > 0 GROUP BY 1""",
+        "p8_reached": "SELECT mix_name, lower(trim(source)) AS source, target_share, TRUE AS capped, TRUE AS near_rate FROM mix_targets",
+        "p9_texts": "SELECT doc_id, count(*) AS n_texts, TRUE AS sound FROM documents GROUP BY 1",
+        "p5_recall": f"WITH {_USABLE} SELECT mode_no, count(*) AS n_rows, TRUE AS enough FROM u GROUP BY 1",
+        "p6_sizes": f"WITH {_USABLE} SELECT mode_no, count(*) AS n_rows, CAST(0 AS BIGINT) AS untypical, CAST(0 AS BIGINT) AS torn FROM u GROUP BY 1",
         "p2_shares": """
             SELECT first AS first_delivery_id, count(*) AS records, TRUE AS within_chance, CAST(0 AS BIGINT) AS foreign
             FROM (SELECT nnz_id, min(coalesce(delivery_id, 1073741824)) AS first FROM nonzeros WHERE nnz_id IS NOT NULL GROUP BY 1) GROUP BY 1""",

@@ -50,6 +50,17 @@ def test_sketches_merge_in_any_order():
             assert (s <= n <= (t + s) / 2) if k == item else n <= (t - s) / 2
 
 
+def test_what_a_narrow_sketch_misses_is_counted(spark):
+    # Ten equal items in one cell per row: votes cancel, so no candidate tells of the others.
+    values = [i * i for i in range(10)] * 300 + [i * i for i in range(10)][::-1] * 300
+    df = spark.createDataFrame([(v, None) for v in values], "a bigint, b bigint").repartition(4)
+    merged = frequent.Sketch.of(frequent.sketch(df, ["a", "b"], depth=2, width=1), 2, 2, 1)
+    assert merged.open_cells(0.1)[0] is not None and merged.open_cells(0.1)[1] is None
+    found = frequent.frequent_bounds(df, ["a", "b"], 0.1, depth=2, width=1)
+    assert {x[1] for x in found} == {i * i for i in range(10)} and all(lo <= 600 <= up for _, _, lo, up, _ in found)
+    assert frequent.width_for(1e-9) == frequent.MOST_WIDTH
+
+
 def test_frequent_items_of_nothing(spark):
     df, _ = _skewed(spark, 10)
     assert frequent.frequent_items(df.limit(0), ["a"], 0.01).count() == 0
@@ -159,6 +170,9 @@ def test_tree_search_is_exact_at_factor_one(k):
         order = np.lexsort((np.broadcast_to(ids, full.shape), -full), axis=1)[:, :k]
         want = np.take_along_axis(full, order, 1)
         assert np.array_equal(cos, np.where(want >= low, want, -np.inf)) and np.array_equal(at, np.where(want >= low, order, -1))
+    floor = np.full(300, 0.5)
+    cos, at = vptree.nearest(x[:300], x, ids, k, floor=floor)
+    assert np.array_equal(cos, np.where(np.where(full[np.arange(300)[:, None], order] >= 0.5, want, -np.inf) >= 0.5, want, -np.inf))
     cos, at = vptree.nearest(x[:300], x, ids, k, factor=1.5)
     exact = vptree.nearest(x[:300], x, ids, k)[1]
     assert np.mean([len(set(a) & set(b)) / k for a, b in zip(at, exact)]) >= 0.9
@@ -212,6 +226,43 @@ def test_rows_and_groups_equal_brute_force(spark, monkeypatch):
     assert all(groups[r["first_row_id"]][1] >= r["size"] for r in found)
 
 
+def test_recall_over_several_shards(spark, monkeypatch):
+    # 64 dimensions: tight groups of 20 and a fifth of rows that belong to none.
+    rng = np.random.default_rng(11)
+    centers = rng.normal(size=(90, 64))
+    x = np.concatenate([np.repeat(centers, 20, axis=0) + 0.3 * rng.normal(size=(1800, 64)), rng.normal(size=(450, 64))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", 300)
+    df = spark.createDataFrame([(i, 0, r.tolist()) for i, r in enumerate(x)], "row_id bigint, mode_no int, vals array<double>").repartition(3)
+    full = np.round(x @ x.T, 9)
+    np.fill_diagonal(full, -9)
+    want = [set(np.lexsort((np.arange(len(x)), -r))[:5].tolist()) for r in full]
+    for factor, least in ((1.0, 1.0), (2.0, 0.9)):
+        found = defaultdict(set)
+        for r in neighbours.nearest_rows(df, "row_id", "mode_no", "vals", 5, factor=factor).collect():
+            found[r["row"]].add(r["near_row"])
+        assert np.mean([len(want[i] & found[i]) / 5 for i in range(len(x))]) >= least
+    ix = neighbours.index(df, "row_id", "mode_no", "vals", 64)
+    assert ix.shards > 5
+    home = neighbours.at_home(ix, 4, lambda s, g: ([neighbours.pa.array(s.cell)], g.visits(s.unit, s.cell, s.shard, np.full(len(s.row), 0.9), 1.0, False)), "at bigint")
+    tours = [len(r["visits"]) for r in home.where("row < 1800").collect()]
+    assert np.mean(tours) < 0.5 * (ix.shards - 2)  # what is near the centre of a group need not go everywhere
+
+
+def test_hot_classes_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CHUNK_ROWS", 50)
+    monkeypatch.setattr(neighbours, "HOT_SHARE", 3)
+    x = np.eye(4)
+    data = [(i, 0, x[0].tolist()) for i in range(200)] + [(i, 0, (x[1] + 0.001 * i * x[2]).tolist()) for i in range(200, 210)] + [(3, 0, x[0].tolist())] * 3
+    df = spark.createDataFrame(data, "row_id bigint, mode_no int, vals array<double>").repartition(5)
+    got = defaultdict(list)
+    for r in neighbours.nearest_rows(df, "row_id", "mode_no", "vals", 3, dimensions=4, min_cos=0.9).collect():
+        got[r["row"]].append(r["near_row"])
+    assert sorted(got[0]) == [1, 2, 3] and sorted(got[2]) == [0, 1, 3] and sorted(got[150]) == [0, 1, 2] and len(got) == 210
+    groups = {r["row"]: (r["first"], r["size"]) for r in clusters.linked_groups(df, "row_id", "mode_no", "vals", 0.9, dimensions=4).collect()}
+    assert groups[199] == (0, 200) and groups[3] == (0, 200) and groups[205] == (200, 10) and len(groups) == 210
+
+
 def test_average_linkage_against_rounds_by_hand(spark):
     edges = spark.createDataFrame([(1, 2, 0.95), (2, 3, 0.9), (3, 4, 0.95), (1, 3, 0.7), (4, 5, 0.6), (6, 7, 0.5), (1, 2, 0.95), (8, None, 0.9)], "lo bigint, hi bigint, cosine double")
     # 1-2 and 3-4 merge; their mean link is (0.9 + 0.7) / 2.
