@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 BUCKETS = 4096
+CHUNK_ROWS = 100_000
 
 
 @dataclass
@@ -128,15 +129,23 @@ def exchange(df: DataFrame, plan: LoadPlan) -> DataFrame:
 
 
 def combine_batches(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Pre-aggregate each Arrow batch to (keys..., n, total): a hot (key, split) pair leaves a map task as few rows."""
+    """Pre-aggregate chunks of CHUNK_ROWS rows to (keys..., n, total): a hot (key, split) pair leaves a map task as few rows."""
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("n", T.LongType()), T.StructField("total", T.DoubleType())])
 
+    def chunk(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        g = pa.Table.from_batches(held).group_by(keys).aggregate([([], "count_all"), (value, "sum")])
+        return pa.table([*[g[k] for k in keys], g["count_all"].cast(pa.int64()), g[f"{value}_sum"].cast(pa.float64())], names=[*keys, "n", "total"]).to_batches()
+
     def run(batches):
+        held, rows = [], 0
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            g = t.group_by(keys).aggregate([([], "count_all"), (value, "sum")])
-            t = pa.table([*[g[k] for k in keys], g["count_all"].cast(pa.int64()), g[f"{value}_sum"].cast(pa.float64())], names=[*keys, "n", "total"])
-            yield from t.to_batches()
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= CHUNK_ROWS:
+                yield from chunk(held)
+                held, rows = [], 0
+        if rows:
+            yield from chunk(held)
 
     return df.select(*keys, F.col(value).cast("double").alias(value)).mapInArrow(run, schema)
 
@@ -144,7 +153,8 @@ def combine_batches(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def keyed_fiber_counts(rows: DataFrame, matching: DataFrame, keys: list[str], fiber: str, value: str, *, tasks: int | None = None) -> DataFrame:
     """Per key: rows, distinct non-null fibers, sum of values, joined with the matching side; balanced over tasks.
 
-    ``matching`` must hold ``keys`` once per key; its other columns come back as given. Result: keys, n_rows (0 for a
+    ``matching`` should hold ``keys`` once per key; of several rows the largest, by its columns in order, is taken whole. Its
+    other columns come back as given. Loads are planned by rows, which bounds what is routed, as rows are combined before. Result: keys, n_rows (0 for a
     key that only the matching side has), n_fibers, sum_value (null without values), has_rows, has_match and the
     matching columns. A null in a key column forms no key on either side of the rows; matching rows with a null key
     come back unmatched. Empty inputs give an empty result or unmatched rows. Further columns of ``rows`` are ignored;
@@ -162,12 +172,14 @@ def keyed_fiber_counts(rows: DataFrame, matching: DataFrame, keys: list[str], fi
     no_key = reduce(lambda a, b: a | b, [F.col(i).isNull() for i in ids])
     right = named.where(~no_key).withColumn("_m", F.lit(1))
     combined = combine_batches(left, [*ids, "_f"], "_v")
-    a = route(combined, plan, F.col("_f")).select(*ids, "_task", "_f", "n", "total", *[F.lit(None).cast(t).alias(x) for x, t in zip(xs, types)], F.lit(None).cast("int").alias("_m"))
-    b = route(right, plan, None).select(*ids, "_task", F.lit(None).cast(left.schema["_f"].dataType).alias("_f"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("total"), *xs, "_m")
-    carried = [F.max(c).alias(c) for c in (*xs, "_m")]  # one matching row per key, so max only picks it
+    record = T.StructType([T.StructField("_m", T.IntegerType()), *[T.StructField(x, t) for x, t in zip(xs, types)]])
+    a = route(combined, plan, F.col("_f")).select(*ids, "_task", "_f", "n", "total", F.lit(None).cast(record).alias("_r"))
+    b = route(right, plan, None).select(*ids, "_task", F.lit(None).cast(left.schema["_f"].dataType).alias("_f"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("total"), F.struct("_m", *xs).cast(record).alias("_r"))
+    carried = [F.max("_r").alias("_r")]
     both = exchange(a.unionByName(b), plan)
     fibers = both.groupBy("_task", *ids, "_f").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), *carried)
     shard = fibers.groupBy("_task", *ids).agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, F.col("_f"))).alias("d"), F.sum("total").alias("total"), *carried)
     whole = shard.groupBy(*ids).agg(F.sum("n").alias("n_rows"), F.sum("d").alias("n_fibers"), F.sum("total").alias("sum_value"), *carried)
+    whole = whole.select(*ids, "n_rows", "n_fibers", "sum_value", *[F.col(f"_r.{x}").alias(x) for x in xs], F.col("_r._m").alias("_m"))
     alone = named.where(no_key).select(*ids, F.lit(0).cast("long").alias("n_rows"), F.lit(0).cast("long").alias("n_fibers"), F.lit(None).cast("double").alias("sum_value"), *xs, F.lit(1).alias("_m"))
     return whole.unionByName(alone).select(*[F.col(i).alias(k) for k, i in zip(keys, ids)], "n_rows", "n_fibers", "sum_value", (F.col("n_rows") > 0).alias("has_rows"), F.col("_m").isNotNull().alias("has_match"), *[F.col(x).alias(c) for c, x in zip(extra, xs)])

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from cootide.core import SparseTensor, affine_factor, affine_row, density, index_column, rebase
 from cootide.functions import ranking
 from cootide.operators import cpd, graphs, kernels, linalg, partition, reorder, stats, structure
-from cootide.session import materialize, read_table, shared_folder
+from cootide.session import materialize, read_table, release, shared_folder
 
 _kept: dict[tuple, SparseTensor] = {}
 
@@ -45,6 +45,13 @@ def tensor(spark: SparkSession, sf_dir: str, which: str) -> SparseTensor:
     return _kept[key]
 
 
+def forget(spark: SparkSession) -> None:
+    """Drop the tensors kept so far."""
+    for x in _kept.values():
+        release(x.df)
+    _kept.clear()
+
+
 def _factors(x: SparseTensor, rank: int) -> list[DataFrame]:
     return [affine_factor(x.df.sparkSession, d, m, rank) for m, d in enumerate(x.dims)]
 

@@ -36,6 +36,13 @@ def test_keyed_counts_under_skew(spark):
     assert max(plan.task_loads) < 2 * sum(plan.task_loads) / 5
 
 
+def test_a_repeated_matching_key_keeps_one_record_whole(spark):
+    df = spark.createDataFrame([(1, 2, 3, 1.0)] * 5, "run int, i bigint, f bigint, val double")
+    match = spark.createDataFrame([(1, 2, 7, None, "a"), (1, 2, 7, 1, None), (1, 2, 3, 9, "z")], "run int, i bigint, x bigint, y bigint, note string")
+    got = skew.keyed_fiber_counts(df, match, ["run", "i"], "f", "val", tasks=3).collect()
+    assert [(r["n_rows"], r["n_fibers"], r["x"], r["y"], r["note"]) for r in got] == [(5, 1, 7, 1, None)]
+
+
 def test_keyed_counts_of_nothing(spark):
     df = spark.createDataFrame([], "run int, i bigint, f bigint, val double")
     match = spark.createDataFrame([(1, 2, 3)], "run int, i bigint, nfibs bigint")
