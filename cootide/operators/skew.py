@@ -170,16 +170,15 @@ def keyed_fiber_counts(rows: DataFrame, matching: DataFrame, keys: list[str], fi
     types = [matching.schema[c].dataType for c in extra]
     named = matching.select(*[F.col(k).alias(i) for k, i in zip(keys, ids)], *[F.col(c).alias(x) for c, x in zip(extra, xs)])
     no_key = reduce(lambda a, b: a | b, [F.col(i).isNull() for i in ids])
-    right = named.where(~no_key).withColumn("_m", F.lit(1))
+    # One whole record per key first, so that what follows carries plain columns through hash aggregations.
+    right = named.where(~no_key).groupBy(*ids).agg(F.max(F.struct(F.lit(1).alias("_m"), *xs)).alias("_r")).select(*ids, *[F.col(f"_r.{x}").alias(x) for x in xs], "_r._m")
     combined = combine_batches(left, [*ids, "_f"], "_v")
-    record = T.StructType([T.StructField("_m", T.IntegerType()), *[T.StructField(x, t) for x, t in zip(xs, types)]])
-    a = route(combined, plan, F.col("_f")).select(*ids, "_task", "_f", "n", "total", F.lit(None).cast(record).alias("_r"))
-    b = route(right, plan, None).select(*ids, "_task", F.lit(None).cast(left.schema["_f"].dataType).alias("_f"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("total"), F.struct("_m", *xs).cast(record).alias("_r"))
-    carried = [F.max("_r").alias("_r")]
+    a = route(combined, plan, F.col("_f")).select(*ids, "_task", "_f", "n", "total", *[F.lit(None).cast(t).alias(x) for x, t in zip(xs, types)], F.lit(None).cast("int").alias("_m"))
+    b = route(right, plan, None).select(*ids, "_task", F.lit(None).cast(left.schema["_f"].dataType).alias("_f"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("total"), *xs, "_m")
+    carried = [F.max(c).alias(c) for c in (*xs, "_m")]  # one matching row per key, so max only picks it
     both = exchange(a.unionByName(b), plan)
     fibers = both.groupBy("_task", *ids, "_f").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), *carried)
     shard = fibers.groupBy("_task", *ids).agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, F.col("_f"))).alias("d"), F.sum("total").alias("total"), *carried)
     whole = shard.groupBy(*ids).agg(F.sum("n").alias("n_rows"), F.sum("d").alias("n_fibers"), F.sum("total").alias("sum_value"), *carried)
-    whole = whole.select(*ids, "n_rows", "n_fibers", "sum_value", *[F.col(f"_r.{x}").alias(x) for x in xs], F.col("_r._m").alias("_m"))
     alone = named.where(no_key).select(*ids, F.lit(0).cast("long").alias("n_rows"), F.lit(0).cast("long").alias("n_fibers"), F.lit(None).cast("double").alias("sum_value"), *xs, F.lit(1).alias("_m"))
     return whole.unionByName(alone).select(*[F.col(i).alias(k) for k, i in zip(keys, ids)], "n_rows", "n_fibers", "sum_value", (F.col("n_rows") > 0).alias("has_rows"), F.col("_m").isNotNull().alias("has_match"), *[F.col(x).alias(c) for c, x in zip(extra, xs)])
