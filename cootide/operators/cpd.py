@@ -157,12 +157,13 @@ def _on_arrays(x: SparseTensor, rank: int, options: CpdOptions, normsq: float, s
     spark, n = x.df.sparkSession, x.nmodes
     factors = [np.array(f, dtype=float) for f in start] if start is not None else [kernels.to_numpy(start_factor(spark, d, m, rank, options), d, rank) for m, d in enumerate(x.dims)]
     grams = [f.T @ f for f in factors]
-    weights, fits, tasks = np.ones(rank), [], x.df.rdd.getNumPartitions()
+    nonzeros = kernels.packed(x)
+    weights, fits, tasks = np.ones(rank), [], nonzeros.rdd.getNumPartitions()
     shared = {m: spark.sparkContext.broadcast(f) for m, f in enumerate(factors)}
     for it in range(options.max_iterations):
         began = time.time()
         for m in range(n):
-            product = kernels.product_array(x, shared, m, rank, tasks)
+            product = kernels.product_array(nonzeros, x.dims, shared, m, rank, tasks)
             a = linalg.solve_normals(linalg.hadamard(grams, m, options.regularization), product)
             weights = np.sqrt((a * a).sum(axis=0)) if it == 0 else np.maximum(1.0, a.max(axis=0))
             a /= np.where(weights > 0, weights, 1.0)
@@ -177,6 +178,7 @@ def _on_arrays(x: SparseTensor, rank: int, options: CpdOptions, normsq: float, s
             break
     for b in shared.values():
         b.destroy()
+    release(nonzeros)
     for m in range(n):
         norms = np.sqrt((factors[m] ** 2).sum(axis=0))
         factors[m] = factors[m] / np.where(norms > 0, norms, 1.0)

@@ -19,9 +19,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cootide.core import SparseTensor, TensorError
 from cootide.functions import radix
+from cootide.session import materialize
 
 BROADCAST_BYTES = 64 << 20
 WIDE_RANK = 48
+PACKED_NONZEROS = 1 << 20
 PLANS = ("auto", "wide", "blocked", "long", "fiber", "unfold", "arrow")
 # Fixed value: sums are kept per task if a mode has at most this share of indices per nonzero and task.
 PRIVATE_SHARE = 0.02
@@ -185,32 +187,82 @@ def arrow_products(tensor: SparseTensor, arrays: dict[int, np.ndarray], mode: in
     return parts.groupBy("i").agg(*[F.sum(f"r{r}").alias(f"r{r}") for r in range(rank)])
 
 
-def _whole_task(batches, arrays: dict[int, np.ndarray], mode: int, rank: int, dim: int):
-    """The sums of all batches of a task as one batch."""
-    total, met = np.zeros((dim, rank)), np.zeros(dim, bool)
-    for part in partial_products(batches, arrays, mode, rank):
-        at = part.column(0).to_numpy()
-        met[at] = True
-        total[at] += np.stack([part.column(r + 1).to_numpy() for r in range(rank)], axis=1)
-    at = np.flatnonzero(met)
-    if len(at):
-        yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(total[at, r]) for r in range(rank)]], ["i", *[f"r{r}" for r in range(rank)]])
+def packed(tensor: SparseTensor) -> DataFrame:
+    """The nonzeros as few rows of packed arrays (i0 .. and val as bytes), at most PACKED_NONZEROS each, for work that passes
+    over them many times; written once. Indices take 4 bytes if all dims allow. Nonzeros that do not fill a row per core
+    are spread over all cores first."""
+    cores = tensor.df.sparkSession.sparkContext.defaultParallelism
+    df = tensor.df if tensor.nnz() >= cores * PACKED_NONZEROS else tensor.df.repartition(cores)
+    kind = np.dtype(np.int32 if max(tensor.dims) < 1 << 31 else np.int64)
+    names = [*tensor.modes, "val"]
+
+    def run(batches):
+        def one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            arrays = [t[c].to_numpy().astype(kind).tobytes() for c in names[:-1]] + [t["val"].to_numpy().tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([a], pa.binary()) for a in arrays], names)
+
+        held, rows = [], 0
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows >= PACKED_NONZEROS:
+                yield one(held)
+                held, rows = [], 0
+        if rows:
+            yield one(held)
+
+    return materialize(df.select(*names).mapInArrow(run, ", ".join(f"{c} binary" for c in names)))
+
+
+def _unpacked(batches, dims: list[int]):
+    """(indices per mode, values) of every packed row."""
+    kind = np.dtype(np.int32 if max(dims) < 1 << 31 else np.int64)
+    for b in batches:
+        for r in range(b.num_rows):
+            yield [np.frombuffer(b.column(m)[r].as_buffer(), kind) for m in range(len(dims))], np.frombuffer(b.column(len(dims))[r].as_buffer())
 
 
-def product_array(tensor: SparseTensor, shared: dict[int, Broadcast], mode: int, rank: int, tasks: int) -> np.ndarray:
-    """The product as an array, from broadcast factors of the other modes, which the caller keeps and destroys. If all
-    tasks' sums together are proven small they are added on the driver, without an exchange; else Spark adds them first."""
-    dim = tensor.dims[mode]
-    out = np.zeros((dim, rank))
-    schema = "i bigint, " + ", ".join(f"r{r} double" for r in range(rank))
+def _products(indices: list[np.ndarray], values: np.ndarray, arrays: dict[int, np.ndarray], rank: int) -> np.ndarray:
+    """(rank, nonzeros): value times the factors' rows; columns are kept apart, so that each is summed in one pass."""
+    out = None
+    for k, a in arrays.items():
+        rows = a.T[:, indices[k]]
+        out = rows if out is None else np.multiply(out, rows, out=out)
+    return np.multiply(out, values, out=out) if out is not None else np.tile(values, (rank, 1))
+
+
+def product_array(nonzeros: DataFrame, dims: list[int], shared: dict[int, Broadcast], mode: int, rank: int, tasks: int) -> np.ndarray:
+    """The product as an array, from ``packed`` nonzeros and broadcast factors of the other modes, which the caller keeps and
+    destroys. If all tasks' sums together are proven small they are added on the driver, without an exchange; else Spark
+    adds them first."""
+    dim = dims[mode]
     others = {k: b for k, b in shared.items() if k != mode}
+
+    def whole(batches):
+        arrays, total = {k: b.value for k, b in others.items()}, np.zeros((rank, dim))
+        for indices, values in _unpacked(batches, dims):
+            p = _products(indices, values, arrays, rank)
+            for r in range(rank):
+                total[r] += np.bincount(indices[mode], p[r], dim)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+    def partial(batches):
+        arrays = {k: b.value for k, b in others.items()}
+        for indices, values in _unpacked(batches, dims):
+            p = _products(indices, values, arrays, rank)
+            at, place = np.unique(indices[mode], return_inverse=True)
+            sums = [pa.array(np.bincount(place, p[r], len(at))) for r in range(rank)]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), *sums], ["i", *[f"r{r}" for r in range(rank)]])
+
     if tasks * factor_bytes(dim, rank) <= BROADCAST_BYTES:
-        t = tensor.df.mapInArrow(lambda batches: _whole_task(batches, {k: b.value for k, b in others.items()}, mode, rank, dim), schema).toArrow()
-    else:
-        parts = tensor.df.mapInArrow(lambda batches: partial_products(batches, {k: b.value for k, b in others.items()}, mode, rank), schema)
-        t = parts.groupBy("i").agg(*[F.sum(f"r{r}").alias(f"r{r}") for r in range(rank)]).toArrow()
+        t = nonzeros.mapInArrow(whole, "total binary").toArrow()
+        return sum((np.frombuffer(x.as_buffer()).reshape(rank, dim) for x in t["total"]), np.zeros((rank, dim))).T
+    out = np.zeros((dim, rank))
+    parts = nonzeros.mapInArrow(partial, "i bigint, " + ", ".join(f"r{r} double" for r in range(rank)))
+    t = parts.groupBy("i").agg(*[F.sum(f"r{r}").alias(f"r{r}") for r in range(rank)]).toArrow()
     if t.num_rows:
-        np.add.at(out, t["i"].to_numpy(), np.stack([t[f"r{r}"].to_numpy() for r in range(rank)], axis=1))
+        out[t["i"].to_numpy()] = np.stack([t[f"r{r}"].to_numpy() for r in range(rank)], axis=1)
     return out
 
 

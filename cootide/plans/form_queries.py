@@ -183,6 +183,14 @@ def part_files(spark, sf_dir):
     return matrices.read_part_files(spark, path, 3)
 
 
+@_query("binary_part_files", f"{_with('t3')} SELECT * FROM t3")
+def binary_part_files(spark, sf_dir):
+    """Nonzeros written by every task to a binary file of its own and read back."""
+    x = tensor(spark, sf_dir, "t3")
+    files = binary.write_binary_parts(x.with_df(x.df.repartition(5)), _path(spark).removeprefix("file://"))
+    return binary.binary_parts(spark, [r["path"] for r in files.collect()])
+
+
 _START = f"{_with('te', 3, True)}, {', '.join(_factor_sql('te', m, 2) for m in range(3))}, {', '.join(f'n{m} AS (SELECT sqrt(sum(r0 * r0)) AS n0, sqrt(sum(r1 * r1)) AS n1 FROM f{m})' for m in range(3))}"
 
 

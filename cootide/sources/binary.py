@@ -151,6 +151,38 @@ def write_binary(tensor: SparseTensor, path: str) -> None:
         flush()
 
 
+def write_binary_parts(tensor: SparseTensor, folder: str) -> DataFrame:
+    """One binary file per partition in a folder that all executors reach under this path, each written by its task.
+
+    Gives path and nnz of the files that hold nonzeros. Within a file nonzeros stand as the partition has them; a task
+    holds its own partition. A task that runs again writes its file again.
+    """
+    _, ib, vb = _widths(tensor)
+    dims, names, head = list(tensor.dims), [*tensor.modes, "val"], HEAD.pack(0, ib, vb)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        os.makedirs(folder, exist_ok=True)
+        path = f"{folder}/part-{TaskContext.get().partitionId():05d}.bin"
+        h = Header(ib, vb, dims, t.num_rows, 0)
+        with open(f"{path}.{TaskContext.get().taskAttemptId()}", "wb") as f:
+            f.write(head)
+            np.array([len(dims), *dims, t.num_rows], h.index_type).tofile(f)
+            for c in names[:-1]:
+                t[c].to_numpy().astype(h.index_type).tofile(f)
+            t["val"].to_numpy().astype(h.value_type).tofile(f)
+        os.replace(f.name, path)
+        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([t.num_rows])], ["path", "nnz"])
+
+    files = tensor.df.select(*names).mapInArrow(run, "path string, nnz bigint").collect()  # a row per partition
+    return tensor.df.sparkSession.createDataFrame(sorted(map(tuple, files)), "path string, nnz bigint")
+
+
 def binary_parts(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Nonzeros of several binary files with equal modes."""
     out = None
