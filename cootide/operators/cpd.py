@@ -48,6 +48,7 @@ class Kruskal:
     fit: float
     fits: list[float] = field(default_factory=list)
     maps: dict[int, DataFrame] = field(default_factory=dict)
+    seconds: list[float] = field(default_factory=list)  # of every iteration
 
     def factor_frame(self, spark: SparkSession, mode: int) -> DataFrame:
         """i, row of a factor."""
@@ -159,21 +160,26 @@ def _on_arrays(x: SparseTensor, rank: int, options: CpdOptions, normsq: float, s
     grams = [f.T @ f for f in factors]
     nonzeros = kernels.packed(x)
     weights, fits, tasks = np.ones(rank), [], nonzeros.rdd.getNumPartitions()
-    shared = {m: spark.sparkContext.broadcast(f) for m, f in enumerate(factors)}
+    few = kernels.held(nonzeros, x.dims) if x.nnz() <= kernels.HELD_NONZEROS else None
+    shared = {} if few is not None else {m: spark.sparkContext.broadcast(f) for m, f in enumerate(factors)}
+    seconds = []
     for it in range(options.max_iterations):
         began = time.time()
         for m in range(n):
-            product = kernels.product_array(nonzeros, x.dims, shared, m, rank, tasks)
+            arrays = dict(enumerate(factors))
+            product = kernels.held_product(few, x.dims, arrays, m, rank) if few is not None else kernels.product_array(nonzeros, x.dims, shared, m, rank, tasks)
             a = linalg.solve_normals(linalg.hadamard(grams, m, options.regularization), product)
             weights = np.sqrt((a * a).sum(axis=0)) if it == 0 else np.maximum(1.0, a.max(axis=0))
             a /= np.where(weights > 0, weights, 1.0)
             factors[m], grams[m] = a, a.T @ a
-            shared[m].destroy()  # once per update, so memory stays flat
-            shared[m] = spark.sparkContext.broadcast(a)
+            if few is None:
+                shared[m].destroy()  # once per update, so memory stays flat
+                shared[m] = spark.sparkContext.broadcast(a)
         inner = float((product * factors[n - 1]).sum(axis=0) @ weights)
         fits.append(fit_of(normsq, model_normsq(grams, weights), inner))
+        seconds.append(time.time() - began)
         if options.verbosity > 1:
-            log.info("its = %3d (%.3fs)  fit = %.5f", it + 1, time.time() - began, fits[-1])
+            log.info("its = %3d (%.3fs)  fit = %.5f", it + 1, seconds[-1], fits[-1])
         if _stops(fits, options):
             break
     for b in shared.values():
@@ -183,15 +189,16 @@ def _on_arrays(x: SparseTensor, rank: int, options: CpdOptions, normsq: float, s
         norms = np.sqrt((factors[m] ** 2).sum(axis=0))
         factors[m] = factors[m] / np.where(norms > 0, norms, 1.0)
         weights = weights * norms
-    return Kruskal(rank, list(x.dims), weights, factors, fits[-1] if fits else 0.0, fits)
+    return Kruskal(rank, list(x.dims), weights, factors, fits[-1] if fits else 0.0, fits, seconds=seconds)
 
 
 def _on_frames(x: SparseTensor, rank: int, options: CpdOptions, normsq: float, start) -> Kruskal:
     spark, n = x.df.sparkSession, x.nmodes
     factors: list[DataFrame] = [materialize(array_frame(spark, np.asarray(start[m], float)) if start is not None else start_factor(spark, d, m, rank, options)) for m, d in enumerate(x.dims)]
     grams = [linalg.gram(f, rank) for f in factors]
-    weights, fits = np.ones(rank), []
+    weights, fits, seconds = np.ones(rank), [], []
     for it in range(options.max_iterations):
+        began = time.time()
         for m in range(n):
             product = materialize(kernels.mttkrp(x, dict(enumerate(factors)), m, rank))
             raw = materialize(linalg.solve_rows(product, linalg.hadamard(grams, m, options.regularization)))
@@ -205,6 +212,9 @@ def _on_frames(x: SparseTensor, rank: int, options: CpdOptions, normsq: float, s
         inner = kernels.inner_product(x, product, factors[n - 1], weights.tolist())
         release(product)
         fits.append(fit_of(normsq, model_normsq(grams, weights), inner))
+        seconds.append(time.time() - began)
+        if options.verbosity > 1:
+            log.info("its = %3d (%.3fs)  fit = %.5f", it + 1, seconds[-1], fits[-1])
         if _stops(fits, options):
             break
     for m in range(n):
@@ -212,4 +222,4 @@ def _on_frames(x: SparseTensor, rank: int, options: CpdOptions, normsq: float, s
         new = materialize(scaled)
         release(factors[m])
         factors[m], weights = new, weights * np.array(norms)
-    return Kruskal(rank, list(x.dims), weights, factors, fits[-1] if fits else 0.0, fits)
+    return Kruskal(rank, list(x.dims), weights, factors, fits[-1] if fits else 0.0, fits, seconds=seconds)

@@ -24,6 +24,7 @@ from cootide.session import materialize
 BROADCAST_BYTES = 64 << 20
 WIDE_RANK = 48
 PACKED_NONZEROS = 1 << 20
+HELD_NONZEROS = 1 << 17  # a tensor of so few is passed over by the driver: a job would take longer
 PLANS = ("auto", "wide", "blocked", "long", "fiber", "unfold", "arrow")
 # Fixed value: sums are kept per task if a mode has at most this share of indices per nonzero and task.
 PRIVATE_SHARE = 0.02
@@ -232,6 +233,21 @@ def _products(indices: list[np.ndarray], values: np.ndarray, arrays: dict[int, n
     return np.multiply(out, values, out=out) if out is not None else np.tile(values, (rank, 1))
 
 
+def held_product(nonzeros: list[tuple[list[np.ndarray], np.ndarray]], dims: list[int], arrays: dict[int, np.ndarray], mode: int, rank: int) -> np.ndarray:
+    """The product as an array, from unpacked nonzeros and factors of the other modes in memory."""
+    total = np.zeros((rank, dims[mode]))
+    for indices, values in nonzeros:
+        p = _products(indices, values, {k: a for k, a in arrays.items() if k != mode}, rank)
+        for r in range(rank):
+            total[r] += np.bincount(indices[mode], p[r], dims[mode])
+    return total.T
+
+
+def held(nonzeros: DataFrame, dims: list[int]) -> list[tuple[list[np.ndarray], np.ndarray]]:
+    """``packed`` nonzeros, which the caller knows to be few, on the driver."""
+    return list(_unpacked(nonzeros.toArrow().to_batches(), dims))
+
+
 def product_array(nonzeros: DataFrame, dims: list[int], shared: dict[int, Broadcast], mode: int, rank: int, tasks: int) -> np.ndarray:
     """The product as an array, from ``packed`` nonzeros and broadcast factors of the other modes, which the caller keeps and
     destroys. If all tasks' sums together are proven small they are added on the driver, without an exchange; else Spark
@@ -240,11 +256,7 @@ def product_array(nonzeros: DataFrame, dims: list[int], shared: dict[int, Broadc
     others = {k: b for k, b in shared.items() if k != mode}
 
     def whole(batches):
-        arrays, total = {k: b.value for k, b in others.items()}, np.zeros((rank, dim))
-        for indices, values in _unpacked(batches, dims):
-            p = _products(indices, values, arrays, rank)
-            for r in range(rank):
-                total[r] += np.bincount(indices[mode], p[r], dim)
+        total = held_product(_unpacked(batches, dims), dims, {k: b.value for k, b in others.items()}, mode, rank)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
     def partial(batches):
@@ -257,7 +269,7 @@ def product_array(nonzeros: DataFrame, dims: list[int], shared: dict[int, Broadc
 
     if tasks * factor_bytes(dim, rank) <= BROADCAST_BYTES:
         t = nonzeros.mapInArrow(whole, "total binary").toArrow()
-        return sum((np.frombuffer(x.as_buffer()).reshape(rank, dim) for x in t["total"]), np.zeros((rank, dim))).T
+        return sum((np.frombuffer(x.as_buffer()).reshape(dim, rank) for x in t["total"]), np.zeros((dim, rank)))
     out = np.zeros((dim, rank))
     parts = nonzeros.mapInArrow(partial, "i bigint, " + ", ".join(f"r{r} double" for r in range(rank)))
     t = parts.groupBy("i").agg(*[F.sum(f"r{r}").alias(f"r{r}") for r in range(rank)]).toArrow()

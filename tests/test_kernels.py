@@ -92,6 +92,30 @@ def test_cpd_recovers_low_rank_and_ignores_partitions(spark):
     assert min(fits) > 0.9 and fits[0] == pytest.approx(fits[1], abs=1e-6)
 
 
+def test_decomposition_is_alike_wherever_products_are_added(spark, monkeypatch):
+    x = tensor(spark, med((9, 8, 7), 200), [9, 8, 7])
+    o = cpd.CpdOptions(max_iterations=3, tolerance=0, seed=2)
+    here = cpd.cpd_als(x, 3, o)
+    assert len(here.seconds) == 3
+    monkeypatch.setattr(kernels, "HELD_NONZEROS", 0)
+    in_tasks = cpd.cpd_als(x, 3, o)
+    monkeypatch.setattr(kernels, "PACKED_NONZEROS", 30)
+    monkeypatch.setattr(kernels, "BROADCAST_BYTES", 600)
+    by_exchange = cpd.cpd_als(x, 3, o)
+    on_frames = cpd.cpd_als(x, 3, cpd.CpdOptions(max_iterations=3, tolerance=0, seed=2, driver_bytes=0))
+    for other in (in_tasks, by_exchange, on_frames):
+        assert np.allclose(other.fits, here.fits, atol=1e-9)
+    wide = cpd.SparseTensor(x.df, [9, 8, 1 << 33])
+    parts = kernels.held(kernels.packed(wide), wide.dims)
+    assert sum(len(v) for _, v in parts) == 200 and all(i.dtype == np.int64 for at, _ in parts for i in at)
+
+
+def test_plan_choice():
+    assert kernels.choose_plan([10, 10, 10], 0, 8) == "wide" and kernels.choose_plan([10, 10, 10], 0, 8, 100, 30) == "fiber"
+    assert kernels.choose_plan([10, 10, 10], 0, 64) == "arrow" and kernels.choose_plan([10, 1 << 40, 10], 0, 64) == "blocked"
+    assert kernels.is_private(10, 10_000, 8) and not kernels.is_private(10_000, 10_000, 8) and not kernels.is_private(1, 100, 1)
+
+
 def test_cpd_degenerate(spark):
     out = cpd.cpd_als(tensor(spark, {(0, 0, 0): 5}), 2, cpd.CpdOptions(max_iterations=5))
     assert np.isfinite(out.fit) and out.fit > 0.99
