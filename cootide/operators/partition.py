@@ -313,14 +313,13 @@ def claim_rows(df: DataFrame, modes: list[str], parts: int, rounds: int = 8) ->
     depends on a hash of the row alone, so the result depends on no partitioning.
     """
     used = materialize(_used(df, modes).withColumn("turn", F.pmod(F.xxhash64("mode", "i"), F.lit(rounds)).cast("int")))
-    users = used.groupBy("mode", "i", "turn").agg(F.count(F.lit(1)).alias("users"), F.min("part").alias("owner"))
+    users = materialize(used.groupBy("mode", "i", "turn").agg(F.count(F.lit(1)).alias("users"), F.min("part").alias("owner")))
     out = [materialize(users.where("users = 1").select("mode", "i", "owner"))]
     contested = users.where("users > 1").select("mode", "i", "turn")
+    held: dict[tuple[int, int], int] = {}
     for k in range(rounds):
-        held: dict[tuple[int, int], int] = {}
-        for x in out:
-            for r in x.groupBy("mode", F.col("owner").alias("part")).agg(F.count(F.lit(1)).alias("n")).collect():
-                held[r["mode"], r["part"]] = held.get((r["mode"], r["part"]), 0) + r["n"]
+        for r in out[-1].groupBy("mode", F.col("owner").alias("part")).agg(F.count(F.lit(1)).alias("n")).collect():
+            held[r["mode"], r["part"]] = held.get((r["mode"], r["part"]), 0) + r["n"]
         loads = F.broadcast(df.sparkSession.createDataFrame([(int(c[1:]), p, held.get((int(c[1:]), p), 0)) for c in modes for p in range(parts)], "mode int, part long, load long"))
         offers = used.where(F.col("turn") == k).join(contested.where(F.col("turn") == k), ["mode", "i", "turn"]).join(loads, ["mode", "part"])
         best = offers.groupBy("mode", "i").agg(F.min_by("part", F.struct("load", F.xxhash64("mode", "i", "part").alias("h"), "part")).alias("owner"))
