@@ -415,7 +415,7 @@ def linked_groups(df: DataFrame, key: str, group: str, vector: str, min_cos: flo
     classes = materialize(_group_labels(ix, min_cos, 4).select("grp", "class_key", "n", "rows", "first"))
     sizes = _sizes(classes, ix).where(F.col("size") >= least)
     named = classes.join(sizes, "first").withColumn("own", F.struct("first", "size"))
-    return neighbours.members_of(named, ix, "own").select("grp", "row", "own.first", "own.size")
+    return neighbours.members_of(named, ix, "own", classes).select("grp", "row", "own.first", "own.size")
 
 
 def _sizes(classes: DataFrame, ix: neighbours.Index) -> DataFrame:
@@ -459,7 +459,7 @@ def _sums(batches):
     for b in batches:
         if not b.num_rows:
             continue
-        x = np.frombuffer(b"".join(b.column("unit").to_pylist()), np.float64).reshape(b.num_rows, -1) * b.column("n").to_numpy()[:, None]
+        x = neighbours.matrix_of(b.column("unit"), b.num_rows) * b.column("n").to_numpy()[:, None]
         yield pa.RecordBatch.from_arrays([b.column("part"), b.column("node"), b.column("n"), pa.array(list(x), pa.list_(pa.float64()))], ["part", "node", "n", "total"])
 
 
@@ -482,7 +482,7 @@ def _closeness(batches):
     for b in batches:
         if not b.num_rows:
             continue
-        x = np.frombuffer(b"".join(b.column("unit").to_pylist()), np.float64).reshape(b.num_rows, -1)
+        x = neighbours.matrix_of(b.column("unit"), b.num_rows)
         mean = pc.list_flatten(b.column("mean")).to_numpy(zero_copy_only=False).reshape(x.shape)
         near = np.round((x * mean).sum(axis=1) / np.maximum(np.linalg.norm(mean, axis=1), 1e-300), 9)
         yield pa.RecordBatch.from_arrays([b.column(c) for c in ("grp", "first", "size", "rows")] + [pa.array(near)], ["grp", "first", "size", "rows", "near"])

@@ -5,6 +5,9 @@ belongs to the cell of its nearest pivot, and cells make up shards of bounded si
 its shard, whose task reduces copies to classes and searches each class among the others by a tree. A class then visits
 another shard only if the triangle inequality, or the plane half way between two pivots, leaves room there for something
 better than what it has; ``factor`` relaxes both kinds of pruning alike. Factor 1 misses nothing.
+
+Vectors travel and lie on disk as ``encoded`` gives them, in about the space of the input, and are scaled where they are
+compared. Visits move nothing: a task reads the two shards from the files that the exchange was written to.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.dataset
+import pyarrow.fs
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -30,7 +35,10 @@ COVERED = 0.9  # a sampled vector this near a pivot is none
 HOT_SHARE = 1_000  # a class above 1 / HOT_SHARE of all rows is split when its members are joined
 SALTS = 64
 CHUNK_ROWS = 200_000
+VISITED = 4  # shards that one task visits
 _SLACK = 1e-9
+_SCALES = (1, 100, 10_000, 1_000_000)
+_ITEM = np.array([8, 4] + [1, 2, 3, 4] * len(_SCALES))  # bytes a number by the first byte of an encoded vector
 
 
 @dataclass
@@ -42,6 +50,7 @@ class Group:
     high: np.ndarray = field(default_factory=lambda: np.zeros(0))
     first: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
     parts: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
+    offset: int = 0  # of its shards among those of all groups
     rank: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of shards, tight ones first
 
     def cells(self, x: np.ndarray) -> np.ndarray:
@@ -60,34 +69,41 @@ class Group:
                 out[a + r] = c[np.argmax([float((part[r] * self.pivots[j]).sum()) for j in c])]
         return out
 
-    def visits(self, x: np.ndarray, cell: np.ndarray, own: int, floor: np.ndarray, factor: float, tighter: bool) -> list[np.ndarray]:
-        """Shards other than ``own`` in which something of cosine at least ``floor`` may lie, for each vector."""
-        out: list[np.ndarray] = []
-        shards = len(self.rank)
-        allowed = np.arange(shards) != own
+    def reached(self, x: np.ndarray, cell: np.ndarray, own: int, floor: np.ndarray, factor: float, tighter: bool, among: np.ndarray | None = None) -> np.ndarray:
+        """Whether something of cosine at least ``floor`` may lie there: a row per vector, a column per shard (of ``among``), never in ``own``."""
+        among = np.arange(len(self.rank)) if among is None else among
+        allowed = among != own
         if tighter:
-            allowed &= self.rank < self.rank[own]
-        used = np.flatnonzero(self.parts > 0)
+            allowed &= self.rank[among] < self.rank[own]
+        holds = (self.first[:, None] <= among) & (among < (self.first + self.parts)[:, None])
+        used = np.flatnonzero(holds.any(axis=1))
+        out = np.zeros((len(x), len(among)), bool)
         for a in range(0, len(x), 2048):
             part = x[a : a + 2048]
             radius = vptree.chord(floor[a : a + 2048] - 2 * _SLACK)
             if len(self.pivots):
-                cos = part @ self.pivots.T
+                there, home = self.pivots[used], self.pivots[cell[a : a + 2048]]
+                cos = part @ there.T
                 d = vptree.chord(cos)
-                gap = np.maximum(d - self.high, self.low - d)
-                home = cell[a : a + 2048]
-                beyond = np.take_along_axis(cos, home[:, None], 1) - cos
-                apart = vptree.chord(self.pivots[home] @ self.pivots.T)
+                gap = np.maximum(d - self.high[used], self.low[used] - d)
+                beyond = (part * home).sum(axis=1)[:, None] - cos
+                apart = vptree.chord(home @ there.T)
                 gap = np.maximum(gap, np.where(apart > 1e-3, (beyond - 2 * _SLACK) / np.maximum(apart, 1e-3), 0.0))
             else:
-                gap = np.zeros((len(part), 1))
-            open_cells = gap[:, used] * factor <= radius[:, None] + _SLACK
-            to = np.zeros((len(part), shards), bool)
+                gap = np.zeros((len(part), len(used)))
+            open_cells = gap * factor <= radius[:, None] + _SLACK
             for n, c in enumerate(used):
-                to[:, self.first[c] : self.first[c] + self.parts[c]] |= open_cells[:, n, None]
-            to &= allowed
-            out += [np.flatnonzero(r) for r in to]
-        return out
+                out[a : a + 2048, holds[c]] |= open_cells[:, n, None]
+        return out & allowed
+
+    def visits(self, x: np.ndarray, cell: np.ndarray, own: int, floor: np.ndarray, factor: float, tighter: bool) -> list[np.ndarray]:
+        """Shards other than ``own`` in which something of cosine at least ``floor`` may lie, for each vector."""
+        return [np.flatnonzero(r) for r in self.reached(x, cell, own, floor, factor, tighter)]
+
+    def tour(self, *asked) -> list[np.ndarray]:
+        """The shards that any of the vectors visits, with the first of them."""
+        to = self.reached(*asked)
+        return [np.flatnonzero(to.any(axis=0)), *[np.zeros(0, int)] * (len(to) - 1)]
 
 
 @dataclass
@@ -100,20 +116,27 @@ class Index:
 
 
 def _units(b: pa.RecordBatch, dimensions: int) -> tuple[pa.RecordBatch, np.ndarray]:
-    """The usable rows of a batch (group, key, vector) and their vectors scaled to length one."""
+    """The usable rows of a batch (group, key, vector) and their vectors."""
     b = b.filter(pc.fill_null(pc.equal(pc.list_value_length(b.column(2)), dimensions), False))
     if not b.num_rows:
         return b, np.zeros((0, dimensions))
     values = pc.list_flatten(b.column(2)).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimensions)
     largest = np.abs(values).max(axis=1)
     good = np.isfinite(largest) & (largest > 0)
-    x = values[good] / largest[good, None]
+    return b.filter(pa.array(good)), values[good]
+
+
+def scaled(values: np.ndarray) -> np.ndarray:
+    """Vectors of length one; those of a row depend on nothing beside it."""
+    x = values / np.abs(values).max(axis=1, keepdims=True)
     x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return b.filter(pa.array(good)), x
+    return x
 
 
-def unit_rows(df: DataFrame, key: str, group: str, vector: str, dimensions: int, groups: dict[int, Group] | None = None) -> DataFrame:
-    """(grp, row, class_key, unit, cell) of usable rows, unit being the packed doubles of the vector scaled to length one.
+def unit_rows(df: DataFrame, key: str, group: str, vector: str, dimensions: int, groups: dict[int, Group] | None = None, *, distances: bool = False) -> DataFrame:
+    """(grp, row, class_key, unit, cell) of usable rows, unit being the encoded vector as it came.
+
+    With ``distances`` (grp, cell, class_key, cosine), the last with the pivot of the cell, of rows of ``groups``.
 
     Rows take no part whose key, group or vector is null, whose vector has not ``dimensions`` numbers, holds null, NaN
     or infinity, or is all zero.
@@ -122,18 +145,27 @@ def unit_rows(df: DataFrame, key: str, group: str, vector: str, dimensions: int,
 
     def run(batches):
         for b in batches:
-            b, x = _units(b, dimensions)
+            b, values = _units(b, dimensions)
             if not b.num_rows:
                 continue
+            x = scaled(values)
             rounded = np.round(x, 12) + 0.0
             keys = [xxhash.xxh3_64_intdigest(r.tobytes()) - (1 << 63) for r in rounded]
-            grp, cell = b.column(0).to_numpy(), np.zeros(b.num_rows, np.int64)
+            grp, cell, cos = b.column(0).to_numpy(), np.zeros(b.num_rows, np.int64), np.ones(b.num_rows)
             for g in np.unique(grp).tolist():
                 if g in shared.value:
-                    cell[grp == g] = shared.value[g].cells(x[grp == g])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64()), _packed(x), pa.array(cell)], ["grp", "row", "class_key", "unit", "cell"])
+                    mine, of = grp == g, shared.value[g]
+                    cell[mine] = of.cells(x[mine])
+                    if distances and len(of.pivots):
+                        cos[mine] = (x[mine] * of.pivots[cell[mine]]).sum(axis=1)
+            if distances:
+                out = pa.RecordBatch.from_arrays([b.column(0), pa.array(cell), pa.array(keys, pa.int64()), pa.array(cos)], ["grp", "cell", "class_key", "cosine"])
+                yield out.filter(pc.is_in(out.column(0), pa.array(list(shared.value), pa.int64())))
+            else:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64()), encoded(values), pa.array(cell)], ["grp", "row", "class_key", "unit", "cell"])
 
-    return _known(df, key, group, vector).mapInArrow(run, "grp bigint, row bigint, class_key bigint, unit binary, cell bigint")
+    schema = "grp bigint, cell bigint, class_key bigint, cosine double" if distances else "grp bigint, row bigint, class_key bigint, unit binary, cell bigint"
+    return _known(df, key, group, vector).mapInArrow(run, schema)
 
 
 def _known(df: DataFrame, key: str, group: str, vector: str) -> DataFrame:
@@ -141,18 +173,65 @@ def _known(df: DataFrame, key: str, group: str, vector: str) -> DataFrame:
     return known.select(F.col(group).cast("long").alias("grp"), F.col(key).cast("long").alias("row"), F.col(vector).cast("array<double>").alias("vector"))
 
 
-def _packed(x: np.ndarray) -> pa.Array:
-    """Rows of a matrix as binary values."""
-    n, width = x.shape
-    if n * width * 8 >= 1 << 31:
-        return pa.array([r.tobytes() for r in x], pa.binary())
-    offsets = pa.py_buffer((np.arange(n + 1, dtype=np.int32) * (width * 8)).tobytes())
-    return pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(np.ascontiguousarray(x).tobytes())])
+def encoded(values: np.ndarray) -> pa.Array:
+    """Rows of finite numbers as binary values, from which ``decoded`` makes the same numbers.
+
+    The first byte says how the others hold a row: as whole multiples of 1, 1e-2, 1e-4 or 1e-6, the sign in the last bit,
+    in as few bytes as the largest takes; as floats; or as doubles. The first that loses nothing is taken.
+    """
+    n, width = values.shape
+    kind, codes, left = np.zeros(n, np.uint8), np.zeros((n, width), np.uint32), np.arange(n)
+    with np.errstate(over="ignore"):
+        for i, scale in enumerate(_SCALES):
+            x = values[left]
+            whole = np.rint(np.clip(x * scale, -(2**31) + 1, 2**31 - 1))
+            same = (whole / scale == x).all(axis=1)
+            z = whole[same].astype(np.int64)
+            codes[left[same]] = z = (z << 1 ^ z >> 63).astype(np.uint32)
+            top = z.max(axis=1, initial=0)
+            kind[left[same]] = 2 + 4 * i + sum((top >= 1 << s).astype(np.uint8) for s in (8, 16, 24))
+            left = left[~same]
+        kind[left] = (values[left].astype(np.float32) == values[left]).all(axis=1)
+    offsets = np.concatenate([[0], np.cumsum(1 + width * _ITEM[kind])])
+    if offsets[-1] >= 1 << 31:
+        raise ValueError("a batch of vectors exceeds 2 GB: lower spark.sql.execution.arrow.maxRecordsPerBatch")
+    out = np.zeros(offsets[-1], np.uint8)
+    out[offsets[:-1]] = kind
+    for k in np.unique(kind):
+        at = np.flatnonzero(kind == k)
+        rows = values[at] if k == 0 else values[at].astype(np.float32) if k == 1 else codes[at]
+        rows = rows.view(np.uint8).reshape(len(at), width, -1)[:, :, : _ITEM[k]].reshape(len(at), -1)
+        out[offsets[at][:, None] + 1 + np.arange(rows.shape[1])] = rows
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
+
+
+def decoded(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The numbers of vectors that ``encoded`` made, none null."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    n = len(column)
+    if not n:
+        return np.zeros((0, 0))
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)
+    kind = data[offsets[:-1]]
+    width = int((offsets[1] - offsets[0] - 1) // _ITEM[kind[0]])
+    out = np.empty((n, width))
+    for k in np.unique(kind):
+        at, item = np.flatnonzero(kind == k), _ITEM[k]
+        rows = data[offsets[at][:, None] + 1 + np.arange(width * item)]
+        if k < 2:
+            out[at] = rows.view(np.float32 if k else np.float64)
+            continue
+        z = np.zeros((len(at), width, 4), np.uint8)
+        z[:, :, :item] = rows.reshape(len(at), width, item)
+        z = z.view(np.uint32)[:, :, 0].astype(np.int64)
+        out[at] = (z >> 1 ^ -(z & 1)) / _SCALES[(k - 2) // 4]
+    return out
 
 
 def matrix_of(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
-    """Packed vectors as a matrix."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+    """Encoded vectors, scaled to length one, as a matrix."""
+    return scaled(decoded(column)) if n else np.zeros((0, 0))
 
 
 def _pivots(x: np.ndarray, most: int) -> np.ndarray:
@@ -226,14 +305,15 @@ def _place(g: Group, n: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
 
 
 def index(df: DataFrame, key: str, group: str, vector: str, dimensions: int) -> Index:
-    """Usable rows, written once with their class, cell and shard. The driver holds pivots and one row per cell."""
+    """Usable rows with their class, cell and shard, made from ``df`` anew where they are read: a copy would take as much
+    disk as the input. The driver holds pivots and one row per cell."""
     spark = df.sparkSession
     groups = _groups(df, key, group, vector, dimensions)
-    rows = materialize(unit_rows(df, key, group, vector, dimensions, groups))
+    rows = unit_rows(df, key, group, vector, dimensions, groups)
     shards = 1
     plan = []
     if groups:
-        cos = _pivot_cosines(rows, groups)
+        cos = unit_rows(df, key, group, vector, dimensions, groups, distances=True)
         stats = cos.groupBy("grp", "cell").agg(F.approx_count_distinct("class_key").alias("n"), F.min("cosine").alias("least"), F.max("cosine").alias("most")).collect()
         for g, of in groups.items():
             cells = max(1, len(of.pivots))
@@ -244,6 +324,7 @@ def index(df: DataFrame, key: str, group: str, vector: str, dimensions: int) ->
                     if len(of.pivots):
                         low[r["cell"]], high[r["cell"]] = vptree.chord(np.array([r["most"] + _SLACK, r["least"] - _SLACK]))
             _place(of, n, low, high)
+            of.offset = shards
             plan += [(g, c, int(of.first[c]), int(of.parts[c])) for c in range(cells) if of.parts[c]]
             shards += len(of.rank)
     places = F.broadcast(spark.createDataFrame(plan, "grp bigint, cell bigint, first int, parts int"))  # at most a row per pivot
@@ -253,25 +334,6 @@ def index(df: DataFrame, key: str, group: str, vector: str, dimensions: int) ->
     return Index(placed, groups, shards)
 
 
-def _pivot_cosines(rows: DataFrame, groups: dict[int, Group]) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast({g: of.pivots for g, of in groups.items()})
-
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            grp, cell, x = b.column("grp").to_numpy(), b.column("cell").to_numpy(), matrix_of(b.column("unit"), b.num_rows)
-            cos = np.ones(len(grp))
-            for g, pivots in shared.value.items():
-                mine = grp == g
-                if len(pivots) and mine.any():
-                    cos[mine] = (x[mine] * pivots[cell[mine]]).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("cell"), b.column("class_key"), pa.array(cos)], ["grp", "cell", "class_key", "cosine"])
-
-    large = rows.where(F.col("grp").isin(list(groups)))
-    return large.select("grp", "cell", "class_key", "unit").mapInArrow(run, "grp bigint, cell bigint, class_key bigint, cosine double")
-
-
 def combined(rows: DataFrame, keep: int) -> DataFrame:
     """Per chunk of a task and class its number of rows, ``keep`` smallest rows and, with the smallest, the vector.
 
@@ -320,6 +382,7 @@ class Shard:
     n: np.ndarray
     rows: list[np.ndarray]
     unit: np.ndarray
+    encoded: pa.Array
 
     @classmethod
     def of(cls, t: pa.Table, keep: int) -> Shard:
@@ -337,50 +400,70 @@ class Shard:
         first = np.array([r[0] for r in rows], np.int64)
         by_row = np.argsort(first, kind="stable")
         at = order[with_unit[by_row]]
-        return cls(t["grp"][0].as_py(), t["shard"][0].as_py(), key[starts][by_row], t["cell"].to_numpy()[at], first[by_row], total[by_row], [rows[i] for i in by_row], matrix_of(t["unit"].take(pa.array(at)), len(at)))
+        unit = t["unit"].take(pa.array(at)).combine_chunks()
+        return cls(t["grp"][0].as_py(), t["shard"][0].as_py(), key[starts][by_row], t["cell"].to_numpy()[at], first[by_row], total[by_row], [rows[i] for i in by_row], matrix_of(unit, len(at)), unit)
 
 
 def at_home(ix: Index, keep: int, work: Callable, columns: str) -> DataFrame:
-    """One row per class: grp, shard, row, class_key, n, rows, unit, visits and the ``columns`` that ``work`` gives.
+    """One row per class: grp, shard, row, class_key, n, rows, unit, cell, place, visits and the ``columns`` that ``work`` gives.
 
-    ``work(shard, group)`` returns those columns' arrays and the lists of shards to visit; group is None for a group of one shard.
+    ``work(shard, group)`` returns those columns' arrays and the lists of shards to visit; group is None for a group of one
+    shard. place numbers the shards of all groups that have several; it is 0 for the others.
     """
     shared = ix.rows.sparkSession.sparkContext.broadcast(ix.groups)
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(t: pa.Table) -> pa.Table:
         s = Shard.of(t, keep)
-        arrays, visits = work(s, shared.value.get(s.grp))
+        g = shared.value.get(s.grp)
+        arrays, visits = work(s, g)
         visits = pa.array([[]] * len(s.row), pa.list_(pa.int32())) if visits is None else pa.array([v.tolist() for v in visits], pa.list_(pa.int32()))
-        head = [pa.array(np.full(len(s.row), s.grp)), pa.array(np.full(len(s.row), s.shard, np.int32)), pa.array(s.row), pa.array(s.key), pa.array(s.n), pa.array([r.tolist() for r in s.rows], pa.list_(pa.int64())), _packed(s.unit), visits]
-        return pa.Table.from_arrays([*head, *arrays], ["grp", "shard", "row", "class_key", "n", "rows", "unit", "visits", *names])
+        place = np.full(len(s.row), g.offset + s.shard if g else 0, np.int32)
+        head = [pa.array(np.full(len(s.row), s.grp)), pa.array(np.full(len(s.row), s.shard, np.int32)), pa.array(s.row), pa.array(s.key), pa.array(s.n), pa.array([r.tolist() for r in s.rows], pa.list_(pa.int64())), s.encoded, pa.array(s.cell), pa.array(place), visits]
+        return pa.Table.from_arrays([*head, *arrays], ["grp", "shard", "row", "class_key", "n", "rows", "unit", "cell", "place", "visits", *names])
 
-    schema = f"grp bigint, shard int, row bigint, class_key bigint, n bigint, rows array<bigint>, unit binary, visits array<int>, {columns}"
+    schema = f"grp bigint, shard int, row bigint, class_key bigint, n bigint, rows array<bigint>, unit binary, cell bigint, place int, visits array<int>, {columns}"
     # Shards are few and heavy: ask for enough partitions that they seldom share one.
     return combined(ix.rows, keep).repartition(int(min(50_000, 3 * ix.shards)), "grp", "shard").groupBy("grp", "shard").applyInArrow(run, schema)
 
 
-def away(home: DataFrame, carried: list[str], work: Callable, schema: str) -> DataFrame | None:
-    """Rows of ``work(queries, points)`` for every visited shard and block of its visitors; None if nobody travels.
+def _shard_file(folder: str, place: int, columns: list[str]) -> pa.Table:
+    """The rows of one place, read from the shared folder by the task that needs them."""
+    folder = f"file://{folder[5:]}" if folder.startswith("file:/") and not folder.startswith("file://") else folder
+    files, path = pyarrow.fs.FileSystem.from_uri(folder)
+    return pyarrow.dataset.dataset(f"{path}/place={place}", filesystem=files, format="parquet").to_table(columns=columns, use_threads=False)
 
-    ``carried`` columns go with queries and points. A shard's points are sent once per block of its visitors.
+
+def away(home: DataFrame, ix: Index, columns: list[str], floor: Callable, factor: float, tighter: bool, work: Callable, schema: str) -> DataFrame | None:
+    """Rows of ``work(queries, their units, points, their units)`` for every shard and every other one that classes of it visit;
+    None if nobody travels.
+
+    ``home`` is written by place and its first row of a shard lists all shards to visit. Queries are the classes for which
+    the group leaves room there above ``floor(queries)``, points all classes of the shard visited, both with row and
+    ``columns``. Tasks read them from home's files, so disk and network hold no copies, however many shards are visited.
     """
-    spark = home.sparkSession
-    trips = home.where(F.size("visits") > 0).select("grp", F.explode("visits").alias("shard"), F.lit(True).alias("query"), "row", "unit", *carried)
-    counts = trips.groupBy("grp", "shard").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).cast("int").alias("blocks")).collect()  # a row per shard
-    if not counts:
+    last = F.ceil(F.size("visits") / VISITED).cast("int") - 1
+    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("visits", i * VISITED + 1, VISITED))
+    trips = home.where(F.size("visits") > 0).select("grp", "shard", F.explode(parts).alias("visits"))  # a row per task
+    tasks = trips.count() if ix.groups else 0
+    if not tasks:
         return None
-    blocks = F.broadcast(spark.createDataFrame(counts, "grp bigint, shard int, blocks int"))
-    q = trips.join(blocks, ["grp", "shard"]).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    p = home.select("grp", "shard", F.lit(False).alias("query"), "row", "unit", *carried).join(blocks, ["grp", "shard"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    both = q.unionByName(p).drop("blocks")
+    shared = home.sparkSession.sparkContext.broadcast(ix.groups)
+    folder, columns = home._cootide_path, ["row", "cell", "unit", *columns]
 
-    def run(t: pa.Table) -> pa.Table:
-        queries, points = t.filter(t["query"]), t.filter(pc.invert(t["query"]))
-        return work(t["grp"][0].as_py(), queries, points)
+    def run(batches):
+        for b in batches:
+            for grp, own, visits in zip(*(b.column(c).to_pylist() for c in ("grp", "shard", "visits"))):
+                g = shared.value[grp]
+                q = _shard_file(folder, g.offset + own, columns)
+                x = matrix_of(q["unit"], q.num_rows)
+                for shard in visits:
+                    to = np.flatnonzero(g.reached(x, q["cell"].to_numpy(), own, floor(q), factor, tighter, np.array([shard]))[:, 0])
+                    if len(to):
+                        p = _shard_file(folder, g.offset + shard, columns)
+                        yield from work(q.take(pa.array(to)), x[to], p, matrix_of(p["unit"], p.num_rows)).to_batches()
 
-    tasks = sum(r["blocks"] for r in counts)
-    return both.repartition(int(min(50_000, 3 * tasks)), "grp", "shard", "block").groupBy("grp", "shard", "block").applyInArrow(run, schema)
+    return trips.repartition(int(min(50_000, tasks))).mapInArrow(run, schema)
 
 
 def _expand(cos: np.ndarray, at: np.ndarray, rows: list[np.ndarray], k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -413,36 +496,46 @@ def nearest_rows(df: DataFrame, key: str, group: str, vector: str, k: int, *, di
         cos, at = vptree.nearest(s.unit, s.unit, s.row, k1, min_cos=min_cos, factor=factor)
         near, value = _expand(cos, at, s.rows, k1)
         floor = np.array([max(min_cos, v[-1]) if len(v) == k1 else min_cos for v in value])
-        visits = g.visits(s.unit, s.cell, s.shard, floor, factor, False) if g else None
-        return [pa.array(near, pa.list_(pa.int64())), pa.array(value, pa.list_(pa.float64())), pa.array(floor)], visits
+        visits = g.tour(s.unit, s.cell, s.shard, floor, factor, False) if g else None
+        return [pa.array(near, pa.list_(pa.int64())), _whole(value), pa.array(floor)], visits
 
-    def elsewhere(grp: int, q: pa.Table, p: pa.Table) -> pa.Table:
-        points, order = matrix_of(p["unit"], p.num_rows), np.argsort(p["row"].to_numpy())
+    def elsewhere(q: pa.Table, x: np.ndarray, p: pa.Table, points: np.ndarray) -> pa.Table:
+        order = np.argsort(p["row"].to_numpy())
         rows = [np.array(r, np.int64) for r in p["rows"].take(pa.array(order)).to_pylist()]
-        cos, at = vptree.nearest(matrix_of(q["unit"], q.num_rows), points[order], p["row"].to_numpy()[order], k1, min_cos=min_cos, factor=factor, floor=q["floor"].to_numpy())
+        cos, at = vptree.nearest(x, points[order], p["row"].to_numpy()[order], k1, min_cos=min_cos, factor=factor, floor=q["floor"].to_numpy())
         near, value = _expand(cos, at, rows, k1)
         found = [i for i, r in enumerate(near) if len(r)]
-        return pa.table({"grp": pa.array([grp] * len(found), pa.int64()), "class_key": q["class_key"].to_numpy()[found], "near": pa.array([near[i] for i in found], pa.list_(pa.int64())), "cosines": pa.array([value[i] for i in found], pa.list_(pa.float64()))})
+        return pa.table({"grp": q["grp"].to_numpy()[found], "class_key": q["class_key"].to_numpy()[found], "near": pa.array([near[i] for i in found], pa.list_(pa.int64())), "cosines": _whole([value[i] for i in found])})
 
-    home = materialize(at_home(ix, k1, at_its_home, "near array<bigint>, cosines array<double>, floor double"))
-    more = away(home, ["class_key", "rows", "floor"], elsewhere, "grp bigint, class_key bigint, near array<bigint>, cosines array<double>")
-    pairs = lambda x: x.withColumn("best", F.arrays_zip((F.transform("cosines", lambda c: -c)).alias("c"), F.col("near").alias("r")))
-    best = pairs(home).select("grp", "class_key", "n", "rows", "best")
+    home = materialize(at_home(ix, k1, at_its_home, "near array<bigint>, cosines array<int>, floor double"), lean=True, by="place")
+    more = away(home, ix, ["grp", "class_key", "rows", "floor"], lambda q: q["floor"].to_numpy(), factor, False, elsewhere, "grp bigint, class_key bigint, near array<bigint>, cosines array<int>")
+    pairs = F.arrays_zip((F.transform("cosines", lambda c: -c)).alias("c"), F.col("near").alias("r"))
+    best = home.select("grp", "class_key", "n", "rows", "near", "cosines")
     if more is not None:
-        brought = pairs(more).groupBy("grp", "class_key").agg(F.flatten(F.collect_list("best")).alias("more"))  # at most k + 1 per shard
-        best = best.join(brought, ["grp", "class_key"], "left").withColumn("best", F.when(F.col("more").isNull(), F.col("best")).otherwise(F.slice(F.array_sort(F.concat("best", "more")), 1, k1))).drop("more")
+        brought = materialize(more, lean=True).groupBy("grp", "class_key").agg(F.flatten(F.collect_list(pairs)).alias("more"))  # at most k + 1 per shard
+        best = best.join(brought, ["grp", "class_key"], "left").withColumn("best", F.when(F.col("more").isNull(), pairs).otherwise(F.slice(F.array_sort(F.concat(pairs, "more")), 1, k1))).drop("more")
+    else:
+        best = best.withColumn("best", pairs)
     others = F.slice(F.filter("best", lambda o: o["r"] != F.col("row")), 1, k)
-    found = members_of(best, ix, "best").select("grp", "row", F.explode(others).alias("o"))
-    return found.select("grp", "row", F.col("o.r").alias("near_row"), (-F.col("o.c")).alias("cosine"))
+    found = members_of(best, ix, "best", home).select("grp", "row", F.explode(others).alias("o"))
+    return found.select("grp", "row", F.col("o.r").alias("near_row"), (-F.col("o.c") / F.lit(1e9)).alias("cosine"))
+
+
+def _whole(cosines: list[np.ndarray]) -> pa.Array:
+    """Cosines of 9 decimals as whole numbers, half as long."""
+    return pa.array([np.rint(c * 1e9).astype(np.int32) for c in cosines], pa.list_(pa.int32()))
 
 
-def members_of(classes: DataFrame, ix: Index, column: str) -> DataFrame:
+def members_of(classes: DataFrame, ix: Index, column: str, written: DataFrame) -> DataFrame:
     """grp, row and ``column`` of every row of classes (grp, class_key, n, rows, ``column``), each row once.
 
-    Small classes hold their rows. Those of the others are joined, hot classes in SALTS parts.
+    Small classes hold their rows. Those of the others, if ``written``, the table behind classes, has any, are joined, hot
+    classes in SALTS parts.
     """
-    total = classes.agg(F.sum("n")).first()[0] or 0
+    total, others = written.agg(F.sum("n"), F.count_if(F.col("n") > F.size("rows"))).first()
     rows = classes.where(F.col("n") <= F.size("rows")).select("grp", F.explode("rows").alias("row"), column)
+    if not others:
+        return rows
     large = classes.where(F.col("n") > F.size("rows"))
     hot = F.broadcast(large.where(F.col("n") * HOT_SHARE > total).select("grp", "class_key", F.lit(True).alias("hot")))  # fewer than HOT_SHARE rows
     salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
@@ -464,15 +557,15 @@ def spanning_graph(ix: Index, min_cos: float, local: Callable, *, keep: int = 4,
     def at_its_home(s: Shard, g: Group | None):
         links = vptree.spanning_links(s.unit, s.unit, min_cos, same=True, factor=factor)
         labels = local(s.row, links)
-        visits = g.visits(s.unit, s.cell, s.shard, np.full(len(s.row), min_cos), factor, True) if g else None
+        visits = g.tour(s.unit, s.cell, s.shard, np.full(len(s.row), min_cos), factor, True) if g else None
         return [pa.array(labels, pa.int64())], visits
 
-    def elsewhere(grp: int, q: pa.Table, p: pa.Table) -> pa.Table:
+    def elsewhere(q: pa.Table, x: np.ndarray, p: pa.Table, points: np.ndarray) -> pa.Table:
         names = np.concatenate([q["label"].to_numpy(), p["label"].to_numpy()])
-        links = vptree.spanning_links(matrix_of(q["unit"], q.num_rows), matrix_of(p["unit"], p.num_rows), min_cos, same=False, factor=factor, names=names)
+        links = vptree.spanning_links(x, points, min_cos, same=False, factor=factor, names=names)
         a, b, c = (np.array(x) for x in zip(*links)) if links else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
         a, b = names[a], names[b + q.num_rows]
         return pa.table({"lo": np.minimum(a, b), "hi": np.maximum(a, b), "cosine": c})
 
-    home = materialize(at_home(ix, keep, at_its_home, "label bigint"))
-    return home, away(home, ["label"], elsewhere, "lo bigint, hi bigint, cosine double")
+    home = materialize(at_home(ix, keep, at_its_home, "label bigint"), lean=True, by="place")
+    return home, away(home, ix, ["label"], lambda q: np.full(q.num_rows, min_cos), factor, True, elsewhere, "lo bigint, hi bigint, cosine double")

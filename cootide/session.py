@@ -56,15 +56,28 @@ def _remove(path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def materialize(df: DataFrame) -> DataFrame:
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, *, lean: bool = False, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     The result has no lineage beyond files every executor can read, so a lost executor costs only the tasks it
-    ran, and later plans see true sizes. ``release`` drops the files early; the rest goes at exit.
+    ran, and later plans see true sizes. ``release`` drops the files early; the rest goes at exit. ``lean`` compresses
+    more and deletes the shuffle files of ``df`` once it is written, ``by`` gives each value of a column its own folder.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cootide-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    if lean:
+        before = spark.conf.get(_DROP_SHUFFLES)
+        spark.conf.set(_DROP_SHUFFLES, "true")
+        try:
+            writer = df.write.mode("overwrite").option("compression", "zstd")
+            (writer.partitionBy(by) if by else writer).parquet(path)
+        finally:
+            spark.conf.set(_DROP_SHUFFLES, before)
+    else:
+        (df.write.mode("overwrite").partitionBy(by) if by else df.write.mode("overwrite")).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _written[path] = weakref.ref(spark)
     out._cootide_path = path

@@ -1,10 +1,12 @@
 """Frequent items, reservoir sample, nearest vectors and clusters."""
 
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 
+from cootide import session
 from cootide.llm import clusters, frequent, neighbours, reservoir, vptree
 
 
@@ -263,6 +265,45 @@ def test_hot_classes_and_repeated_rows(spark, monkeypatch):
     assert groups[199] == (0, 200) and groups[3] == (0, 200) and groups[205] == (200, 10) and len(groups) == 210
 
 
+def test_encoded_vectors_lose_nothing():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(70, 64))
+    x[:10], x[10:20], x[20:30], x[30:40] = np.round(x[:10], 4), np.round(x[10:20] * 20, 4), np.round(x[20:30] * 20), x[30:40].astype(np.float32)
+    x[40:44] *= np.array([[1e300], [1e-300], [1e12], [1e6]])
+    e = neighbours.encoded(x)
+    assert np.array_equal(neighbours.decoded(e), x) and np.array_equal(neighbours.decoded(e.slice(5, 30)), x[5:35])
+    assert [len(e[i].as_py()) for i in (0, 10, 20, 30, 50)] == [129, 193, 65, 257, 513]
+    assert len(neighbours.encoded(np.zeros((0, 64)))) == 0
+
+
+def _table_and_disk(spark, folder, monkeypatch):
+    """Tight groups and rows of none with numbers of four decimals; its bytes; what the most disk is read from, asked after every table."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate([np.repeat(rng.normal(size=(300, 64)), 12, axis=0) + 0.3 * rng.normal(size=(3600, 64)), rng.normal(size=(1200, 64))])
+    path = f"{folder}/rows.parquet"
+    spark.createDataFrame([(i, 0, np.round(r, 4).tolist()) for i, r in enumerate(x)], "row_id bigint, mode_no int, vals array<double>").coalesce(1).write.option("compression", "zstd").parquet(path)
+    size = lambda f: sum(p.stat().st_size for p in Path(f).rglob("*") if p.is_file())
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    used = lambda: size(session.shared_folder(spark).removeprefix("file:")) + sum(f.length() for f in spark._jvm.java.util.ArrayList(spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(blocks.getAllFiles())))
+    before, most = used(), [0]
+
+    def watched(df, **how):
+        out = session.materialize(df, **how)
+        most[0] = max(most[0], used() - before)
+        return out
+
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", 600)
+    for module in (neighbours, clusters):
+        monkeypatch.setattr(module, "materialize", watched)
+    return spark.read.parquet(path), size(path), lambda: max(most[0], used() - before)
+
+
+def test_nearest_rows_keep_to_the_disk(spark, tmp_path, monkeypatch):
+    df, size, most = _table_and_disk(spark, tmp_path, monkeypatch)
+    assert neighbours.nearest_rows(df, "row_id", "mode_no", "vals", 5, min_cos=0.78).count() > 3600 * 4
+    assert most() <= 4 * size
+
+
 def test_average_linkage_against_rounds_by_hand(spark):
     edges = spark.createDataFrame([(1, 2, 0.95), (2, 3, 0.9), (3, 4, 0.95), (1, 3, 0.7), (4, 5, 0.6), (6, 7, 0.5), (1, 2, 0.95), (8, None, 0.9)], "lo bigint, hi bigint, cosine double")
     # 1-2 and 3-4 merge; their mean link is (0.9 + 0.7) / 2.
