@@ -280,6 +280,9 @@ def merge_vectors(ids: np.ndarray, n: np.ndarray, total: np.ndarray, threshold:
 
 
 def _vector_table(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if "unit" in t.schema.names:
+        n = t.column("n").to_numpy()
+        return t.column("node").to_numpy(), n, neighbours.matrix_of(t.column("unit"), t.num_rows) * n[:, None]
     total = t.column("total").combine_chunks() if isinstance(t, pa.Table) else t.column("total")
     return t.column("node").to_numpy(), t.column("n").to_numpy(), pc.list_flatten(total).to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
 
@@ -360,18 +363,21 @@ def _merge_over_cluster(nodes: DataFrame, threshold: float) -> DataFrame:
 def merge_means(nodes: DataFrame, threshold: float) -> DataFrame:
     """node, cluster by average linkage over all pairs of vectors of a part; a cluster is named by its smallest node.
 
-    nodes: part, node, n, total with n unit vectors behind a node and their sum as array<double>. The similarity of two
+    nodes: part, node, n, total with n unit vectors behind a node and their sum as array<double>, or part, node, n, unit with
+    the one encoded vector that all n share. The similarity of two
     clusters is the mean cosine of all their pairs, which the product of their means gives exactly, rounded to 9
     decimals. In each round all mutually best pairs of at least ``threshold`` merge, until no two clusters reach it.
     Parts of at most MOST_LOCAL_VECTORS nodes run their rounds within one task; larger ones run the same rounds, with
     one order of links, over the cluster.
     """
-    nodes = nodes.select("part", "node", F.col("n").cast("long"), "total")
+    nodes = nodes.select("part", "node", F.col("n").cast("long"), "unit" if "unit" in nodes.columns else "total")
     large = materialize(nodes.groupBy("part").count().where(F.col("count") > MOST_LOCAL_VECTORS).select("part"))
     small = nodes.join(large, "part", "left_anti")
     out = small.repartition("part").sortWithinPartitions("part", "node").mapInArrow(_merge_parts(threshold), "node bigint, cluster bigint")
     if large.limit(1).count():
-        out = out.unionByName(_merge_over_cluster(nodes.join(large, "part"), threshold))
+        wide = nodes.join(large, "part")
+        wide = wide.select("part", "node", "n", "unit").mapInArrow(_sums, "part bigint, node bigint, n bigint, total array<double>") if "unit" in nodes.columns else wide
+        out = out.unionByName(_merge_over_cluster(wide, threshold))
     return out
 
 
@@ -389,8 +395,9 @@ def _local_average(threshold: float):
     return run
 
 
-def _group_labels(ix: neighbours.Index, min_cos: float, keep: int) -> DataFrame:
-    """Classes (grp, class_key, n, rows, row, unit) with ``first``, the smallest row of what links of ``min_cos`` connect.
+def _group_labels(ix: neighbours.Index, min_cos: float, keep: int) -> tuple[DataFrame, DataFrame]:
+    """Classes (grp, class_key, n, rows, row, unit) with ``first``, the smallest row of what links of ``min_cos`` connect;
+    and the table with all vectors that they are read from, to be released.
 
     Reciprocal-nearest-neighbour average linkage on a sparse graph of such links, the mean being over the links that the
     graph holds between two clusters: as none is below the threshold, no mean is, and merging ends when no links are left.
@@ -399,9 +406,9 @@ def _group_labels(ix: neighbours.Index, min_cos: float, keep: int) -> DataFrame:
     """
     classes, links = spanning_graph(ix, min_cos, _local_average(min_cos), keep=keep)
     if links is None:
-        return classes.withColumn("first", F.col("label"))
+        return classes.withColumn("first", F.col("label")), classes
     merged = merge_average(links, min_cos)
-    return classes.join(merged.select(F.col("node").alias("label"), "cluster"), "label", "left").withColumn("first", F.coalesce("cluster", "label"))
+    return classes.join(merged.select(F.col("node").alias("label"), "cluster"), "label", "left").withColumn("first", F.coalesce("cluster", "label")), classes
 
 
 def linked_groups(df: DataFrame, key: str, group: str, vector: str, min_cos: float, *, dimensions: int = 64, least: int = 1) -> DataFrame:
@@ -412,7 +419,9 @@ def linked_groups(df: DataFrame, key: str, group: str, vector: str, min_cos: flo
     ``unit_rows``) take no part. An empty table gives an empty result.
     """
     ix = neighbours.index(df, key, group, vector, dimensions)
-    classes = materialize(_group_labels(ix, min_cos, 4).select("grp", "class_key", "n", "rows", "first"))
+    found, home = _group_labels(ix, min_cos, 4)
+    classes = materialize(found.select("grp", "class_key", "n", "rows", "first"), lean=True)
+    release(home)
     sizes = _sizes(classes, ix).where(F.col("size") >= least)
     named = classes.join(sizes, "first").withColumn("own", F.struct("first", "size"))
     return neighbours.members_of(named, ix, "own", classes).select("grp", "row", "own.first", "own.size")
@@ -436,14 +445,17 @@ def average_clusters(df: DataFrame, key: str, group: str, vector: str, threshold
     to the smaller row. Unusable rows take no part; an empty table gives no clusters.
     """
     ix = neighbours.index(df, key, group, vector, dimensions)
-    found = _group_labels(ix, threshold, typical).select("grp", "class_key", "rows", "row", "unit", F.col("first").alias("part"))
+    found, home = _group_labels(ix, threshold, typical)
+    found = found.select("grp", "class_key", "rows", "row", "unit", F.col("first").alias("part"))
     behind = ix.rows.select("grp", "class_key", "row").distinct().groupBy("grp", "class_key").agg(F.count(F.lit(1)).alias("n"))
-    classes = materialize(found.join(behind, ["grp", "class_key"]))
+    classes = materialize(found.join(behind, ["grp", "class_key"]), lean=True)
+    release(home)
     # A part of one class is a cluster as it stands.
     alone = classes.groupBy("part").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("part")
-    vectors = classes.join(alone, "part").select("part", F.col("row").alias("node"), "n", "unit").mapInArrow(_sums, "part bigint, node bigint, n bigint, total array<double>")
-    labels = materialize(merge_means(vectors, threshold))
-    members = materialize(classes.join(labels.withColumnRenamed("node", "row"), "row", "left").select("grp", F.coalesce("cluster", "row").alias("first"), "row", "rows", "n", "unit"))
+    vectors = classes.join(alone, "part").select("part", F.col("row").alias("node"), "n", "unit")
+    labels = materialize(merge_means(vectors, threshold), lean=True)
+    members = materialize(classes.join(labels.withColumnRenamed("node", "row"), "row", "left").select("grp", F.coalesce("cluster", "row").alias("first"), "row", "rows", "n", "unit"), lean=True)
+    release(classes)
     partial = members.select("grp", "first", "n", "unit").mapInArrow(_partial_means, "grp bigint, first bigint, n bigint, total array<double>")
     sums = partial.groupBy("grp", "first").agg(F.sum("n").alias("size"), *[F.sum(F.col("total")[i]).alias(f"m{i}") for i in range(dimensions)])
     means = sums.select("grp", "first", "size", F.array(*[f"m{i}" for i in range(dimensions)]).alias("mean"))

@@ -304,6 +304,14 @@ def test_nearest_rows_keep_to_the_disk(spark, tmp_path, monkeypatch):
     assert most() <= 4 * size
 
 
+def test_groups_and_clusters_keep_to_the_disk(spark, tmp_path, monkeypatch):
+    df, size, most = _table_and_disk(spark, tmp_path, monkeypatch)
+    assert clusters.linked_groups(df, "row_id", "mode_no", "vals", 0.78, least=3).count() > 3600 * 0.9
+    assert most() <= 4 * size
+    clusters.average_clusters(df, "row_id", "mode_no", "vals", 0.78).count()
+    assert most() - 4 * size <= size  # with what is left of the groups
+
+
 def test_average_linkage_against_rounds_by_hand(spark):
     edges = spark.createDataFrame([(1, 2, 0.95), (2, 3, 0.9), (3, 4, 0.95), (1, 3, 0.7), (4, 5, 0.6), (6, 7, 0.5), (1, 2, 0.95), (8, None, 0.9)], "lo bigint, hi bigint, cosine double")
     # 1-2 and 3-4 merge; their mean link is (0.9 + 0.7) / 2.
