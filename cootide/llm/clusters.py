@@ -399,8 +399,8 @@ def _group_labels(ix: neighbours.Index, min_cos: float, keep: int) -> tuple[Data
     """Classes (grp, class_key, n, rows, row, unit) with ``first``, the smallest row of what links of ``min_cos`` connect;
     and the table with all vectors that they are read from, to be released.
 
-    Reciprocal-nearest-neighbour average linkage on a sparse graph of such links, the mean being over the links that the
-    graph holds between two clusters: as none is below the threshold, no mean is, and merging ends when no links are left.
+    Rounds of mutual best links on a spanning forest of such links: as none is below the threshold, no mean over the
+    forest's links is, and merging ends when no links are left. The means so decide nothing, the forest does.
     So the clusters of this graph are all rows linked directly or through others. The rounds run within every shard
     first, then on the few links between clusters of different shards.
     """

@@ -356,6 +356,13 @@ def test_clusters_count_all_pairs_not_the_nearest_ones(spark):
     assert sorted((r["first_row_id"], r["size"]) for r in found) == sorted((g[0], len(g)) for g in want)
 
 
+def test_a_chain_is_one_group_and_two_clusters(spark):
+    turn = np.arccos(0.8) * np.arange(3)
+    df = spark.createDataFrame([(i, 0, [float(np.cos(t)), float(np.sin(t))]) for i, t in enumerate(turn)], "row_id bigint, mode_no int, vals array<double>")
+    assert rows(clusters.linked_groups(df, "row_id", "mode_no", "vals", 0.78, dimensions=2), "row", "first") == [(0, 0), (1, 0), (2, 0)]
+    assert sorted(r["size"] for r in clusters.average_clusters(df, "row_id", "mode_no", "vals", 0.78, dimensions=2).collect()) == [1, 2]
+
+
 @pytest.mark.parametrize("equal", [False, True])
 def test_rounds_on_means_within_a_task_and_over_the_cluster(spark, monkeypatch, equal):
     rng = np.random.default_rng(6)
