@@ -1,7 +1,7 @@
 """Text forms of matrices, vectors, sparse matrices, partitions, permutations, index maps, graphs and hypergraphs.
 
 Single files are written by the driver from ordered streams of rows, to any place the Hadoop file system reaches; nothing
-is collected whole, not even a line: the words of a hot row arrive one by one.
+is collected whole, not even a line: the words of a hot row arrive in batches.
 """
 
 from __future__ import annotations
@@ -9,12 +9,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cootide.core import SparseTensor, TensorError
 from cootide.operators import graphs, structure
 
 CHUNK = 1 << 20
+LARGE_GAP = 1 << 10  # lines
 
 
 class _Sink:
@@ -61,22 +65,53 @@ def _write(rows: DataFrame, column: str, path: str, head: list[str] = ()) -> Non
             f.write(r[column] + "\n")
 
 
-def _write_words(words: DataFrame, line: str, lines: int, path: str, head: list[str] = (), starts: DataFrame | None = None, tail: DataFrame | None = None) -> None:
-    """Lines 0 .. lines-1 of words (``line``, at, word) in order of ``at``, lines without words empty; ``starts`` (``line``, word)
-    come first in their lines; ``tail`` (at, word) follows, a word a line."""
-    each = words.select(F.col(line).alias("line"), F.lit(1).alias("part"), "at", "word")
+def _blank_lines(f, n: int) -> None:
+    while n > 0:
+        f.write("\n" * min(n, CHUNK))
+        n -= CHUNK
+
+
+def _joined(words: DataFrame, order: list[str], keys: list[str], word: Column, numbered: bool) -> DataFrame:
+    """first, last, text: words in the order of ``order``, those of a batch as one text, with the first and last values of
+    ``keys`` there. Words of equal keys share a line; with ``numbered`` the only key is the number of the line.
+
+    Words are made after the sort, which so moves numbers only. A gap of many lines begins a new text.
+    """
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k = np.stack([b.column(i).to_numpy() for i in range(len(keys))])
+            step = np.diff(k, axis=1)
+            gap = np.concatenate([[0], step[0] if numbered else (step != 0).any(axis=0)]).astype(np.int64)
+            cuts = np.flatnonzero(gap > LARGE_GAP)
+            gap[cuts] = 0
+            text = pc.binary_join_element_wise(pc.binary_repeat("\n", pa.array(gap)), b.column(len(keys)), "")
+            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+                whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, z - a], pa.int32()), text[a:z]), "")
+                yield pa.RecordBatch.from_arrays([pa.array([k[:, a].tolist()]), pa.array([k[:, z - 1].tolist()]), whole], ["first", "last", "text"])
+
+    laid = words.orderBy(*order).select(*[F.col(c).cast("long") for c in keys], word.alias("word"))
+    return laid.mapInArrow(run, "first array<bigint>, last array<bigint>, text string")
+
+
+def _write_words(words: DataFrame, line: str, word: Column, lines: int, path: str, head: list[str] = (), starts: DataFrame | None = None, tail: DataFrame | None = None) -> None:
+    """Lines 0 .. lines-1 of words (``line``, at, and what ``word`` takes) in order of ``at``, lines without words empty;
+    ``starts`` (``line``, word) come first in their lines; ``tail`` (at, word) follows, a word a line."""
+    each, order = words.withColumn("line", F.col(line)), ["line", "at"]
     if starts is not None:
-        each = each.unionByName(starts.select(F.col(line).alias("line"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("at"), "word"))
+        each = each.withColumn("part", F.lit(1)).unionByName(starts.select(F.col(line).alias("line"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("at"), F.col("word").alias("start")), allowMissingColumns=True)
+        word, order = F.coalesce("start", word), ["line", "part", "at"]
     with text_sink(words.sparkSession, path) as f:
         for h in head:
             f.write(h + "\n")
         now = 0
-        for r in each.orderBy("line", "part", "at").toLocalIterator(prefetchPartitions=True):
-            if r["line"] > now:
-                f.write("\n" * (r["line"] - now))
-                now = r["line"]
-            f.write(r["word"])
-        f.write("\n" * (lines - now))
+        for r in _joined(each, order, ["line"], word, True).toLocalIterator(prefetchPartitions=True):
+            _blank_lines(f, r["first"][0] - now)
+            f.write(r["text"])
+            now = r["last"][0]
+        _blank_lines(f, lines - now)
         for r in tail.orderBy("at").toLocalIterator(prefetchPartitions=True) if tail is not None else ():
             f.write(r["word"] + "\n")
 
@@ -112,13 +147,24 @@ def _entry(col: str) -> Column:
 def write_csr(tensor: SparseTensor, mode: int, path: str) -> None:
     """The unfolding of a mode: per row its 0-based column and value pairs, empty rows as empty lines."""
     x = tensor.unfold(mode, wide="decimal")
-    _write_words(x.select("row", F.col("col").alias("at"), _entry("col").alias("word")), "row", tensor.dims[mode], path)
+    _write_words(x.withColumnRenamed("col", "at"), "row", _entry("at"), tensor.dims[mode], path)
 
 
 def write_fiber_matrix(tensor: SparseTensor, mode: int, path: str) -> None:
-    """The fibers of a mode as rows: per fiber the pairs of index along the longest other mode and value."""
-    x = structure.fiber_matrix(tensor, mode)
-    _write_words(x.select("row", F.col("col").alias("at"), _entry("col").alias("word")), "row", structure.fibers(tensor, mode).count(), path)
+    """The fibers of a mode as rows: per fiber the pairs of index along the longest other mode and value.
+
+    Nonzeros in fiber order need no numbers of fibers: a line ends where the fiber does.
+    """
+    order = [f"i{m}" for m in structure.fiber_order(tensor.dims, mode)]
+    last = None
+    with text_sink(tensor.df.sparkSession, path) as f:
+        for r in _joined(tensor.df, order, order[:-1], _entry(order[-1]), False).toLocalIterator(prefetchPartitions=True):
+            if last is not None and r["first"] != last:
+                f.write("\n")
+            f.write(r["text"])
+            last = r["last"]
+        if last is not None:
+            f.write("\n")
 
 
 def write_part_files(df: DataFrame, folder: str) -> None:
@@ -168,7 +214,7 @@ def write_graph(tensor: SparseTensor, path: str, vertex_weights: bool = False) -
     n = sum(tensor.dims)
     head = f"{n} {edges.count() // 2} 0{int(vertex_weights)}1" + (" 1" if vertex_weights else "")
     starts = graphs.vertex_weights(tensor).select("v", F.concat(F.col("w").cast("string"), F.lit(" ")).alias("word")) if vertex_weights else None
-    _write_words(graphs.graph_words(edges), "v", n, path, [head], starts)
+    _write_words(graphs.graph_words(edges), "v", F.col("word"), n, path, [head], starts)
 
 
 def write_hypergraph(pins: DataFrame, n_hedges: int, n_vertices: int, path: str, vertex_weights: DataFrame | None = None, hedge_weights: DataFrame | None = None) -> None:
@@ -178,4 +224,4 @@ def write_hypergraph(pins: DataFrame, n_hedges: int, n_vertices: int, path: str,
     head = f"{n_hedges} {n_vertices}" + (f" {code}" if code else "")
     starts = hedge_weights.select("hedge", F.concat(F.col("w").cast("string"), F.lit(" ")).alias("word")) if hedge_weights is not None else None
     tail = vertex_weights.select(F.col("v").alias("at"), F.col("w").cast("string").alias("word")) if vertex_weights is not None else None
-    _write_words(graphs.hypergraph_words(pins), "hedge", n_hedges, path, [head], starts, tail)
+    _write_words(graphs.hypergraph_words(pins), "hedge", F.col("word"), n_hedges, path, [head], starts, tail)

@@ -6,6 +6,7 @@ from pyspark.errors import PySparkException
 
 from cootide import cli
 from cootide.core import SparseTensor, TensorError, affine_factor
+from cootide.plans import form_queries
 from cootide.sources import binary, matrices, text
 from cootide.streaming import append
 from tests.tensors import SMALL, SMALL4, rows, tensor
@@ -123,3 +124,28 @@ def test_stream_counts_batches_once(spark, tmp_path):
         append.append_stream(stream, ["a", "b"], "v", str(tmp_path / "t"), str(tmp_path / "log")).awaitTermination()
         assert cells(append.read_table(spark, str(tmp_path / "t"), 2)) == [(0, 1, 5.0), (1, 0, 1.0)]
     assert np.isfinite(append.read_table(spark, str(tmp_path / "t"), 2).norm())
+
+
+def test_lines_are_read_and_joined_in_pieces(spark, tmp_path):
+    p = tmp_path / "long.txt"
+    want = [f"{n} " * (n % 7) for n in range(20_000)]
+    p.write_text("\n".join(want) + "\n")
+    got = form_queries._lines(spark, str(p))
+    assert got.rdd.getNumPartitions() > 1  # no task holds the file
+    assert [tuple(r) for r in got.orderBy("line_no").collect()] == list(enumerate(want, 1))
+
+
+def test_fiber_matrix_lines_cross_batches_and_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        x = tensor(spark, {(i % 50, i % 3, i % 2): float(i) for i in range(150)} | {(i, 1, 1): 1.5 for i in range(200, 260)})
+        matrices.write_fiber_matrix(x, 1, p := str(tmp_path / "fibers"))
+        matrices.write_csr(SparseTensor.from_dataframe(x.df, ["i0", "i1"], "val", [5000, 3]), 0, q := str(tmp_path / "rows"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    fibers, by_row = {}, {}
+    for i0, i1, i2, v in sorted(cells(x)):
+        fibers.setdefault((i1, i2), []).append(f"{i0} {v:.6f} ")
+        by_row.setdefault(i0, {})[i1] = f"{i1} {v:.6f} "
+    assert open(p).read() == "".join("".join(fibers[f]) + "\n" for f in sorted(fibers))
+    assert open(q).read() == "".join("".join(w for _, w in sorted(by_row.get(i, {}).items())) + "\n" for i in range(5000))
