@@ -1,7 +1,7 @@
 """Most similar vectors of every vector, and links between similar vectors, by vantage-point trees per shard.
 
 Usable vectors are scaled to unit length. Of each large group (here a factor matrix) a bounded sample gives pivots; a vector
-belongs to the cell of its nearest pivot, and cells make up shards of bounded size. One exchange brings every vector to
+belongs to the cell of its nearest pivot, or if near enough to the core of that, and cells make up shards of bounded size. One exchange brings every vector to
 its shard, whose task reduces copies to classes and searches each class among the others by a tree. A class then visits
 another shard only if the triangle inequality, or the plane half way between two pivots, leaves room there for something
 better than what it has; ``factor`` relaxes both kinds of pruning alike. Factor 1 misses nothing.
@@ -29,21 +29,23 @@ from . import vptree
 
 SHARD_ROWS = 16_384
 MOST_PIVOTS = 8_192  # of all groups
-GROUP_PIVOTS = 1_024
+GROUP_PIVOTS = 4_096
 ROWS_PER_PIVOT = 32
 COVERED = 0.9  # a sampled vector this near a pivot is none
+CORE = 0.9  # vectors of a cell this near its pivot form a cell of their own, that few from elsewhere visit
 HOT_SHARE = 1_000  # a class above 1 / HOT_SHARE of all rows is split when its members are joined
 SALTS = 64
 CHUNK_ROWS = 200_000
-VISITED = 4  # shards that one task visits
+VISITED = 4  # shards whose visits to another one share a task
 _SLACK = 1e-9
+_SINGLE = 1e-5  # more than single precision loses of two cosines
 _SCALES = (1, 100, 10_000, 1_000_000)
 _ITEM = np.array([8, 4] + [1, 2, 3, 4] * len(_SCALES))  # bytes a number by the first byte of an encoded vector
 
 
 @dataclass
 class Group:
-    """Pivots of a large group, and per cell its number, least and greatest distance from the pivot, and shards."""
+    """Pivots of a large group, and per cell (two a pivot, the core first) its number, least and greatest distance from the pivot, and shards."""
 
     pivots: np.ndarray
     low: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -54,56 +56,88 @@ class Group:
     rank: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of shards, tight ones first
 
     def cells(self, x: np.ndarray) -> np.ndarray:
-        """Nearest pivot of each vector, the first of equals, the same for equal vectors whatever stands beside them."""
+        """Twice the nearest pivot of each vector, the first of equals, the same for equal vectors whatever stands beside them;
+        and one more for those outside of the core."""
         if not len(self.pivots):
             return np.zeros(len(x), np.int64)
-        out = np.zeros(len(x), np.int64)
-        for a in range(0, len(x), 4096):
-            part = x[a : a + 4096]
-            cos = part @ self.pivots.T
+        out, pivots = np.zeros(len(x), np.int64), self.pivots.T.astype(np.float32)
+        for a in range(0, len(x), 512):
+            part = x[a : a + 512]
+            cos = part.astype(np.float32) @ pivots
             top = cos.max(axis=1)
-            near = cos >= top[:, None] - _SLACK
-            out[a : a + 4096] = near.argmax(axis=1)
-            for r in np.flatnonzero(near.sum(axis=1) > 1):  # products of matrices may differ in the last digits
+            near = cos >= top[:, None] - np.float32(_SINGLE)
+            out[a : a + 512] = near.argmax(axis=1)
+            for r in np.flatnonzero(np.count_nonzero(near, axis=1) > 1):  # products of matrices may differ in the last digits
                 c = np.flatnonzero(near[r])
                 out[a + r] = c[np.argmax([float((part[r] * self.pivots[j]).sum()) for j in c])]
+            own = (part * self.pivots[out[a : a + 512]]).sum(axis=1)
+            out[a : a + 512] = 2 * out[a : a + 512] + (own < CORE)
         return out
 
     def reached(self, x: np.ndarray, cell: np.ndarray, own: int, floor: np.ndarray, factor: float, tighter: bool, among: np.ndarray | None = None) -> np.ndarray:
         """Whether something of cosine at least ``floor`` may lie there: a row per vector, a column per shard (of ``among``), never in ``own``."""
         among = np.arange(len(self.rank)) if among is None else among
-        allowed = among != own
-        if tighter:
-            allowed &= self.rank[among] < self.rank[own]
-        holds = (self.first[:, None] <= among) & (among < (self.first + self.parts)[:, None])
-        used = np.flatnonzero(holds.any(axis=1))
+        holds, used = self._holds(among)
         out = np.zeros((len(x), len(among)), bool)
-        for a in range(0, len(x), 2048):
-            part = x[a : a + 2048]
-            radius = vptree.chord(floor[a : a + 2048] - 2 * _SLACK)
-            if len(self.pivots):
-                there, home = self.pivots[used], self.pivots[cell[a : a + 2048]]
-                cos = part @ there.T
-                d = vptree.chord(cos)
-                gap = np.maximum(d - self.high[used], self.low[used] - d)
-                beyond = (part * home).sum(axis=1)[:, None] - cos
-                apart = vptree.chord(home @ there.T)
-                gap = np.maximum(gap, np.where(apart > 1e-3, (beyond - 2 * _SLACK) / np.maximum(apart, 1e-3), 0.0))
-            else:
-                gap = np.zeros((len(part), len(used)))
-            open_cells = gap * factor <= radius[:, None] + _SLACK
+        for a, open_cells in self._open(x, cell, floor, factor, used):
+            if len(among) == 1:
+                out[a : a + len(open_cells), 0] = open_cells.any(axis=1)
+                continue
             for n, c in enumerate(used):
-                out[a : a + 2048, holds[c]] |= open_cells[:, n, None]
-        return out & allowed
+                out[a : a + len(open_cells), holds[c]] |= open_cells[:, n, None]
+        return out & self._allowed(among, own, tighter)
+
+    def _allowed(self, among: np.ndarray, own: int, tighter: bool) -> np.ndarray:
+        return (among != own) & (self.rank[among] < self.rank[own]) if tighter else among != own
+
+    def _holds(self, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which cells (rows) lie in which shards of ``among``, and those that lie in any."""
+        holds = (self.first[:, None] <= among) & (among < (self.first + self.parts)[:, None])
+        return holds, np.flatnonzero(holds.any(axis=1))
+
+    def _open(self, x: np.ndarray, cell: np.ndarray, floor: np.ndarray, factor: float, used: np.ndarray):
+        """(first vector of a block, whether something of cosine at least ``floor`` may lie there: a row per vector, a column per cell of ``used``)."""
+        if not len(self.pivots):
+            yield 0, np.ones((len(x), len(used)), bool)
+            return
+        # Single precision with margins for what it loses, in squares so that no roots are needed.
+        there = self.pivots[used // 2].astype(np.float32)
+        low, high = self.low[used].astype(np.float32), self.high[used].astype(np.float32)
+        homes, which = np.unique(cell // 2, return_inverse=True)
+        apart = np.sqrt(np.maximum(2 - 2 * (self.pivots[homes].astype(np.float32) @ there.T), 0) + np.float32(2 * _SINGLE))
+        apart[apart < 5e-3] = 1e6  # of the same pivot
+        step = int(np.clip((1 << 17) // max(1, len(used)), 64, 2048))
+        for a in range(0, len(x), step):
+            part, home = x[a : a + step], which[a : a + step]
+            cos = part.astype(np.float32) @ there.T
+            r = ((vptree.chord(floor[a : a + step] - 2 * _SLACK) + _SLACK) / factor).astype(np.float32)[:, None]
+            own = (part * self.pivots[homes[home]]).sum(axis=1).astype(np.float32)[:, None]
+            allowed = own - cos <= r * apart[home] + np.float32(2 * _SINGLE)  # the plane between the pivots
+            d2 = 2 - 2 * cos
+            allowed &= d2 <= (high + r) ** 2 + np.float32(4 * _SINGLE)
+            if low.max(initial=0) > r.min():
+                allowed &= d2 >= np.maximum(low - r, 0) ** 2 - np.float32(4 * _SINGLE)
+            yield a, allowed
 
     def visits(self, x: np.ndarray, cell: np.ndarray, own: int, floor: np.ndarray, factor: float, tighter: bool) -> list[np.ndarray]:
         """Shards other than ``own`` in which something of cosine at least ``floor`` may lie, for each vector."""
         return [np.flatnonzero(r) for r in self.reached(x, cell, own, floor, factor, tighter)]
 
-    def tour(self, *asked) -> list[np.ndarray]:
+    def tour(self, x: np.ndarray, cell: np.ndarray, own: int, floor: np.ndarray, factor: float, tighter: bool) -> list[np.ndarray]:
         """The shards that any of the vectors visits, with the first of them."""
-        to = self.reached(*asked)
-        return [np.flatnonzero(to.any(axis=0)), *[np.zeros(0, int)] * (len(to) - 1)]
+        among = np.arange(len(self.rank))
+        holds, left = self._holds(among)
+        allowed = self._allowed(among, own, tighter)
+        met = ~allowed
+        for a in range(0, len(x), 512):  # what is met needs no further looks
+            left = left[(holds[left] & ~met).any(axis=1)]
+            if not len(left):
+                break
+            some = slice(a, a + 512)
+            for _, open_cells in self._open(x[some], cell[some], floor[some], factor, left):
+                met |= holds[left[open_cells.any(axis=0)]].any(axis=0)
+        to = met & allowed
+        return [np.flatnonzero(to), *[np.zeros(0, int)] * (len(x) - 1)]
 
 
 @dataclass
@@ -111,6 +145,7 @@ class Index:
     """Usable rows with class and shard, and the groups that have more than one shard."""
 
     rows: DataFrame  # grp, row, class_key, unit, shard, cell
+    keys: DataFrame  # grp, row, class_key of the same rows
     groups: dict[int, Group]
     shards: int
 
@@ -133,8 +168,8 @@ def scaled(values: np.ndarray) -> np.ndarray:
     return x
 
 
-def unit_rows(df: DataFrame, key: str, group: str, vector: str, dimensions: int, groups: dict[int, Group] | None = None, *, distances: bool = False) -> DataFrame:
-    """(grp, row, class_key, unit, cell) of usable rows, unit being the encoded vector as it came.
+def unit_rows(df: DataFrame, key: str, group: str, vector: str, dimensions: int, groups: dict[int, Group] | None = None, *, distances: bool = False, keys_only: bool = False) -> DataFrame:
+    """(grp, row, class_key, unit, cell) of usable rows, unit being the encoded vector as it came; with ``keys_only`` the first three.
 
     With ``distances`` (grp, cell, class_key, cosine), the last with the pivot of the cell, of rows of ``groups``.
 
@@ -151,20 +186,23 @@ def unit_rows(df: DataFrame, key: str, group: str, vector: str, dimensions: int,
             x = scaled(values)
             rounded = np.round(x, 12) + 0.0
             keys = [xxhash.xxh3_64_intdigest(r.tobytes()) - (1 << 63) for r in rounded]
+            if keys_only:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64())], ["grp", "row", "class_key"])
+                continue
             grp, cell, cos = b.column(0).to_numpy(), np.zeros(b.num_rows, np.int64), np.ones(b.num_rows)
             for g in np.unique(grp).tolist():
                 if g in shared.value:
                     mine, of = grp == g, shared.value[g]
                     cell[mine] = of.cells(x[mine])
                     if distances and len(of.pivots):
-                        cos[mine] = (x[mine] * of.pivots[cell[mine]]).sum(axis=1)
+                        cos[mine] = (x[mine] * of.pivots[cell[mine] // 2]).sum(axis=1)
             if distances:
                 out = pa.RecordBatch.from_arrays([b.column(0), pa.array(cell), pa.array(keys, pa.int64()), pa.array(cos)], ["grp", "cell", "class_key", "cosine"])
                 yield out.filter(pc.is_in(out.column(0), pa.array(list(shared.value), pa.int64())))
             else:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64()), encoded(values), pa.array(cell)], ["grp", "row", "class_key", "unit", "cell"])
 
-    schema = "grp bigint, cell bigint, class_key bigint, cosine double" if distances else "grp bigint, row bigint, class_key bigint, unit binary, cell bigint"
+    schema = "grp bigint, row bigint, class_key bigint" if keys_only else "grp bigint, cell bigint, class_key bigint, cosine double" if distances else "grp bigint, row bigint, class_key bigint, unit binary, cell bigint"
     return _known(df, key, group, vector).mapInArrow(run, schema)
 
 
@@ -236,16 +274,17 @@ def matrix_of(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
 
 def _pivots(x: np.ndarray, most: int) -> np.ndarray:
     """Up to ``most`` of the vectors, skipping those that an earlier one covers."""
-    chosen = np.zeros((0, x.shape[1]))
+    chosen, n = np.zeros((most, x.shape[1])), 0
     for a in range(0, len(x), 256):
         part = x[a : a + 256]
-        free = (part @ chosen.T).max(axis=1) < COVERED if len(chosen) else np.ones(len(part), bool)
+        free = (part @ chosen[:n].T).max(axis=1) < COVERED if n else np.ones(len(part), bool)
         for v in part[free]:
-            if len(chosen) >= most:
+            if n >= most:
                 return chosen
-            if not len(chosen) or (chosen[-256:] @ v).max() < COVERED:
-                chosen = np.vstack([chosen, v])
-    return chosen
+            if not n or (chosen[max(0, n - 256) : n] @ v).max() < COVERED:
+                chosen[n] = v
+                n += 1
+    return chosen[:n]
 
 
 def _groups(df: DataFrame, key: str, group: str, vector: str, dimensions: int) -> dict[int, Group]:
@@ -286,7 +325,7 @@ def _place(g: Group, n: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
     """
     g.low, g.high = low, high
     g.first, g.parts = np.zeros(len(n), int), np.zeros(len(n), int)
-    order = _order(g.pivots) if len(g.pivots) else np.arange(len(n))
+    order = (2 * _order(g.pivots)[:, None] + np.arange(2)).ravel() if len(g.pivots) else np.arange(len(n))
     rank, shard, held = [], -1, SHARD_ROWS
     for loose in (False, True):
         held = SHARD_ROWS
@@ -316,7 +355,7 @@ def index(df: DataFrame, key: str, group: str, vector: str, dimensions: int) ->
         cos = unit_rows(df, key, group, vector, dimensions, groups, distances=True)
         stats = cos.groupBy("grp", "cell").agg(F.approx_count_distinct("class_key").alias("n"), F.min("cosine").alias("least"), F.max("cosine").alias("most")).collect()
         for g, of in groups.items():
-            cells = max(1, len(of.pivots))
+            cells = max(1, 2 * len(of.pivots))
             n, low, high = np.zeros(cells, np.int64), np.zeros(cells), np.zeros(cells)
             for r in stats:
                 if r["grp"] == g:
@@ -331,7 +370,7 @@ def index(df: DataFrame, key: str, group: str, vector: str, dimensions: int) ->
     placed = rows.join(places, ["grp", "cell"], "left")
     shard = F.coalesce(F.col("first") + F.pmod("class_key", F.col("parts").cast("long")), F.lit(0)).cast("int")
     placed = placed.select("grp", "row", "class_key", "unit", shard.alias("shard"), "cell")
-    return Index(placed, groups, shards)
+    return Index(placed, unit_rows(df, key, group, vector, dimensions, keys_only=True), groups, shards)
 
 
 def combined(rows: DataFrame, keep: int) -> DataFrame:
@@ -435,16 +474,17 @@ def _shard_file(folder: str, place: int, columns: list[str]) -> pa.Table:
 
 
 def away(home: DataFrame, ix: Index, columns: list[str], floor: Callable, factor: float, tighter: bool, work: Callable, schema: str) -> DataFrame | None:
-    """Rows of ``work(queries, their units, points, their units)`` for every shard and every other one that classes of it visit;
+    """Rows of ``work(queries, their units, points, the tree of their units)`` for every shard and every other one that classes of it visit;
     None if nobody travels.
 
     ``home`` is written by place and its first row of a shard lists all shards to visit. Queries are the classes for which
     the group leaves room there above ``floor(queries)``, points all classes of the shard visited, both with row and
     ``columns``. Tasks read them from home's files, so disk and network hold no copies, however many shards are visited.
     """
-    last = F.ceil(F.size("visits") / VISITED).cast("int") - 1
-    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("visits", i * VISITED + 1, VISITED))
-    trips = home.where(F.size("visits") > 0).select("grp", "shard", F.explode(parts).alias("visits"))  # a row per task
+    last = F.ceil(F.size("owners") / VISITED).cast("int") - 1
+    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("owners", i * VISITED + 1, VISITED))
+    each = home.where(F.size("visits") > 0).select("grp", "shard", F.explode("visits").alias("visited"))
+    trips = each.groupBy("grp", "visited").agg(F.sort_array(F.collect_list("shard")).alias("owners")).select("grp", "visited", F.explode(parts).alias("owners"))  # a row per task
     tasks = trips.count() if ix.groups else 0
     if not tasks:
         return None
@@ -453,15 +493,18 @@ def away(home: DataFrame, ix: Index, columns: list[str], floor: Callable, factor
 
     def run(batches):
         for b in batches:
-            for grp, own, visits in zip(*(b.column(c).to_pylist() for c in ("grp", "shard", "visits"))):
-                g = shared.value[grp]
-                q = _shard_file(folder, g.offset + own, columns)
-                x = matrix_of(q["unit"], q.num_rows)
-                for shard in visits:
+            for grp, shard, owners in zip(*(b.column(c).to_pylist() for c in ("grp", "visited", "owners"))):
+                g, p, tree = shared.value[grp], None, None
+                for own in owners:
+                    q = _shard_file(folder, g.offset + own, columns)
+                    x = matrix_of(q["unit"], q.num_rows)
                     to = np.flatnonzero(g.reached(x, q["cell"].to_numpy(), own, floor(q), factor, tighter, np.array([shard]))[:, 0])
-                    if len(to):
+                    if not len(to):
+                        continue
+                    if tree is None:
                         p = _shard_file(folder, g.offset + shard, columns)
-                        yield from work(q.take(pa.array(to)), x[to], p, matrix_of(p["unit"], p.num_rows)).to_batches()
+                        tree = vptree.Tree(matrix_of(p["unit"], p.num_rows))
+                    yield from work(q.take(pa.array(to)), x[to], p, tree).to_batches()
 
     return trips.repartition(int(min(50_000, tasks))).mapInArrow(run, schema)
 
@@ -499,13 +542,14 @@ def nearest_rows(df: DataFrame, key: str, group: str, vector: str, k: int, *, di
         visits = g.tour(s.unit, s.cell, s.shard, floor, factor, False) if g else None
         return [pa.array(near, pa.list_(pa.int64())), _whole(value), pa.array(floor)], visits
 
-    def elsewhere(q: pa.Table, x: np.ndarray, p: pa.Table, points: np.ndarray) -> pa.Table:
-        order = np.argsort(p["row"].to_numpy())
-        rows = [np.array(r, np.int64) for r in p["rows"].take(pa.array(order)).to_pylist()]
-        cos, at = vptree.nearest(x, points[order], p["row"].to_numpy()[order], k1, min_cos=min_cos, factor=factor, floor=q["floor"].to_numpy())
-        near, value = _expand(cos, at, rows, k1)
-        found = [i for i, r in enumerate(near) if len(r)]
-        return pa.table({"grp": q["grp"].to_numpy()[found], "class_key": q["class_key"].to_numpy()[found], "near": pa.array([near[i] for i in found], pa.list_(pa.int64())), "cosines": _whole([value[i] for i in found])})
+    def elsewhere(q: pa.Table, x: np.ndarray, p: pa.Table, tree: vptree.Tree) -> pa.Table:
+        cos, at = vptree.nearest(x, tree.points, p["row"].to_numpy(), k1, min_cos=min_cos, factor=factor, floor=q["floor"].to_numpy(), tree=tree)
+        found = np.flatnonzero(at[:, 0] >= 0)  # often few
+        used, at = np.unique(at[found], return_inverse=True)
+        used, at = (used[1:], at - 1) if len(used) and used[0] < 0 else (used, at)
+        rows = [np.array(r, np.int64) for r in p["rows"].take(pa.array(used)).to_pylist()]
+        near, value = _expand(cos[found], at.reshape(len(found), k1), rows, k1)
+        return pa.table({"grp": q["grp"].to_numpy()[found], "class_key": q["class_key"].to_numpy()[found], "near": pa.array(near, pa.list_(pa.int64())), "cosines": _whole(value)})
 
     home = materialize(at_home(ix, k1, at_its_home, "near array<bigint>, cosines array<int>, floor double"), lean=True, by="place")
     more = away(home, ix, ["grp", "class_key", "rows", "floor"], lambda q: q["floor"].to_numpy(), factor, False, elsewhere, "grp bigint, class_key bigint, near array<bigint>, cosines array<int>")
@@ -541,7 +585,7 @@ def members_of(classes: DataFrame, ix: Index, column: str, written: DataFrame) -
     salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     salted = large.join(hot, ["grp", "class_key"], "left").select("grp", "class_key", F.explode(salts).alias("salt"), column)
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(SALTS))).otherwise(0).cast("int")
-    members = ix.rows.select("grp", "class_key", "row").join(hot, ["grp", "class_key"], "left").select("grp", "class_key", "row", salt.alias("salt"))
+    members = ix.keys.join(hot, ["grp", "class_key"], "left").select("grp", "class_key", "row", salt.alias("salt"))
     return rows.unionByName(members.join(salted, ["grp", "class_key", "salt"]).dropDuplicates(["grp", "row"]).select("grp", "row", column))
 
 
@@ -560,9 +604,9 @@ def spanning_graph(ix: Index, min_cos: float, local: Callable, *, keep: int = 4,
         visits = g.tour(s.unit, s.cell, s.shard, np.full(len(s.row), min_cos), factor, True) if g else None
         return [pa.array(labels, pa.int64())], visits
 
-    def elsewhere(q: pa.Table, x: np.ndarray, p: pa.Table, points: np.ndarray) -> pa.Table:
+    def elsewhere(q: pa.Table, x: np.ndarray, p: pa.Table, tree: vptree.Tree) -> pa.Table:
         names = np.concatenate([q["label"].to_numpy(), p["label"].to_numpy()])
-        links = vptree.spanning_links(x, points, min_cos, same=False, factor=factor, names=names)
+        links = vptree.spanning_links(x, tree.points, min_cos, same=False, factor=factor, names=names, tree=tree)
         a, b, c = (np.array(x) for x in zip(*links)) if links else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
         a, b = names[a], names[b + q.num_rows]
         return pa.table({"lo": np.minimum(a, b), "hi": np.maximum(a, b), "cosine": c})

@@ -251,6 +251,20 @@ def test_recall_over_several_shards(spark, monkeypatch):
     assert np.mean(tours) < 0.5 * (ix.shards - 2)  # what is near the centre of a group need not go everywhere
 
 
+def test_few_pairs_of_loose_vectors_need_double_precision():
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(600, 64)), rng.normal(size=(500, 64))
+    y[:200] = x[:200] + rng.uniform(0.5, 0.9, (200, 1)) * y[:200]  # cosines about 0.78
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+    cos, every = x @ y.T, np.arange(600)
+    for least in (0.78, 0.6):  # by half of the dimensions, and by all of them in single precision
+        pairs = vptree.Sieve(x, y).pairs(every, np.arange(500), np.full(600, least))
+        assert set(np.flatnonzero(cos.ravel() >= least).tolist()) <= set(pairs.tolist()) and len(pairs) < 0.01 * cos.size
+        value, at = vptree.nearest(x, y, np.arange(500), 3, min_cos=least)
+        want = np.sort(np.where(np.round(cos, 9) >= least, np.round(cos, 9), -np.inf), axis=1)[:, :-4:-1]
+        assert np.array_equal(value, want) and np.array_equal(at >= 0, np.isfinite(want))
+
+
 def test_hot_classes_and_repeated_rows(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "CHUNK_ROWS", 50)
     monkeypatch.setattr(neighbours, "HOT_SHARE", 3)
